@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exactdup, mixing
+from . import exactdup, langid, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +81,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
+def fold(doc_id: Column) -> Column:
+    """crc32 of the id as text, mod 4; fold 2 is held out. A null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(F.col("doc_id")) != 2))
+    found = langid.languages(docs, model, spans=False)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
