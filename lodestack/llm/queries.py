@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdup, langid, mixing
+from . import exactdup, langid, mixing, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold(F.col("doc_id")) != 2))
     found = langid.languages(docs, model, spans=False)
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op8_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+    x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+    pairs AS (
+      SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY ALL),
+    links AS (
+      SELECT u, v FROM pairs JOIN s su ON su.doc_id = u JOIN s sv ON sv.doc_id = v
+      WHERE 100 * c >= 85 * (len(su.sh) + len(sv.sh) - c)),
+    reach(doc_id, node) AS (
+      SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON r.node = l.u)
+    SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+    FROM s JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
+    """,
+)
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_groups(table(spark, sf_dir, "documents"), per_hundred=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
