@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdup, langid, mixing, neardup, tokens, topk, warc
+from . import exactdup, langid, mixing, neardup, tokens, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,11 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id")) != 2))
+    found = toxicity.scores(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")

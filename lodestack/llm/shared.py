@@ -166,13 +166,16 @@ def filled(texts: pa.Array) -> pa.Array:
 
 
 def pieces_of(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about size bytes of the column; a longer text makes a slice of its own."""
+    """The batch in parts of about size bytes of the column; a longer text makes a part of its own.
+
+    The parts are copies: some of Arrow's string functions go wrong on slices.
+    """
     lengths = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
     ends, at = np.cumsum(lengths), 0
     while at < len(lengths):
         begun = ends[at] - lengths[at]
         to = max(at + 1, int(np.searchsorted(ends, begun + size, "right")))
-        yield batch.slice(at, to - at)
+        yield batch.take(pa.array(np.arange(at, to)))
         at = to
 
 
