@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdup, langid, mixing, neardup, tokens, topk, toxicity, warc
+from . import exactdup, langid, mixing, neardup, pieces, tokens, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id")) != 2))
     found = toxicity.scores(docs, model)
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op2_piece_nbest")
+def op2_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)
