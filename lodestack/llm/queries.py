@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdup, langid, mixing, neardup, pieces, tokens, topk, toxicity, warc
+from . import exactdup, langid, licenses, mixing, neardup, pieces, tokens, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +183,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
