@@ -65,6 +65,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs that exact_groups keeps, with all their columns; repeats of a kept row's id and text stay."""
     found = exact_groups(docs, id_col, text_col)
     dropped = found.where("not kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    dropped = stored(dropped.distinct(), "exact_dropped")
     digest = F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256))
     same = docs[id_col].eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    return docs.join(dropped.distinct(), same, "left_anti")
+    return docs.join(dropped, same, "left_anti")

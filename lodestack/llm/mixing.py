@@ -94,3 +94,29 @@ def mixed_words(
         "target",
         (F.col("whole") * F.col("size") + part).cast("long").alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None
+) -> DataFrame:
+    """The mix itself: rows of docs, each as often as mixed_words takes it whole, and once more cut where it is cut.
+
+    A cut row's text ends after the words taken (and chars_col, if given, is its new length). Rows without words and
+    rows that aren't taken go. Ids should be distinct; rows that share id and size are each taken as the one that is
+    taken most.
+    """
+    takes = mixed_words(docs, id_col, text_col, source_col).where("taken > 0")
+    takes = takes.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    takes = stored(takes, "takes")
+    rows = docs.withColumn("_words", words_in(F.col(text_col)))
+    rows = rows.join(takes, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), times)))
+    left = F.least(F.col("_size"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size"))
+    ends = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # after each word
+    cut = F.array_join(F.slice(ends, F.lit(1), left.cast("int")), "")
+    rows = rows.withColumn("_cut", left < F.col("_size"))
+    rows = rows.withColumn(text_col, F.when(F.col("_cut"), cut).otherwise(F.col(text_col)))
+    if chars_col:
+        rows = rows.withColumn(chars_col, F.when(F.col("_cut"), F.length(text_col)).otherwise(F.col(chars_col)).cast("long"))
+    return rows.select(docs.columns)

@@ -345,5 +345,5 @@ def near_groups(
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_hundred: int = 80) -> DataFrame:
     """The rows of docs that near_groups keeps, with all their columns."""
     found = near_groups(docs, id_col, text_col, per_hundred)
-    dropped = found.where("not kept").select(F.col(id_col).alias("_id"))
-    return docs.join(dropped.distinct(), docs[id_col] == F.col("_id"), "left_anti")
+    dropped = stored(found.where("not kept").select(F.col(id_col).alias("_id")).distinct(), "near_dropped")
+    return docs.join(dropped, docs[id_col] == F.col("_id"), "left_anti")
