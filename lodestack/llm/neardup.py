@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Forest, components, filled, hashes, lookup, mixed, pieces_of, ragged, stored, whole_groups, words_of
+from .shared import Forest, components, filled, hashes, id_filter, likely, lookup, mixed, pieces_of, ragged, stored, whole_groups, words_of
 
 WORDS = 5
 COORDINATES = 64
@@ -225,7 +225,8 @@ def setter(n: int):
                 values, bounds = shingle_sets(part.column("text"), n)
                 offsets = pa.array((bounds * 8).astype(np.int32))
                 sets = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets.buffers()[1], pa.py_buffer(values)])
-                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("family"), sets], ["cls", "family", "shingles"])
+                names = ["cls", "family", "b", "parts"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets], [*names, "shingles"])
 
     return run
 
@@ -279,18 +280,22 @@ def linking(per_hundred: int):
     return run
 
 
-def links(docs: DataFrame, family: DataFrame, per_hundred: int, n: int) -> DataFrame:
-    """docs (id, text) and family (cls, family) to a forest of the links within the families."""
-    texts = docs.join(family, docs["id"] == family["cls"], "inner").select("cls", "family", "text")
-    sets = stored(texts.mapInArrow(setter(n), "cls long, family long, shingles binary"), "sets")
-    # Members in order of set size share blocks; a family of less than a block is block 0. A block is full by either limit.
-    thin = sets.select("family", "cls", (F.octet_length("shingles") / 8).cast("long").alias("size"))
-    totals = thin.groupBy("family").agg(F.count("*").alias("rows"), F.sum("size").alias("shingles"), F.max("size").alias("most"))
-    parts = F.greatest(F.ceil(F.col("rows") / FAMILY_BLOCK), F.ceil(F.col("shingles") / FAMILY_SHINGLES)).cast("int")
-    totals = totals.select("family", parts.alias("parts"), F.col("rows").alias("n"))
-    placed = lookup(sets, totals, "family", "n").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select(
+def links(docs: DataFrame, members: DataFrame, per_hundred: int, n: int) -> DataFrame:
+    """docs (id, text) and members (cls, family, size) to a forest of the links within the families.
+
+    A family of less than a block is one block; others are dealt to blocks by hashes, and each pair of blocks meets.
+    """
+    totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("shingles") / FAMILY_SHINGLES)).cast("int")
+    placed = lookup(members.select("cls", "family"), totals.select("family", parts.alias("parts"), "n"), "family", "n")
+    placed = stored(placed.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "members")
+    # Only texts of members are shuffled, and a few that pass the filter by mistake.
+    texts = likely(docs, "id", id_filter(placed.select("cls"))).join(placed, F.col("id") == F.col("cls"))
+    sets = texts.select("cls", "family", "b", "parts", "text").mapInArrow(
+        setter(n), "cls long, family long, b int, parts int, shingles binary"
+    )
+    spread = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select(
         "family",
         F.least("b", "o").alias("i"),
         F.greatest("b", "o").alias("j"),
@@ -298,7 +303,7 @@ def links(docs: DataFrame, family: DataFrame, per_hundred: int, n: int) -> DataF
         "cls",
         "shingles",
     )
-    dealt = placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    dealt = spread.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return dealt.mapInArrow(linking(per_hundred), "u long, v long")
 
 
@@ -320,12 +325,12 @@ def near_groups(
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = stored(plain.mapInArrow(scanned("id", "text", n), SCAN), "signatures")
     full = scan.where("n_shingles > 0 and id is not null")
-    first = F.min_by(F.struct("postings", "bytes"), "id").alias("s")
+    first = F.min_by(F.struct("postings", "bytes", "n_shingles"), "id").alias("s")
     classes = full.groupBy("set_hash").agg(F.min("id").alias("cls"), F.count("*").alias("n"), first)
-    classes = stored(classes.select("set_hash", "cls", "n", "s.postings", "s.bytes"), "classes")
+    classes = stored(classes.select("set_hash", "cls", "n", "s.postings", "s.bytes", F.col("s.n_shingles").alias("size")), "classes")
     matches = least_matches(per_hundred / 100)
-    family = families(classes, matches)
-    joined = components(links(plain, family, per_hundred, n))
+    members = families(classes, matches).join(classes.select("cls", "size"), "cls")
+    joined = components(links(plain, stored(members, "families"), per_hundred, n))
 
     roots = classes.select("set_hash", "n", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
     roots = roots.select("set_hash", "n", F.col("cls").alias("class_id"), F.coalesce("root", "cls").alias("component_id"))

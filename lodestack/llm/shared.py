@@ -58,6 +58,49 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
     return left.join(hot, key).unionByName(rest.join(cold, key, how).select(left.join(hot, key).columns))
 
 
+# ---------------------------------------------------------------- a filter of bounded size
+
+FILTER_BITS = 1 << 26
+FILTER_HASHES = 3
+
+
+def filter_places(ids: np.ndarray) -> np.ndarray:
+    """The bits of each id, a row a hash."""
+    h = ids.view(np.uint64)
+    return np.stack([mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(FILTER_BITS) for k in range(1, FILTER_HASHES + 1)])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of one long column: 8 MB whatever the number of rows; the more rows, the more pass by mistake."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(filter_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            word = (at >> np.uint64(6)).astype(np.int64)
+            mask = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask)], ["word", "mask"])
+
+    found = ids.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def likely(rows: DataFrame, id_col: str, passing: np.ndarray) -> DataFrame:
+    """rows whose id may be in the filter; no row whose id is in it is lost. Null ids are."""
+    held = rows.sparkSession.sparkContext.broadcast(passing)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(id_col)
+            at = filter_places(pc.fill_null(ids, 0).to_numpy().astype(np.int64))
+            hit = (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            kept = pa.array(hit.all(0) & pc.is_valid(ids).to_numpy(zero_copy_only=False))
+            yield batch.filter(kept)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 # ---------------------------------------------------------------- components
 
 
