@@ -123,6 +123,12 @@ class Encoder:
         return (np.concatenate(out) if n else np.empty(0, np.uint32)), bounds
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, so that frequent words are encoded once a worker."""
+    return Encoder(path)
+
+
 # ---------------------------------------------------------------- files
 
 
@@ -232,7 +238,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, writer, tokens = Encoder(path), None, 0
+        encode, writer, tokens = encoder(path), None, 0
         uri = f"{folder}/{uuid.uuid4().hex}.ids.zst"
         for batch in batches:
             for piece in pieces_of(batch, "text"):
@@ -276,7 +282,9 @@ def read_tokens(manifest: DataFrame, columns: Callable[[np.ndarray], dict], sche
 
     made = manifest.sparkSession.createDataFrame([], f"doc_id long, start long, {schema}").schema
     to_arrow = to_arrow_schema(made)
-    return manifest.select("uri", "start", "part").repartition("part").mapInArrow(read, made)
+    # A number of partitions that adaptive execution leaves as it is: the rows are few, what they name is not.
+    files = manifest.sparkSession.sparkContext.defaultParallelism * 4
+    return manifest.select("uri", "start", "part").repartition(files, "part").mapInArrow(read, made)
 
 
 def digest(ids: np.ndarray) -> dict:
