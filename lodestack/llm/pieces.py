@@ -315,6 +315,12 @@ class Encoder:
             yield out
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def decoded(p: Pieces, ids: np.ndarray) -> str:
     """The text of ids: pieces with their spaces, bytes as they are, without the space that stands before a text."""
     data = b"".join(map(p.bytes_of.__getitem__, ids.tolist()))
@@ -339,7 +345,7 @@ def encode(
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for part in pieces_of(batch, text_col):
                 texts = part.column(text_col)

@@ -286,7 +286,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                         k = to
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    spread = todo.repartition("uri", "run")
+    spread = todo.repartition(archives.sparkSession.sparkContext.defaultParallelism * 4, "uri", "run")
     return spread.mapInArrow(read, schema + ", payload binary" * payloads)
 
 
