@@ -101,10 +101,11 @@ def forward(p: Pieces, text: str) -> list[float]:
 def search(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best paths, best first: backward A* from the end, where forward scores are what remains exactly.
 
-    Of equal scores those come first whose last pieces are longer.
+    Of equal scores those come first whose last pieces are longer. The newest of equal entries goes on, so that ties
+    lead straight to the begin instead of into all their variants.
     """
     best = forward(p, text)
-    agenda, count, found = [(-best[-1], 0, len(text), 0.0, None)], 1, []
+    agenda, count, found = [(-best[-1], 0, len(text), 0.0, None)], -1, []
     while agenda and len(found) < n:
         _, _, place, done, path = heapq.heappop(agenda)
         if not place:
@@ -114,9 +115,9 @@ def search(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
                 path = path[1]
             found.append((done, tuple(ids)))
             continue
-        for begin, score, ids in p.edges(text, place):
+        for begin, score, ids in reversed(list(p.edges(text, place))):
             heapq.heappush(agenda, (-(best[begin] + score + done), count, begin, done + score, (ids, path)))
-            count += 1
+            count -= 1
     return found
 
 
@@ -300,7 +301,8 @@ class Encoder:
                     if not np.isfinite(near[k]):
                         continue
                     paths = self.searched(coded.dictionary[int(codes[lo + k])].as_py(), n)
-                    ways = [(paths[0][0] - s, x) for s, x in paths]
+                    own = tuple(ids[ends[lo + k] : ends[lo + k + 1]].tolist())
+                    ways = [(0.0, own), *((paths[0][0] - s, x) for s, x in paths if x != own)][:n]
                     combined = heapq.nsmallest(
                         n,
                         ((a + b, done + (((k, x),) if i else ())) for a, done in combined for i, (b, x) in enumerate(ways)),
