@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
 
 CHUNKER_VERSION = "boundary-1"
 INDEX_VERSION = 1
@@ -26,6 +26,25 @@ _DDL = {
     "agent_decisions": "decision_id string, decided_at string, agent string, domain string, summary string, rationale string, reversibility string, status string, supersedes string, session_ref string",
     "decision_links": "decision_id string, link_kind string, target string",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES: dict[str, DataType] = {
+    "string": StringType(),
+    "long": LongType(),
+    "int": IntegerType(),
+    "double": DoubleType(),
+    "boolean": BooleanType(),
+    "array<float>": ArrayType(FloatType()),
+}
+
+
+def schema_of(columns: str) -> StructType:
+    """The schema of "name type, ..."; unlike Spark's own parser it needs no session."""
+    out = StructType()
+    for column in columns.split(", "):
+        name, kind = column.split(" ")
+        out = out.add(name, _TYPES[kind])
+    return out
+
+
+SCHEMAS: dict[str, StructType] = {name: schema_of(ddl) for name, ddl in _DDL.items()}
 INDEX_TABLES = ("index_meta", "documents", "chunks", "vec_chunks")
 REGISTRY_TABLES = tuple(list(_DDL)[5:])

@@ -14,7 +14,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.naming import IndexIdentity, now_text, peak_memory, run_id
 from ..operators import merge
@@ -22,7 +21,7 @@ from ..operators.chunking import CHUNK_CHARS, chunk_documents, chunk_lines
 from ..operators.registry import resumable_run
 from ..plans.store import Index, Store
 from ..rules import checked
-from ..schema import SCHEMAS
+from ..schema import SCHEMAS, schema_of
 from ..session import checkpoint_dir
 from ..sources.corpus import Snapshot, contents, freeze, load_manifest
 from ..sources.embedding import BATCH, Embedder, embedded
@@ -30,7 +29,7 @@ from ..sources.embedding import BATCH, Embedder, embedded
 #: Documents a micro-batch.
 BATCH_DOCS = 1000
 
-DOCS = StructType.fromDDL("rel_path string, mtime_ns long, size long, sha256 string, state string")
+DOCS = schema_of("rel_path string, mtime_ns long, size long, sha256 string, state string")
 
 
 @dataclass(frozen=True)
@@ -180,7 +179,7 @@ def reindex(
         try:
             stream(spark, work, root, embedder, identity.dims, chunk_chars, embed_batch, by_lines)
             docs = spark.createDataFrame([], DOCS)
-            cut = spark.createDataFrame([], StructType.fromDDL("path string, seq long, start_offset long, end_offset long, text string, content_hash string, token_count long, embedding array<float>"))
+            cut = spark.createDataFrame([], schema_of("path string, seq long, start_offset long, end_offset long, text string, content_hash string, token_count long, embedding array<float>"))
             if batches:
                 docs = spark.read.schema(DOCS).parquet(f"file://{work.absolute()}/docs/*")
                 cut = spark.read.schema(cut.schema).parquet(f"file://{work.absolute()}/chunks/*")
