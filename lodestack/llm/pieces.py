@@ -29,7 +29,7 @@ BEST = 4
 UNKNOWN_PENALTY = 10.0
 #: Segments up to this length are solved as arrays, longer ones one by one.
 ARRAY_LENGTH = 48
-ARRAY_ROWS = 1 << 14
+ARRAY_ROWS = 1 << 13
 #: Distinct segments and searches that a worker keeps; others are solved each time they are met.
 KEPT_SEGMENTS, KEPT_SEARCHES = 300_000, 100_000
 NONE = -np.inf

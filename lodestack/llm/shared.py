@@ -117,10 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = lookup(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(lookup(both.where("v < u"), low, "u", "n").select("u", F.col("m").alias("v")).where("u <> v"))
-        large = stored(large.distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # Larger neighbours go to the least one, and so does the node itself.
+        large = lookup(both, stored(low, "low"), "u", "n").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u <> v").distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
         small = lookup(large, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v")
         now = stored(small.distinct(), "small")
