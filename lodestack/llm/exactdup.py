@@ -67,5 +67,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dropped = found.where("not kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
     dropped = stored(dropped.distinct(), "exact_dropped")
     digest = F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    same = docs[id_col].eqNullSafe(dropped["_id"]) & (digest == dropped["_digest"])
     return docs.join(dropped, same, "left_anti")

@@ -106,17 +106,19 @@ def mixed_documents(
     taken most.
     """
     takes = mixed_words(docs, id_col, text_col, source_col).where("taken > 0")
-    takes = takes.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    takes = takes.groupBy(F.col(id_col).alias("id"), "size").agg(F.max("taken").alias("taken"))
     takes = stored(takes, "takes")
-    rows = docs.withColumn("_words", words_in(F.col(text_col)))
-    rows = rows.join(takes, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), times)))
-    left = F.least(F.col("_size"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size"))
-    ends = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # after each word
-    cut = F.array_join(F.slice(ends, F.lit(1), left.cast("int")), "")
-    rows = rows.withColumn("_cut", left < F.col("_size"))
-    rows = rows.withColumn(text_col, F.when(F.col("_cut"), cut).otherwise(F.col(text_col)))
+    # The row goes along as one column, so that no name of docs meets another.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), words_in(F.col(text_col)).alias("words"))
+    rows = rows.join(takes, F.col(f"row.{id_col}").eqNullSafe(takes["id"]) & (F.col("words") == takes["size"]))
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), times)))
+    left = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
+    text = F.col(f"row.{text_col}")
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # after each word
+    cut = left < F.col("size")
+    text = F.when(cut, F.array_join(F.slice(ends, F.lit(1), left.cast("int")), "")).otherwise(text)
+    new = {text_col: text}
     if chars_col:
-        rows = rows.withColumn(chars_col, F.when(F.col("_cut"), F.length(text_col)).otherwise(F.col(chars_col)).cast("long"))
-    return rows.select(docs.columns)
+        new[chars_col] = F.when(cut, F.length(text).cast("long")).otherwise(F.col(f"row.{chars_col}"))
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -351,4 +351,4 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs that near_groups keeps, with all their columns."""
     found = near_groups(docs, id_col, text_col, per_hundred)
     dropped = stored(found.where("not kept").select(F.col(id_col).alias("_id")).distinct(), "near_dropped")
-    return docs.join(dropped, docs[id_col] == F.col("_id"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")

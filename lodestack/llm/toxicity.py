@@ -94,8 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_label"))
     known = known.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(rows)
-    sample = docs.join(F.broadcast(known), docs[id_col] == F.col("_id"))
-    sample = sample.select(F.col("_label").cast("int").alias("label"), F.col(text_col).alias("text"), "_h")
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
+    sample = sample.select(F.col("_label").cast("int").alias("label"), "text", "_h")
     sample = sample.repartition(1).sortWithinPartitions("_h", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
