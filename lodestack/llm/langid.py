@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import filled, mixed, pieces_of, ragged
+from .shared import filled, freeing, mixed, pieces_of, ragged
 
 #: Rows a language that the model is fitted on, those of the smallest hashes.
 TRAIN_ROWS = 1500
@@ -24,7 +24,7 @@ SWITCH = 6.0
 WORD_LIMIT = 8.0
 UNKNOWN = "und"
 #: Bytes of text that are labelled at once: long enough to share each step among many texts.
-PIECE = 6 << 20
+PIECE = 3 << 20
 
 # Script ranges of the Unicode standard, first and last code point; letters elsewhere are "other".
 SCRIPTS = {
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
                 [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(mine[at])], ["lang", "at", "n"]
             )
 
-    parts = sample.mapInArrow(counted, "lang string, at int, n double")
+    parts = sample.mapInArrow(freeing(counted), "lang string, at int, n double")
     rows_ = parts.groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows_["lang"].unique())
     counts = np.zeros((BUCKETS + len(NAMES), max(1, len(langs))))
@@ -318,7 +318,7 @@ def languages(
     schema = schema.add("lang_pred", "string").add("score", "double")
     if spans:
         schema = schema.add("spans", SPANS)
-    return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(label, schema)
+    return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(freeing(label), schema)
 
 
 def span_array(texts: list[str], w: Words, marks: np.ndarray, model: Model) -> pa.Array:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Forest, components, filled, hashes, id_filter, likely, lookup, mixed, pieces_of, ragged, stored, whole_groups, words_of
+from .shared import Forest, components, filled, freeing, hashes, id_filter, likely, lookup, mixed, pieces_of, ragged, stored, whole_groups, words_of
 
 WORDS = 5
 COORDINATES = 64
@@ -211,7 +211,7 @@ def families(classes: DataFrame, matches: int) -> DataFrame:
     )
     spread = spread.join(classes.select("cls", "bytes"), "cls")
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges = dealt.mapInArrow(matching(matches), "u long, v long")
+    edges = dealt.mapInArrow(freeing(matching(matches)), "u long, v long")
     return components(edges).select(F.col("node").alias("cls"), F.col("root").alias("family"))
 
 
@@ -292,7 +292,7 @@ def links(docs: DataFrame, members: DataFrame, per_hundred: int, n: int) -> Data
     # Only texts of members are shuffled, and a few that pass the filter by mistake.
     texts = likely(docs, "id", id_filter(placed.select("cls"))).join(placed, F.col("id") == F.col("cls"))
     sets = texts.select("cls", "family", "b", "parts", "text").mapInArrow(
-        setter(n), "cls long, family long, b int, parts int, shingles binary"
+        freeing(setter(n)), "cls long, family long, b int, parts int, shingles binary"
     )
     spread = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select(
@@ -304,7 +304,7 @@ def links(docs: DataFrame, members: DataFrame, per_hundred: int, n: int) -> Data
         "shingles",
     )
     dealt = spread.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return dealt.mapInArrow(linking(per_hundred), "u long, v long")
+    return dealt.mapInArrow(freeing(linking(per_hundred)), "u long, v long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -323,7 +323,7 @@ def near_groups(
     component and linked with nothing). Other columns of docs are not looked at.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = stored(plain.mapInArrow(scanned("id", "text", n), SCAN), "signatures")
+    scan = stored(plain.mapInArrow(freeing(scanned("id", "text", n)), SCAN), "signatures")
     full = scan.where("n_shingles > 0 and id is not null")
     first = F.min_by(F.struct("postings", "bytes", "n_shingles"), "id").alias("s")
     classes = full.groupBy("set_hash").agg(F.min("id").alias("cls"), F.count("*").alias("n"), first)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import filled, pieces_of, ragged
+from .shared import filled, freeing, pieces_of, ragged
 
 BEST = 4
 #: What a character of bytes scores below the worst piece, as in the public library.
@@ -30,6 +30,8 @@ UNKNOWN_PENALTY = 10.0
 #: Segments up to this length are solved as arrays, longer ones one by one.
 ARRAY_LENGTH = 48
 ARRAY_ROWS = 1 << 13
+#: Bytes of text that are encoded at once.
+PIECE = 2 << 20
 #: Distinct segments and searches that a worker keeps; others are solved each time they are met.
 KEPT_SEGMENTS, KEPT_SEARCHES = 300_000, 100_000
 NONE = -np.inf
@@ -349,7 +351,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
-            for part in pieces_of(batch, text_col):
+            for part in pieces_of(batch, text_col, PIECE):
                 texts = part.column(text_col)
                 sizes, scores, crcs, equal, best = [], [], [], [], []
                 for text, found in zip(texts.to_pylist(), encoder(texts, n), strict=True):
@@ -365,7 +367,7 @@ def encode(
                     out.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(best))))
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(run, schema)
+    return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(freeing(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +200,23 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.concat_tables(held).combine_chunks()
 
 
+# ---------------------------------------------------------------- memory of workers
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freeing(run: Task) -> Task:
+    """run, after which Arrow's pool gives its free pages back: workers outlive their tasks and share an executor."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return freed
+
+
 # ---------------------------------------------------------------- texts in numpy
 
 
