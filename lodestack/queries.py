@@ -82,6 +82,19 @@ def knn_join(spark, sf_dir):
     return knn.knn_join(vectors, asked, 5).withColumn("distance", F.round("distance", 6))
 
 
+@query("""
+    WITH p AS (
+      SELECT q.vec_id AS query_id, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d
+      FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM p)
+    SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
+def knn_join_hundredths(spark, sf_dir):
+    """knn_join for every id divisible by 100, so that the query set grows with the table."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return knn.knn_join(vectors, asked, 5).withColumn("distance", F.round("distance", 6))
+
+
 @query("""
     SELECT label, count(*) AS n, round(avg(list_distance(embedding::DOUBLE[], [0.0 FOR i IN range(64)])), 6) AS mean_norm
     FROM embeddings GROUP BY label""")
