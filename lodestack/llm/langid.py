@@ -166,7 +166,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     # The table of sizes has a row a language, as the model has a column; so it can be broadcast.
     sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n")))
     low = known.withColumn("h", F.xxhash64("text")).join(sizes, "lang")
-    low = low.where(F.pmod("h", F.lit(1 << 40)) * F.col("n") < float(2 * rows) * (1 << 40))
+    # The limit is a double: a product of hash and count would leave the range of long from 2^23 rows a language on.
+    low = low.where(F.pmod("h", F.lit(1 << 40)) < F.lit(float(2 * rows) * (1 << 40)) / F.col("n"))
     low = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = low.withColumn("k", rank).where(F.col("k") <= rows).select("lang", "text").repartition(16)
@@ -235,7 +236,8 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     active = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts with more than t words
     where = np.concatenate([[0], np.cumsum(active)])
     changed = np.zeros((where[-1], scores.shape[1]), bool)
-    best = np.zeros(where[-1], np.uint8)
+    kind = np.min_scalar_type(max(0, scores.shape[1] - 1))  # holds every language's number
+    best = np.zeros(where[-1], kind)
     v = np.zeros((len(lengths), scores.shape[1]), np.float32)
     for t in range(steps):
         n = active[t]
@@ -249,7 +251,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
             np.copyto(now, np.broadcast_to(high[:, None], now.shape), where=less)
         now += scores[starts[:n] + t]
     state = v.argmax(1)
-    out = np.empty(len(scores), np.uint8)
+    out = np.empty(len(scores), kind)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         out[starts[:n] + t] = state[:n]
