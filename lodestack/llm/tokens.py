@@ -54,20 +54,20 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, each distinct word encoded once.
 
     Such a tokenizer splits text before every single space between two other characters, so the words between
-    can be encoded apart, each with its space. Texts with white space next to a space are encoded as they are.
+    can be encoded apart, each with its space. Texts with white space next to a space are encoded as they are, and so
+    are texts that hold the string of an added token, which the library looks for in the text before it splits it.
     """
 
     def __init__(self, path: str) -> None:
         self.of = tokenizer(path)
+        self.added = sorted({x.content for x in self.of.get_added_tokens_decoder().values()})
         self.words = pa.array([], pa.large_string())
         self.ids = np.empty(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
@@ -99,6 +99,8 @@ class Encoder:
         """Ids of all texts, one text's after the other, and the bounds of each text's."""
         n = len(texts)
         odd = pc.match_substring_regex(texts, ODD_SPACE)
+        for string in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, string))
         odd = odd.to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * n
         ids, ends = self.encode(texts.filter(pa.array(odd)).to_pylist())
