@@ -8,6 +8,7 @@ the block word by word, and the words that are missing and that stand between ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -28,8 +29,10 @@ GAP, BLOCK_LINES = 4, 80
 #: Longer lines are cut after sentences.
 LINE_CHARS = 300
 
-# Words that every license text or statement holds one of.
-KEYWORDS = r"licen[sc]|copyright|copyleft|spdx|warrant|permission|redistribut|creative commons|public domain|all rights reserved|\bcc[ -]by\b|\bcc0\b|\b[al]?gpl"
+# Words that every license text or statement holds one of, whatever stands between two words (_) and at
+# either end (<, >); the same in Java and Python. A test holds every wording of templates() against it.
+KEYWORDS = r"licen[sc]|copyright|copyleft|spdx|warrant|permission|redistribut|creative_commons|public_domain|all_rights_reserved|<cc_by>|<cc0>|<[al]?gpl|<under_(?:the_terms_of_)?(?:the_)?(?:mit|mpl)>"
+KEYWORDS = KEYWORDS.replace("<", "(?<![a-zA-Z0-9])").replace(">", "(?![a-zA-Z0-9])").replace("_", "[^a-zA-Z0-9]+")
 
 # Names of licenses as statements give them; every statement of the list below is made with each.
 NAMES = {
@@ -147,7 +150,11 @@ def blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
             lines.append(line.span())
         else:
             lines += [(line.start() + m.start(), line.start() + m.end()) for m in re.finditer(r".+?(?:[.:;!?](?=\s)|$)", line[0])]
-    marked = [k for k, (a, b) in enumerate(lines) if KEYWORD.search(text, a, b)]
+    begins, found = [a for a, _ in lines], []
+    for m in KEYWORD.finditer(text):  # over line breaks too: a keyword's lines are read as one
+        found.append((max(0, bisect_right(begins, m.start()) - 1), bisect_left(begins, m.end()) - 1))
+    marked = sorted({k for a, b in found for k in range(a, b + 1)})
+    units = sorted({(k, k) for k in marked} | set(found))
     k = 0
     while k < len(marked):
         to = k
@@ -156,7 +163,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         first, last = max(0, marked[k] - 1), min(len(lines) - 1, marked[to] + 1)
         for at in range(first, last + 1, BLOCK_LINES // 2):
             end = min(last, at + BLOCK_LINES - 1)
-            yield lines[at][0], lines[end][1], [lines[x] for x in marked[k : to + 1] if at <= x <= end]
+            keyed = units[bisect_left(units, (at, at)) : bisect_left(units, (end + 1, 0))]
+            yield lines[at][0], lines[end][1], [(lines[x][0], lines[min(y, end)][1]) for x, y in keyed]
             if end == last:
                 break
         k = to + 1
