@@ -10,9 +10,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,6 +182,7 @@ def best_of(text: str, begin: int, end: int, keyed: list[tuple[int, int]]) -> li
     return sorted(best.values(), key=lambda x: (-x[1], x[2]))
 
 
+@lru_cache(1 << 12)
 def ranked(block: str) -> list[tuple[float, int, str]]:
     """Licenses whose wordings as a dictionary save enough of the block: share saved, bytes saved, name; best first."""
     plain, made = compressors()
@@ -191,44 +192,117 @@ def ranked(block: str) -> list[tuple[float, int, str]]:
     return sorted(((s / alone, s, name) for s, name in saved if s >= LEAST_BYTES or s >= LEAST_SHARE * alone), key=lambda x: (-x[1], x[2]))
 
 
-def difference(words: list[str], kind: str, wording: list[str]) -> tuple[int, int, list[str], list[str]] | None:
-    """The wording's place among the words (first, end), the wording's words that are missing, and those between."""
-    if kind == "statement":
-        n = len(wording)
-        for at in range(len(words) - n + 1):
-            if words[at] == wording[0] and words[at : at + n] == wording:
-                return at, at + n, [], []
-        return None
-    runs = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
-    matched = sum(m.size for m in runs)
-    if not runs or len(wording) - matched > MISSING * len(wording):
-        return None
-    first, end = runs[0].b, runs[-1].b + runs[-1].size
-    inside = {k for m in runs for k in range(m.b, m.b + m.size)}
-    between = [words[k] for k in range(first, end) if k not in inside]
-    if len(between) > BETWEEN * len(wording):
+def places(words: list[str], wording: list[str]) -> Iterator[int]:
+    """Every place of a wording that doesn't overlap the one before, word by word."""
+    at, n = 0, len(wording)
+    while True:
+        try:
+            at = words.index(wording[0], at)
+        except ValueError:
+            return
+        if words[at : at + n] == wording:
+            yield at
+            at += n
+        else:
+            at += 1
+
+
+def ends(words: list[str], wording: list[str]) -> list[int]:
+    """Places where a notice may end. None is lost: a notice within the limits costs at most 2 * len(wording) here.
+
+    Missing words cost 1 / MISSING, words between 1 / BETWEEN, and words in front nothing; the least cost of every
+    end is found a word of the wording at a time.
+    """
+    n, known = len(wording), {w: k for k, w in enumerate(dict.fromkeys(wording))}
+    coded = np.array([known.get(w, -1) for w in words], np.int64)
+    missing, between, step = 1 / MISSING, 1 / BETWEEN, np.arange(len(words) + 1) / BETWEEN
+    cost = np.zeros(len(words) + 1)
+    for w in wording:
+        fresh = cost + missing
+        fresh[1:] = np.minimum(fresh[1:], np.where(coded == known[w], cost[:-1], np.inf))
+        cost = np.minimum.accumulate(fresh - step) + step
+    last = {known[w] for w in wording[n - 1 - int(MISSING * n) :]}
+    return [k for k in (np.flatnonzero(cost[1:] <= 2 * n + 1e-6) + 1).tolist() if coded[k - 1] in last]
+
+
+def aligned(words: list[str], wording: list[str], end: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """Of the notices that end there the one with fewest words missing and between: where it begins, and pairs (wording, words)."""
+    n = len(wording)
+    low = max(0, end - n - int(BETWEEN * n))
+    tail, m = wording[::-1], end - low
+    seen = words[low:end][::-1]
+    rows = [[0] * (m + 1)]  # common words of the last k of the wording and the last j of the words
+    for w in tail:
+        above, row = rows[-1], [0] * (m + 1)
+        for j in range(1, m + 1):
+            row[j] = above[j - 1] + 1 if seen[j - 1] == w else max(above[j], row[j - 1])
+        rows.append(row)
+    fit = [(n + j - 2 * c, j) for j, c in enumerate(rows[n]) if n - c <= MISSING * n and j - c <= BETWEEN * n]
+    if not fit:
         return None
-    held = {k for m in runs for k in range(m.a, m.a + m.size)}
-    return first, end, [w for k, w in enumerate(wording) if k not in held], between
+    _, j = min(fit)
+    start, k, pairs = end - j, n, []
+    while k and j:
+        if seen[j - 1] == tail[k - 1]:
+            pairs.append((n - k, end - j))
+            k, j = k - 1, j - 1
+        elif rows[k - 1][j] >= rows[k][j - 1]:
+            k -= 1
+        else:
+            j -= 1
+    return start, pairs
+
+
+def differences(words: list[str], kind: str, wording: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
+    """The wording's places among the words (first, end), the wording's words that are missing, and those between.
+
+    All that don't overlap; of notices that do, those with fewest words missing and between.
+    """
+    if kind == "statement":
+        return [(at, at + len(wording), [], []) for at in places(words, wording)]
+    made = []
+    for end in ends(words, wording):
+        got = aligned(words, wording, end)
+        if got:
+            start, pairs = got
+            own, there = {k for k, _ in pairs}, {k for _, k in pairs}
+            made.append((start, end, [w for k, w in enumerate(wording) if k not in own], [words[k] for k in range(start, end) if k not in there]))
+    taken = Taken()
+    return [x for x in sorted(made, key=lambda x: (len(x[2]) + len(x[3]), x[0], x[1])) if taken.add(x[0], x[1])]
+
+
+class Taken:
+    """Ranges that don't overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """False if the range overlaps one that is there."""
+        k = bisect_left(self.starts, end)
+        if k and self.ends[k - 1] > start:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
 
 
 def found_in(text: str) -> list[dict]:
     """Licenses of a text, in order of place: license, kind, start and end in characters, saved, missing, between."""
-    out: list[dict] = []
+    here = []
     for begin, end, keyed in blocks(text):
-        block = text[begin:end]
-        words, spans = worded(block)
-        here = []
+        words, spans = worded(text[begin:end])
         for share, size, name in best_of(text, begin, end, keyed):
             for kind, wording in templates()[name]:
-                got = difference(words, kind, wording)
-                if got:
-                    here.append((got[1] - got[0], size, share, name, kind, got))
-        # The longest wording wins where wordings overlap; of equal ones that whose dictionary saves more.
-        for _, size, share, name, kind, (a, b, missing, between) in sorted(here, key=lambda x: (-x[0], -x[1], x[3])):
-            start, stop = begin + spans[a][0], begin + spans[b - 1][1]
-            if all(stop <= x["start"] or start >= x["end"] for x in out):
-                out.append({"license": name, "kind": kind, "start": start, "end": stop, "saved_bytes": size, "saved_share": share, "missing": missing, "between": between})
+                for a, b, missing, between in differences(words, kind, wording):
+                    here.append((begin + spans[a][0], begin + spans[b - 1][1], b - a, size, share, name, kind, missing, between))
+    # The longest wording wins where wordings overlap; of equal ones that whose dictionary saves more. Blocks overlap,
+    # so this is settled over all of them.
+    taken, out = Taken(), []
+    for start, stop, _, size, share, name, kind, missing, between in sorted(here, key=lambda x: (-x[2], -x[3], x[5], x[0], -x[4])):
+        if taken.add(start, stop):
+            out.append({"license": name, "kind": kind, "start": start, "end": stop, "saved_bytes": size, "saved_share": share, "missing": missing, "between": between})
     return sorted(out, key=lambda x: x["start"])
 
 

@@ -19,3 +19,13 @@ def test_short_statements(spark, text, name):
     whole = "Some words of prose that stand in front of it.\n" * 20 + text + "\nAnd more that come after it.\n" * 20
     docs = spark.createDataFrame([(1, whole)], "doc_id long, text string")
     assert [(r.license, whole[r.start : r.end]) for r in licenses.scan(docs).collect()] == [(name, text.rstrip("."))]
+
+
+def test_every_place_of_a_statement_and_of_a_notice():
+    line = "Figure. Licensed under CC BY 4.0\n"
+    found = licenses.found_in(line * 300)
+    assert [(x["license"], x["start"]) for x in found] == [("CC-BY-4.0", k * len(line) + 8) for k in range(300)]
+    mit = licenses.NOTICES["MIT"][0]
+    copies = [mit, mit.replace("furnished", "given"), mit.replace("hereby ", ""), mit.replace("charge", "any charge")]
+    found = licenses.found_in("\n\nfile\n\n".join(copies * 20))
+    assert [(x["license"], x["missing"], x["between"]) for x in found] == [("MIT", [], []), ("MIT", ["furnished"], ["given"]), ("MIT", ["hereby"], []), ("MIT", [], ["any"])] * 20
