@@ -88,6 +88,12 @@ NOTICES = {
     "GPL-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "LGPL-2.0": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
     "LGPL-3.0": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
     ],
@@ -103,6 +109,18 @@ NOTICES = {
     "Proprietary": ["All rights reserved."],
 }
 
+# Words of notices that tell licenses apart, each run of them whole: name and version.
+IDENTITY = {
+    "Apache-2.0": ["Apache License", "2.0"],
+    "GPL-2.0": ["GNU General Public License", "2"],
+    "GPL-3.0": ["GNU General Public License", "3"],
+    "LGPL-2.0": ["GNU Library General Public License", "2"],
+    "LGPL-2.1": ["GNU Lesser General Public License", "2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License", "3"],
+    "AGPL-3.0": ["GNU Affero General Public License", "3"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"],
+}
+
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 
 
@@ -192,6 +210,25 @@ def ranked(block: str) -> list[tuple[float, int, str]]:
     return sorted(((s / alone, s, name) for s, name in saved if s >= LEAST_BYTES or s >= LEAST_SHARE * alone), key=lambda x: (-x[1], x[2]))
 
 
+def plain_word(word: str) -> str:
+    """Spellings of one word as one: licence, and versions with v in front or .0 behind."""
+    return "license" if word == "licence" else VERSION.sub(r"\1", word)
+
+
+VERSION = re.compile(r"^v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*$")
+
+
+@lru_cache(None)
+def identity(name: str, wording: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Where the words that identify the license stand in its notice: first, end."""
+    out = []
+    for run in IDENTITY.get(name, []):
+        told = worded(run)[0]
+        at = next(k for k in range(len(wording)) if list(wording[k : k + len(told)]) == told)
+        out.append((at, at + len(told)))
+    return out
+
+
 def places(words: list[str], wording: list[str]) -> Iterator[int]:
     """Every place of a wording that doesn't overlap the one before, word by word."""
     at, n = 0, len(wording)
@@ -253,18 +290,24 @@ def aligned(words: list[str], wording: list[str], end: int) -> tuple[int, list[t
     return start, pairs
 
 
-def differences(words: list[str], kind: str, wording: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
+def differences(words: list[str], kind: str, wording: list[str], name: str = "") -> list[tuple[int, int, list[str], list[str]]]:
     """The wording's places among the words (first, end), the wording's words that are missing, and those between.
 
-    All that don't overlap; of notices that do, those with fewest words missing and between.
+    All that don't overlap; of notices that do, those with fewest words missing and between. A notice's words that
+    identify its license must stand there whole, in any spelling; other spellings count as differences.
     """
     if kind == "statement":
         return [(at, at + len(wording), [], []) for at in places(words, wording)]
-    made = []
-    for end in ends(words, wording):
-        got = aligned(words, wording, end)
+    made, told = [], identity(name, tuple(wording))
+    plain, wanted = [plain_word(w) for w in words], [plain_word(w) for w in wording]
+    for end in ends(plain, wanted):
+        got = aligned(plain, wanted, end)
         if got:
             start, pairs = got
+            at = dict(pairs)
+            if not all(b - 1 in at and plain[max(0, at[b - 1] + 1 - (b - a)) : at[b - 1] + 1] == wanted[a:b] for a, b in told):
+                continue
+            pairs = [(k, x) for k, x in pairs if words[x] == wording[k]]
             own, there = {k for k, _ in pairs}, {k for _, k in pairs}
             made.append((start, end, [w for k, w in enumerate(wording) if k not in own], [words[k] for k in range(start, end) if k not in there]))
     taken = Taken()
@@ -295,12 +338,13 @@ def found_in(text: str) -> list[dict]:
         words, spans = worded(text[begin:end])
         for share, size, name in best_of(text, begin, end, keyed):
             for kind, wording in templates()[name]:
-                for a, b, missing, between in differences(words, kind, wording):
-                    here.append((begin + spans[a][0], begin + spans[b - 1][1], b - a, size, share, name, kind, missing, between))
-    # The longest wording wins where wordings overlap; of equal ones that whose dictionary saves more. Blocks overlap,
-    # so this is settled over all of them.
+                for a, b, missing, between in differences(words, kind, wording, name):
+                    unlike = len(missing) + len(between)
+                    here.append((begin + spans[a][0], begin + spans[b - 1][1], len(wording) - unlike, unlike, size, share, name, kind, missing, between))
+    # Where wordings overlap the longest wins, less its differences; of equal ones that with fewest differences, then that
+    # whose dictionary saves more. Blocks overlap, so this is settled over all of them.
     taken, out = Taken(), []
-    for start, stop, _, size, share, name, kind, missing, between in sorted(here, key=lambda x: (-x[2], -x[3], x[5], x[0], -x[4])):
+    for start, stop, _, _, size, share, name, kind, missing, between in sorted(here, key=lambda x: (-x[2], x[3], -x[4], x[6], x[0], -x[5])):
         if taken.add(start, stop):
             out.append({"license": name, "kind": kind, "start": start, "end": stop, "saved_bytes": size, "saved_share": share, "missing": missing, "between": between})
     return sorted(out, key=lambda x: x["start"])

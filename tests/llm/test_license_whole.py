@@ -29,3 +29,21 @@ def test_every_place_of_a_statement_and_of_a_notice():
     copies = [mit, mit.replace("furnished", "given"), mit.replace("hereby ", ""), mit.replace("charge", "any charge")]
     found = licenses.found_in("\n\nfile\n\n".join(copies * 20))
     assert [(x["license"], x["missing"], x["between"]) for x in found] == [("MIT", [], []), ("MIT", ["furnished"], ["given"]), ("MIT", ["hereby"], []), ("MIT", [], ["any"])] * 20
+
+
+@pytest.mark.parametrize("name", sorted(licenses.IDENTITY))
+def test_headers_name_their_license(name):
+    (notice,) = licenses.NOTICES[name]
+    other = notice.replace("published", "issued").replace("in compliance", "in full compliance").replace("distributed", "shipped")
+    for text in (notice, other, f"{notice}\n\n{other}"):
+        found = [x for x in licenses.found_in(text) if x["kind"] == "notice"]
+        assert [x["license"] for x in found] == [name] * (1 + ("\n\n" in text))
+    assert found[0]["missing"] == found[0]["between"] == []
+
+
+def test_names_and_versions_must_be_there():
+    gpl = licenses.NOTICES["GPL-3.0"][0]
+    (spelt,) = licenses.found_in(gpl.replace("version 3", "version 3.0"))
+    assert (spelt["license"], spelt["missing"], spelt["between"]) == ("GPL-3.0", ["3"], ["3.0"])
+    assert licenses.found_in(gpl.replace("version 3", "version 7")) == []
+    assert licenses.found_in(gpl.replace("GNU General", "GNU Other General")) == []
