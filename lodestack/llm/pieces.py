@@ -331,20 +331,26 @@ def decoded(p: Pieces, ids: np.ndarray) -> str:
     return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def listed(paths: list[np.ndarray]) -> pa.ListArray:
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in paths])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.empty(0, np.int32), *paths]), pa.int32()))
+
+
 def encode(
     docs: DataFrame, path: str, n: int = BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ids: bool = True
 ) -> DataFrame:
-    """One row per row of docs: id, the columns in keep, n_pieces, nbest_scores, nbest_crc32, decoded_equal, and ids.
+    """One row per row of docs: id, the columns in keep, n_pieces, nbest_scores, nbest_crc32, decoded_equal, nbest_ids, and ids.
 
     The whole text is encoded. nbest_scores holds the scores of the n best segmentations, best first (fewer if the
-    text has fewer), nbest_crc32 the crc32 of each one's ids as little-endian unsigned 32-bit integers; n_pieces and
-    ids are of the best, and decoded_equal tells whether decoding it gives the text. Null and empty texts have one
+    text has fewer), nbest_ids each one's ids, nbest_crc32 their crc32 as little-endian unsigned 32-bit integers; n_pieces
+    and ids are of the best, and decoded_equal tells whether decoding gives the text for each of the n. Null and empty texts have one
     segmentation, without pieces and of score 0. The character U+2581 in a text is encoded by its bytes, so that
     decoding gives it back. Repeated rows are encoded alike; other columns are not looked at.
     """
     names = [id_col, *keep]
     schema = T.StructType([docs.schema[c] for c in names]).add("n_pieces", "long").add("nbest_scores", T.ArrayType(T.DoubleType()))
     schema = schema.add("nbest_crc32", T.ArrayType(T.LongType())).add("decoded_equal", "boolean")
+    schema = schema.add("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType())))
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
@@ -353,18 +359,20 @@ def encode(
         for batch in batches:
             for part in pieces_of(batch, text_col, PIECE):
                 texts = part.column(text_col)
-                sizes, scores, crcs, equal, best = [], [], [], [], []
+                sizes, scores, crcs, equal, paths, many = [], [], [], [], [], []
                 for text, found in zip(texts.to_pylist(), encoder(texts, n), strict=True):
                     sizes.append(len(found[0][1]))
                     scores.append([s for s, _ in found])
                     crcs.append([zlib.crc32(x.astype("<u4").tobytes()) for _, x in found])
-                    equal.append(decoded(encoder.p, found[0][1]) == (text or ""))
-                    best.append(found[0][1])
+                    equal.append(all(decoded(encoder.p, x) == (text or "") for _, x in found))
+                    paths += [x for _, x in found]
+                    many.append(len(found))
                 out = [part.column(c) for c in names]
                 out += [pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(equal)]
+                firsts = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(firsts), listed(paths)))
                 if ids:
-                    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(best))))
+                    out.append(listed([paths[k] for k in firsts[:-1]]))
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(freeing(run), schema)
