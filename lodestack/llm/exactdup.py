@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lookup, stored
+from .shared import lookup, sifted, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
@@ -37,10 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     keys = stored(keys, "exact_keys")
 
-    lengths = keys.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1")
-    second = lookup(keys.select("bytes", "prefix"), lengths, "bytes", "n")
-    prefixes = second.groupBy("bytes", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    prefixes = prefixes.select(F.struct("bytes", "prefix").alias("level"), "n")
+    prefixes = shared_prefixes(keys)
     third = lookup(
         keys.select(F.struct("bytes", "prefix").alias("level"), "digest", "id"), prefixes, "level", "n"
     )
@@ -61,11 +58,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def shared_prefixes(keys: DataFrame) -> DataFrame:
+    """Of stored keys (bytes, prefix), those that several rows have: level, n. First lengths, then prefixes within them."""
+    lengths = stored(keys.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1"), "lengths")
+    second = lookup(keys.select("bytes", "prefix"), lengths, "bytes", "n")
+    prefixes = second.groupBy("bytes", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    return stored(prefixes.select(F.struct("bytes", "prefix").alias("level"), "n"), "prefixes")
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns; repeats of a kept row's id and text stay."""
-    found = exact_groups(docs, id_col, text_col)
-    dropped = found.where("not kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    dropped = stored(dropped.distinct(), "exact_dropped")
-    digest = F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256))
-    same = docs[id_col].eqNullSafe(dropped["_id"]) & (digest == dropped["_digest"])
-    return docs.join(dropped, same, "left_anti")
+    """The rows of docs that exact_groups keeps, with all their columns; repeats of a kept row's id and text stay.
+
+    Lengths and prefixes come first, and only texts that share both with another are read in full and hashed. No text
+    is shuffled but those of rows that share their id's mark with a dropped row (see sifted).
+    """
+    # Lower-casing A-Z changes no length, and of the prefix only what it holds.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    start = F.xxhash64(normalised(F.substring(text, 1, PREFIX_CHARS)))
+    keys = stored(docs.select(F.octet_length(text).alias("bytes"), start.alias("prefix")), "exact_keys")
+    levels = stored(shared_prefixes(keys).select(F.xxhash64("level.bytes", "level.prefix").alias("h")), "levels")
+    again, _ = sifted(docs, F.xxhash64(F.octet_length(text), start), levels)
+    digest = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    full = stored(again.select(F.col(id_col).alias("id"), digest.alias("digest")), "digests")
+    groups = full.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+    dropped = lookup(full, stored(groups, "exact_groups"), "digest", "n").where(~F.col("id").eqNullSafe(F.col("keep_id")))
+    dropped = stored(dropped.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "exact_dropped")
+    marks = stored(dropped.select(F.xxhash64("_id").alias("h")), "dropped_marks")
+    maybe, sure = sifted(docs, F.xxhash64(id_col), marks)
+    same = maybe[id_col].eqNullSafe(dropped["_id"]) & (digest == dropped["_digest"])
+    return sure.unionByName(maybe.join(dropped, same, "left_anti"))

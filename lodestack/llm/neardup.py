@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Forest, components, filled, freeing, hashes, id_filter, likely, lookup, mixed, pieces_of, ragged, stored, whole_groups, words_of
+from .shared import Forest, components, filled, freeing, hashes, in_small_batches, lookup, mixed, pieces_of, ragged, sifted, stored, whole_groups, words_of
 
 WORDS = 5
 COORDINATES = 64
@@ -192,7 +192,7 @@ def families(classes: DataFrame, matches: int) -> DataFrame:
     # Without the bytes; a posting is two numbers.
     posts = classes.select("cls", F.explode("postings").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("times", F.col("n"))
-    kept = lookup(posts, shared, "key", "n").select("cls", F.struct("times", "key").alias("post"))
+    kept = lookup(posts, stored(shared, "shared_values"), "key", "n").select("cls", F.struct("times", "key").alias("post"))
     prefix = kept.groupBy("cls").agg(F.array_sort(F.collect_list("post")).alias("posts"))  # COORDINATES at most
     prefix = prefix.where(F.size("posts") >= matches).select(
         "cls", F.explode(F.expr(f"slice(posts, 1, size(posts) - {matches} + 1)")).alias("post")
@@ -287,10 +287,13 @@ def links(docs: DataFrame, members: DataFrame, per_hundred: int, n: int) -> Data
     """
     totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("shingles") / FAMILY_SHINGLES)).cast("int")
-    placed = lookup(members.select("cls", "family"), totals.select("family", parts.alias("parts"), "n"), "family", "n")
+    totals = stored(totals.select("family", parts.alias("parts"), "n"), "family_sizes")
+    placed = lookup(members.select("cls", "family"), totals, "family", "n")
     placed = stored(placed.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "members")
     # Only texts of members are shuffled, and a few that pass the filter by mistake.
-    texts = likely(docs, "id", id_filter(placed.select("cls"))).join(placed, F.col("id") == F.col("cls"))
+    marks = stored(placed.select(F.xxhash64("cls").alias("h")), "member_marks")
+    maybe, _ = sifted(docs.where("id is not null"), F.xxhash64("id"), marks)
+    texts = maybe.join(placed, F.col("id") == F.col("cls"))
     sets = texts.select("cls", "family", "b", "parts", "text").mapInArrow(
         freeing(setter(n)), "cls long, family long, b int, parts int, shingles binary"
     )
@@ -323,7 +326,7 @@ def near_groups(
     component and linked with nothing). Other columns of docs are not looked at.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = stored(plain.mapInArrow(freeing(scanned("id", "text", n)), SCAN), "signatures")
+    scan = stored(in_small_batches(plain).mapInArrow(freeing(scanned("id", "text", n)), SCAN), "signatures")
     full = scan.where("n_shingles > 0 and id is not null")
     first = F.min_by(F.struct("postings", "bytes", "n_shingles"), "id").alias("s")
     classes = full.groupBy("set_hash").agg(F.min("id").alias("cls"), F.count("*").alias("n"), first)
@@ -348,7 +351,9 @@ def near_groups(
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_hundred: int = 80) -> DataFrame:
-    """The rows of docs that near_groups keeps, with all their columns."""
+    """The rows of docs that near_groups keeps, with all their columns; no text is shuffled but those that go (see sifted)."""
     found = near_groups(docs, id_col, text_col, per_hundred)
     dropped = stored(found.where("not kept").select(F.col(id_col).alias("_id")).distinct(), "near_dropped")
-    return docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")
+    marks = stored(dropped.select(F.xxhash64("_id").alias("h")), "dropped_marks")
+    maybe, sure = sifted(docs, F.xxhash64(id_col), marks)
+    return sure.unionByName(maybe.join(dropped, maybe[id_col] == dropped["_id"], "left_anti"))

@@ -6,6 +6,10 @@ apart in segments there, and each distinct segment is solved once: forward Viter
 at a time), and with the backward scores how much its second best path loses. The N best paths of a text leave the best
 path only in the N - 1 segments that lose least; of these a backward A* search, with the forward scores as exact
 heuristics, gives the best paths in order, and the N least sums of losses are the text's.
+
+A unigram model brings log-probabilities. A BPE model has none: its scores are merge ranks, and the public library
+refuses N-best for it. Sums of ranks mean nothing, so for such a model the lattice is scored by Zipf's law,
+p ~ 1 / (rank + 1), and the model's own ids, those of its merges, are given beside the N best segmentations.
 """
 
 from __future__ import annotations
@@ -22,44 +26,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import filled, freeing, pieces_of, ragged
+from .shared import filled, freeing, in_small_batches, pieces_of, ragged
 
 BEST = 4
 #: What a character of bytes scores below the worst piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
-#: Segments up to this length are solved as arrays, longer ones one by one.
+#: Scores are multiples of this, so that their sums are exact and equal paths have equal scores.
+SCORE_UNIT = 2.0**-20
+#: Segments up to this length are solved as arrays of at most so many places, longer ones one by one.
 ARRAY_LENGTH = 48
-ARRAY_ROWS = 1 << 13
+ARRAY_PLACES = 1 << 16
 #: Bytes of text that are encoded at once.
-PIECE = 2 << 20
-#: Distinct segments and searches that a worker keeps; others are solved each time they are met.
-KEPT_SEGMENTS, KEPT_SEARCHES = 300_000, 100_000
+PIECE = 1 << 20
+#: Distinct segments and searches that a task keeps; others are solved each time they are met.
+KEPT_SEGMENTS, KEPT_SEARCHES = 80_000, 10_000
 NONE = -np.inf
 BASE = np.uint64(0x100000001B3)
 
 
+def zipf_scores(scores: np.ndarray) -> np.ndarray:
+    """The scores, or, if they are the merge ranks of a BPE model (0, -1, -2, ...), log-probabilities by Zipf's law."""
+    if not np.array_equal(scores, np.round(scores)):
+        return scores
+    rank = np.searchsorted(np.sort(-scores), -scores)  # equal scores share the first rank
+    return -np.log(rank + 1.0) - np.log((1 / (rank + 1.0)).sum())
+
+
 class Pieces:
     """The model's pieces with spaces as themselves, for lookups by text and, in arrays, by hashes a length."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes_of: list[bytes] = []
+        self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.normalize("\ufb01  \u2460") != sp.normalize("x").replace("x", "\ufb01▁▁\u2460"):
+            raise ValueError("the model alters texts before it cuts them")
+        self.bytes_of: list[bytes] = [b""] * sp.vocab_size()
         self.byte_ids = [0] * 256
-        self.of: dict[str, tuple[int, float]] = {}
+        plain: list[tuple[str, int]] = []
         for i in range(sp.vocab_size()):
             piece = sp.id_to_piece(i).replace("▁", " ")
             if sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-            elif sp.is_control(i) or sp.is_unknown(i):
-                self.bytes_of.append(b"")
-            else:
-                self.of[piece] = (i, float(sp.get_score(i)))
-                self.bytes_of.append(piece.encode())
-        if any(" " in p.lstrip(" ") or "\n" in p for p in self.of):
+                self.bytes_of[i] = bytes([int(piece[3:5], 16)])
+            elif not (sp.is_control(i) or sp.is_unknown(i)):
+                plain.append((piece, i))
+                self.bytes_of[i] = piece.encode()
+        if any(" " in p.lstrip(" ") or "\n" in p for p, _ in plain):
             raise ValueError("a piece goes on to a space or over a line break")
+        scores = zipf_scores(np.array([sp.get_score(i) for _, i in plain], float))
+        scores = np.round(scores / SCORE_UNIT) * SCORE_UNIT
+        self.of: dict[str, tuple[int, float]] = {p: (i, s) for (p, i), s in zip(plain, scores.tolist(), strict=True)}
+        self.before = len(sp.encode("\n"))
         self.unknown = min(s for _, s in self.of.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.of))
         self.tables = []
@@ -67,6 +85,16 @@ class Pieces:
             found = sorted((self.hash(p), i, s) for p, (i, s) in self.of.items() if len(p) == n)
             self.tables.append(tuple(np.array([x[k] for x in found], t) for k, t in ((0, np.uint64), (1, np.int32), (2, float))))
 
+    def own_ids(self, segments: list[str]) -> list[list[int]]:
+        """The model's own ids of segments. No piece goes over a line break, so one in front changes nothing behind it."""
+        out = [x[self.before :] for x in self.model.encode(["\n" + s for s in segments], num_threads=1)]
+        for k, s in enumerate(segments):
+            if "▁" in s:  # the library takes it for a space; here it is a character like others
+                parts = self.model.encode(["\n" + x for x in s.split("▁")], num_threads=1)
+                mark = [self.byte_ids[b] for b in "▁".encode()]
+                out[k] = [i for n, x in enumerate(parts) for i in (mark if n else []) + x[self.before :]]
+        return out
+
     @staticmethod
     def hash(piece: str) -> int:
         h = 0
@@ -135,7 +163,8 @@ def solved(p: Pieces, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     order = np.argsort(lengths, kind="stable")
     at = 0
     while at < n and lengths[order[at]] <= ARRAY_LENGTH:
-        to = min(at + ARRAY_ROWS, int(np.searchsorted(lengths[order], ARRAY_LENGTH, "right")))
+        most = max(1, ARRAY_PLACES // int(lengths[order[at]] * 1.3 + 1))
+        to = min(at + most, int(np.searchsorted(lengths[order], ARRAY_LENGTH, "right")))
         # Neighbouring lengths share an array.
         to = max(at + 1, min(to, int(np.searchsorted(lengths[order], lengths[order[at]] * 1.3 + 1, "right"))))
         rows = order[at:to]
@@ -240,36 +269,41 @@ def segmented(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), kept[starts - starts[0]]
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    ids = np.fromiter((x for y in lists for x in y), np.int32, int(sizes.sum()))
+    return ids, np.concatenate([[0], np.cumsum(sizes)])
+
+
 class Encoder:
-    """Keeps what it has found of frequent segments; bounded."""
+    """Keeps what it has found of the first KEPT_SEGMENTS segments; one for a task, and gone with it."""
 
     def __init__(self, path: str) -> None:
         self.p = pieces(path)
-        self.words = pa.array([], pa.large_string())
-        self.ids, self.bounds = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.place: dict[str, int] = {}
         self.score, self.loss = np.empty(0), np.empty(0)
+        # The lattice's ids, and the model's own.
+        self.ids = [(np.empty(0, np.int32), np.zeros(1, np.int64))] * 2
         self.searches: dict[tuple[str, int], list] = {}
 
-    def distinct(self, words: pa.Array) -> tuple[np.ndarray, ...]:
-        """All ids, and each word's begin, number of ids, score and loss."""
-        at = pc.index_in(words, value_set=self.words)
-        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
-        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)[known]
-        new = words.filter(pa.array(~known))
-        ids, bounds, score, loss = solved(self.p, new)
-        starts, counts, scores, losses = (np.empty(len(words), t) for t in (np.int64, np.int64, float, float))
-        starts[known], starts[~known] = self.bounds[:-1][place], len(self.ids) + bounds[:-1]
-        counts[known], counts[~known] = np.diff(self.bounds)[place], np.diff(bounds)
-        scores[known], scores[~known] = self.score[place], score
-        losses[known], losses[~known] = self.loss[place], loss
-        every = np.concatenate([self.ids, ids])
-        room = max(0, KEPT_SEGMENTS - len(self.words))
-        if room and len(new):
-            self.words = pa.concat_arrays([self.words, new.slice(0, room)])
-            self.ids = np.concatenate([self.ids, ids[: bounds[min(room, len(new))]]])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1 : room + 1]])
-            self.score, self.loss = np.concatenate([self.score, score[:room]]), np.concatenate([self.loss, loss[:room]])
-        return every, starts, counts, scores, losses
+    def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Of each word the score and the loss; and, for the lattice's ids and the model's own, all ids, each word's begin and number."""
+        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0)
+        new = [words[k] for k in fresh.tolist()]
+        at[fresh] = len(self.place) + np.arange(len(new))
+        ids, bounds, score, loss = solved(self.p, pa.array(new, pa.large_string()))
+        scores, losses = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        every = []
+        for (old, ends), (more, cuts) in zip(self.ids, [(ids, bounds), flat(self.p.own_ids(new))], strict=True):
+            every.append((np.concatenate([old, more]), np.concatenate([ends, ends[-1] + cuts[1:]])))
+        room = min(len(new), KEPT_SEGMENTS - len(self.place))
+        if room > 0:
+            self.place.update(zip(new[:room], at[fresh[:room]].tolist(), strict=True))
+            n = len(self.place)
+            self.score, self.loss = scores[:n], losses[:n]
+            self.ids = [(x[: ends[n]], ends[: n + 1]) for x, ends in every]
+        return scores[at], losses[at], [(x, ends[at], ends[at + 1] - ends[at]) for x, ends in every]
 
     def searched(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         key = (word, n)
@@ -279,15 +313,16 @@ class Encoder:
             self.searches[key] = search(self.p, word, n)
         return self.searches[key]
 
-    def __call__(self, texts: pa.Array, n: int = BEST) -> Iterator[list[tuple[float, np.ndarray]]]:
-        """For each text its n best segmentations, best first: score and ids."""
+    def __call__(self, texts: pa.Array, n: int = BEST) -> Iterator[tuple[np.ndarray, list[tuple[float, np.ndarray]]]]:
+        """For each text the model's own ids, and its n best segmentations, best first: score and ids."""
         segments, bounds = segmented(filled(texts))
         coded = segments.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        every, starts, counts, scores, losses = self.distinct(coded.dictionary)
-        number, loss = counts[codes], losses[codes]
-        ids = every[ragged(starts[codes], number)]
-        ends = np.concatenate([[0], np.cumsum(number)])
+        words = coded.dictionary.to_pylist()
+        scores, losses, (lattice, own_model) = self.distinct(words)
+        spread = lambda every, starts, counts: (every[ragged(starts[codes], counts[codes])], np.concatenate([[0], np.cumsum(counts[codes])]))
+        (ids, ends), (model_ids, model_ends) = spread(*lattice), spread(*own_model)
+        loss = losses[codes]
         sums = np.concatenate([[0.0], np.cumsum(scores[codes])])
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             mine = ids[ends[lo] : ends[hi]]
@@ -302,7 +337,7 @@ class Encoder:
                 for k in sorted(least.tolist()):
                     if not np.isfinite(near[k]):
                         continue
-                    paths = self.searched(coded.dictionary[int(codes[lo + k])].as_py(), n)
+                    paths = self.searched(words[int(codes[lo + k])], n)
                     own = tuple(ids[ends[lo + k] : ends[lo + k + 1]].tolist())
                     ways = [(0.0, own), *((paths[0][0] - s, x) for s, x in paths if x != own)][:n]
                     combined = heapq.nsmallest(
@@ -316,13 +351,7 @@ class Encoder:
                         parts += [ids[ends[at] : ends[lo + k]], np.array(x, np.int32)]
                         at = lo + k + 1
                     out.append((out[0][0] - lost, np.concatenate([*parts, ids[ends[at] : ends[hi]]])))
-            yield out
-
-
-@lru_cache(1)
-def encoder_of(path: str) -> Encoder:
-    """One for all tasks of a Python worker."""
-    return Encoder(path)
+            yield model_ids[model_ends[lo] : model_ends[hi]], out
 
 
 def decoded(p: Pieces, ids: np.ndarray) -> str:
@@ -337,45 +366,43 @@ def listed(paths: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(
-    docs: DataFrame, path: str, n: int = BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ids: bool = True
+    docs: DataFrame, path: str, n: int = BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per row of docs: id, the columns in keep, n_pieces, nbest_scores, nbest_crc32, decoded_equal, nbest_ids, and ids.
-
-    The whole text is encoded. nbest_scores holds the scores of the n best segmentations, best first (fewer if the
-    text has fewer), nbest_ids each one's ids, nbest_crc32 their crc32 as little-endian unsigned 32-bit integers; n_pieces
-    and ids are of the best, and decoded_equal tells whether decoding gives the text for each of the n. Null and empty texts have one
-    segmentation, without pieces and of score 0. The character U+2581 in a text is encoded by its bytes, so that
-    decoding gives it back. Repeated rows are encoded alike; other columns are not looked at.
+    """One row per row of docs: id, the columns in keep, n_pieces, ids, nbest_scores, nbest_ids, nbest_crc32, decoded_equal.
+
+    The whole text is encoded. ids are the model's own, n_pieces their number. nbest_scores holds the scores of the n
+    best segmentations of the lattice, best first (fewer if the text has fewer), nbest_ids each one's ids, nbest_crc32
+    their crc32 as little-endian unsigned 32-bit integers. Scores are log-probabilities of the pieces: a unigram
+    model's own, by Zipf's law for a BPE model. decoded_equal tells whether decoding gives the text, for ids and
+    each of the n. Null and empty texts have one segmentation, without pieces and of score 0. The character U+2581 in a
+    text is encoded by its bytes, so that decoding gives it back. Repeated rows are encoded alike; other columns are
+    not looked at.
     """
     names = [id_col, *keep]
-    schema = T.StructType([docs.schema[c] for c in names]).add("n_pieces", "long").add("nbest_scores", T.ArrayType(T.DoubleType()))
+    whole = T.ArrayType(T.IntegerType())
+    schema = T.StructType([docs.schema[c] for c in names]).add("n_pieces", "long").add("ids", whole)
+    schema = schema.add("nbest_scores", T.ArrayType(T.DoubleType())).add("nbest_ids", T.ArrayType(whole))
     schema = schema.add("nbest_crc32", T.ArrayType(T.LongType())).add("decoded_equal", "boolean")
-    schema = schema.add("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType())))
-    if ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = Encoder(path)
         for batch in batches:
             for part in pieces_of(batch, text_col, PIECE):
                 texts = part.column(text_col)
-                sizes, scores, crcs, equal, paths, many = [], [], [], [], [], []
-                for text, found in zip(texts.to_pylist(), encoder(texts, n), strict=True):
-                    sizes.append(len(found[0][1]))
+                own, scores, crcs, equal, paths, many = [], [], [], [], [], []
+                for text, (ids, found) in zip(texts.to_pylist(), encoder(texts, n), strict=True):
+                    own.append(ids)
                     scores.append([s for s, _ in found])
                     crcs.append([zlib.crc32(x.astype("<u4").tobytes()) for _, x in found])
-                    equal.append(all(decoded(encoder.p, x) == (text or "") for _, x in found))
+                    equal.append(all(decoded(encoder.p, x) == (text or "") for x in (ids, *(x for _, x in found))))
                     paths += [x for _, x in found]
                     many.append(len(found))
-                out = [part.column(c) for c in names]
-                out += [pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(equal)]
                 firsts = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(firsts), listed(paths)))
-                if ids:
-                    out.append(listed([paths[k] for k in firsts[:-1]]))
-                yield pa.RecordBatch.from_arrays(out, schema.names)
+                out = [part.column(c) for c in names] + [pa.array(list(map(len, own)), pa.int64()), listed(own)]
+                out += [pa.array(scores, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(firsts), listed(paths))]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(crcs, pa.list_(pa.int64())), pa.array(equal)], schema.names)
 
-    return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(freeing(run), schema)
+    return in_small_batches(docs.select(*names, *([text_col] if text_col not in names else []))).mapInArrow(freeing(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this share of all rows; so at most 1 / HOT_SHARE keys are hot.
@@ -21,10 +23,12 @@ PIECE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one under /tmp only where none is set (tests)."""
+    """The folder that driver and executors share; a new one under /tmp only in a local session where none is set (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file:///tmp/lodestack-{uuid.uuid4().hex}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,72 +53,68 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
 
     right.weight is the number of rows that left has of the key. Keys above HOT_SHARE of the summed weights are
     at most 1 / HOT_SHARE in number, so they are broadcast; the rest are joined by a shuffle. weight is dropped.
-    how: inner or left. left is read twice, so it should be a stored table or cheap.
+    how: inner or left; rows of left without a key aren't shuffled. left is read two or three times and right more
+    often, so both should be stored tables or cheap.
     """
     least = right.agg((F.sum(weight) * HOT_SHARE).alias("least")).scalar()
     hot = F.broadcast(right.where(F.col(weight) > least).drop(weight))
     cold = right.where(F.col(weight) <= least).drop(weight)
-    rest = left.join(hot.select(key), key, "left_anti")
-    return left.join(hot, key).unionByName(rest.join(cold, key, how).select(left.join(hot, key).columns))
+    first = left.join(hot, key)
+    rest = left.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti")
+    out = first.unionByName(rest.join(cold, key, how).select(first.columns))
+    if how == "left":
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in (key, weight)]
+        out = out.unionByName(left.where(F.col(key).isNull()).select("*", *none))
+    return out
 
 
 # ---------------------------------------------------------------- a filter of bounded size
 
-FILTER_BITS = 1 << 26
-FILTER_HASHES = 3
-
-
-def filter_places(ids: np.ndarray) -> np.ndarray:
-    """The bits of each id, a row a hash."""
-    h = ids.view(np.uint64)
-    return np.stack([mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(FILTER_BITS) for k in range(1, FILTER_HASHES + 1)])
+#: Bits of a filter a key, and the least and most bits in all; 2^26 bits are a million rows to broadcast.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of one long column: 8 MB whatever the number of rows; the more rows, the more pass by mistake."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(filter_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
-            word = (at >> np.uint64(6)).astype(np.int64)
-            mask = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask)], ["word", "mask"])
-
-    found = ids.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
-    return out
+def sifted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be among keys, and rows whose key is not among them.
 
+    key is a hash of a row (long, not null), keys a stored table of one such column. The keys become marks in a
+    field of bits that is broadcast: a row a 64 bits, 2^20 rows at most whatever the number of keys. With 16 bits a
+    key about 6 % of the other rows pass by mistake, above 4 million keys more; so what passes is to be looked up, and
+    what doesn't needs no shuffle. rows is read twice.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    word = lambda c: F.shiftright(F.pmod(c, F.lit(bits)), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
+    h = F.col(keys.columns[0])
+    field = keys.groupBy(word(h).alias("_word")).agg(F.bit_or(bit(h)).alias("_bits"))
+    field = F.broadcast(stored(field, "field"))
+    whole = rows.select(F.struct(*rows.columns).alias("_row"), key.alias("_key"))
+    marked = whole.join(field, word(F.col("_key")) == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_key"))) != 0, F.lit(False))
+    return marked.where(hit).select("_row.*"), marked.where(~hit).select("_row.*")
 
-def likely(rows: DataFrame, id_col: str, passing: np.ndarray) -> DataFrame:
-    """rows whose id may be in the filter; no row whose id is in it is lost. Null ids are."""
-    held = rows.sparkSession.sparkContext.broadcast(passing)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(id_col)
-            at = filter_places(pc.fill_null(ids, 0).to_numpy().astype(np.int64))
-            hit = (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            kept = pa.array(hit.all(0) & pc.is_valid(ids).to_numpy(zero_copy_only=False))
-            yield batch.filter(kept)
+# ---------------------------------------------------------------- components
 
-    return rows.mapInArrow(run, rows.schema)
 
-
-# ---------------------------------------------------------------- components
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges (u, v), u > v, is either a root or a leaf of one root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+    return ends.where("leaf > 1 or (leaf = 1 and root = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v: long) to (node, root, weight): the least node that each node reaches, and the root's node count.
+    """edges (u, v: long) to (node, root): the least node that each node reaches.
 
-    Alternating large and small stars; each round's edges are stored, so a lost executor costs one round.
-    Self-loops and nulls are ignored; a node without other edges isn't returned.
+    Alternating large and small stars until every tree is a star; each round's edges are stored, so a lost executor
+    costs one round. Self-loops and nulls are ignored; a node without other edges isn't returned.
     """
     now = stored(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    before = None
-    while True:
+    while not are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # Larger neighbours go to the least one, and so does the node itself.
@@ -124,16 +124,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = lookup(large, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v")
         now = stored(small.distinct(), "small")
-        # A forest of stars: nothing is both a root and a leaf, and no leaf has two roots.
-        after = now.agg(
-            F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)), F.countDistinct("u")
-        ).first()
-        if after == before or after[0] == 0:
-            break
-        before = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    return roots
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 class Forest:
@@ -202,17 +194,42 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
 
 # ---------------------------------------------------------------- memory of workers
 
+#: Most bytes of a batch that goes to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """texts, whose session from now on sends them to Python workers in batches of BATCH_BYTES; a longer text goes alone.
+
+    Ten thousand rows, Spark's own limit, may be many MB of texts, which JVM and worker hold several times.
+    """
+    conf = texts.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return texts
+
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Free pages of Arrow's pool and of the C library go back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def freeing(run: Task) -> Task:
-    """run, after which Arrow's pool gives its free pages back: workers outlive their tasks and share an executor."""
+    """run, after which free memory goes back: workers outlive their tasks and share an executor."""
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return freed
 
