@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import filled, freeing, mixed, pieces_of, ragged
+from .shared import filled, freeing, in_small_batches, mixed, pieces_of, ragged, stored
 
 #: Rows a language that the model is fitted on, those of the smallest hashes.
 TRAIN_ROWS = 1500
+#: More languages than this are an error: a model has a column a language.
+MOST_LANGS = 1000
 #: Hash buckets of the letter groups.
 BUCKETS = 1 << 16
 #: What a change of language between two words costs, in natural logarithms.
@@ -158,13 +160,18 @@ def scripts_of(w: Words) -> np.ndarray:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """A model of rows with a text and a language: at most `rows` a language, those of the smallest text hashes.
 
-    Counts of letter groups a language are made on the executors; the driver gets one bounded table a language.
+    Counts of letter groups a language are made on the executors; the driver gets one bounded table a language. More than
+    MOST_LANGS languages are an error.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # About twice the rows asked for fall below a hash limit that the language's row count sets; equal texts count once.
-    # The table of sizes has a row a language, as the model has a column; so it can be broadcast.
-    sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n")))
+    # The table of sizes has a row a language, as the model has a column: MOST_LANGS at most, so it can be broadcast.
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "lang_sizes")
+    many = sizes.count()
+    if many > MOST_LANGS:
+        raise ValueError(f"{many} languages to learn from; at most {MOST_LANGS} are possible")
+    sizes = F.broadcast(sizes)
     low = known.withColumn("h", F.xxhash64("text")).join(sizes, "lang")
     # The limit is a double: a product of hash and count would leave the range of long from 2^23 rows a language on.
     low = low.where(F.pmod("h", F.lit(1 << 40)) < F.lit(float(2 * rows) * (1 << 40)) / F.col("n"))
@@ -320,7 +327,7 @@ def languages(
     schema = schema.add("lang_pred", "string").add("score", "double")
     if spans:
         schema = schema.add("spans", SPANS)
-    return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(freeing(label), schema)
+    return in_small_batches(docs.select(*names, *([text_col] if text_col not in names else []))).mapInArrow(freeing(label), schema)
 
 
 def span_array(texts: list[str], w: Words, marks: np.ndarray, model: Model) -> pa.Array:
