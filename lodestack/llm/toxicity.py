@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .langid import Words, letter_words
-from .shared import filled, mixed, pieces_of, ragged
+from .shared import filled, freeing, in_small_batches, mixed, pieces_of, ragged, stored
 
 #: Labelled rows that the model is fitted on, those of the smallest id hashes.
 TRAIN_ROWS = 12_000
@@ -69,8 +70,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """Per-coordinate rates and L1: a weight follows from the sums z and n of its own gradients."""
 
-    def __init__(self, size: int = BUCKETS + 1) -> None:
-        self.z, self.n = np.zeros(size), np.zeros(size)
+    def __init__(self, constant: float = 0.0, size: int = BUCKETS) -> None:
+        self.constant, self.z, self.n = constant, np.zeros(size), np.zeros(size)
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -78,69 +79,93 @@ class Ftrl:
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / rate)
 
     def learn(self, at: np.ndarray, label: int) -> None:
-        """One row: its distinct buckets; the last coordinate is the constant."""
+        """One row: its distinct buckets."""
         w = self.weights(at)
-        gradient = 1 / (1 + np.exp(-w.sum())) - label
+        gradient = 1 / (1 + np.exp(-w.sum() - self.constant)) - label
         n = self.n[at]
         self.z[at] += gradient - (np.sqrt(n + gradient**2) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + gradient**2
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights that aren't 0, of a model of labels (id, toxic); at most BUCKETS + 1 of them.
+@dataclass
+class Model:
+    """Bounded: at most BUCKETS weights, those that aren't 0, and the constant; without labels a constant of minus infinity."""
 
-    The sample is bounded: `rows` labels at most, so their ids can be broadcast and one task learns from their texts
-    in the order of their hashes, EPOCHS times. Labels that are null are left out; an id with two labels is toxic.
+    at: np.ndarray
+    weights: np.ndarray
+    constant: float
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of labels (id, toxic), fitted on a bounded sample: `rows` rows, those of the smallest hashes of their ids.
+
+    The constant isn't learned but follows from the sample's labels, log((toxic + 1/2) / (others + 1/2)), so L1 doesn't hold
+    it back and few labels give a low score to clean texts. Executors make the features of whole texts; one task then
+    learns from them in the order of the hashes, EPOCHS times, with one batch of rows in memory. Labels that are null
+    are left out; an id with two labels is toxic; rows of docs that share an id count each, within the limit of rows.
+    Without labels every text scores 0.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_label"))
     known = known.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(rows)
+    # At most `rows` ids: a bounded broadcast.
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
-    sample = sample.select(F.col("_label").cast("int").alias("label"), "text", "_h")
-    sample = sample.repartition(1).sortWithinPartitions("_h", "text")
+    sample = sample.select(F.col("_label").cast("int").alias("label"), "text", F.col("_h").alias("h"), F.xxhash64("text").alias("h2"))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, "text", PIECE):
-                texts, labels = filled(part.column("text")).to_pylist(), part.column("label").to_pylist()
+                texts = filled(part.column("text")).to_pylist()
                 buckets, owner = features(texts)
                 pairs = np.unique(owner * BUCKETS + buckets)
-                owner, buckets = pairs // BUCKETS, (pairs % BUCKETS).astype(np.int32)
-                cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-                held += [(np.append(buckets[a:b], np.int32(BUCKETS)), y) for a, b, y in zip(cuts[:-1], cuts[1:], labels, strict=True)]
-        model = Ftrl()
-        for _ in range(EPOCHS):
-            for at, label in held:
-                model.learn(at, label)
+                cuts = np.searchsorted(pairs // BUCKETS, np.arange(len(texts) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array((pairs % BUCKETS).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "h", "h2")), lists], ["label", "h", "h2", "at"])
+
+    made = sample.mapInArrow(freeing(featured), "label int, h long, h2 long, at array<int>").orderBy("h", "h2").limit(rows)
+    made = stored(made, "features")
+    counts = made.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    if not counts["n"]:
+        return Model(np.empty(0, np.int64), np.empty(0), -np.inf)
+    constant = float(np.log((counts["toxic"] + 0.5) / (counts["n"] - counts["toxic"] + 0.5)))
+    again = made.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    again = again.repartition(1).sortWithinPartitions("epoch", "h", "h2")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Ftrl(constant)
+        for batch in batches:
+            lists = batch.column("at")
+            flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for k, label in enumerate(batch.column("label").to_pylist()):
+                model.learn(flat[cuts[k] - cuts[0] : cuts[k + 1] - cuts[0]], label)
         w = model.weights()
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
 
-    found = sample.mapInArrow(learn, "at long, w double").toPandas()
-    return found["at"].to_numpy(), found["w"].to_numpy()
+    found = again.mapInArrow(freeing(learn), "at long, w double").toPandas()
+    return Model(found["at"].to_numpy(), found["w"].to_numpy(), constant)
 
 
 # ---------------------------------------------------------------- scoring
 
 
 def scores(
-    docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per row of docs: id, the columns in keep, score (0 to 1) and predicted (1 from THRESHOLD).
 
     The whole text counts: its distinct words, neighbours and skip-grams. Words are runs of letters, lower-cased.
-    Null and empty texts, and texts without letters, get the score of the constant alone. Repeated rows are scored
+    Null and empty texts, and texts without letters, get the score of the constant alone: the share of toxic labels
+    that the model was fitted on, or 0 without any. Repeated rows are scored
     alike; other columns are not looked at.
     """
-    at, w = model
-    held = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), w.astype(np.float32)))
+    held = docs.sparkSession.sparkContext.broadcast((model.at.astype(np.int32), model.weights.astype(np.float32), model.constant))
     names = [id_col, *keep]
     schema = T.StructType([docs.schema[c] for c in names]).add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = held.value
-        table = np.zeros(BUCKETS + 1)
+        at, w, constant = held.value
+        table = np.zeros(BUCKETS)
         table[at] = w
         for batch in batches:
             for part in pieces_of(batch, text_col, PIECE):
@@ -148,9 +173,9 @@ def scores(
                 buckets, owner = features(texts)
                 heavy = table[buckets] != 0
                 pairs = np.unique(owner[heavy] * BUCKETS + buckets[heavy])
-                sums = np.bincount(pairs // BUCKETS, table[pairs % BUCKETS], len(texts)) + table[BUCKETS]
-                score = 1 / (1 + np.exp(-np.clip(sums, -50, 50)))
+                sums = np.bincount(pairs // BUCKETS, table[pairs % BUCKETS], len(texts)) + constant
+                score = 1 / (1 + np.exp(-np.clip(sums, -50, 50))) if np.isfinite(constant) else np.zeros(len(texts))
                 out = [part.column(c) for c in names] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return docs.select(*names, *([text_col] if text_col not in names else [])).mapInArrow(run, schema)
+    return in_small_batches(docs.select(*names, *([text_col] if text_col not in names else []))).mapInArrow(freeing(run), schema)
