@@ -4,6 +4,9 @@ Vectors are packed in blocks, queries too; a task compares a block of queries wi
 the dimensions in segments of lengths n, q.x = sum over segments of n * mean(q) * mean(x) + the product of what
 remains, and that product is at most n * sd(q) * sd(x). So sum(n * (mean mean + sd sd)) bounds the score from above,
 as the same numbers bound the distance |q - x|^2 = |q|^2 + |x|^2 - 2 q.x from below. Finer cuts bound closer.
+
+A first pass over one block of vectors gives each query a floor, the k-th of its exact scores there; against all
+blocks only what may reach the floor is looked at any closer, and only what reaches it leaves its task.
 """
 
 from __future__ import annotations
@@ -15,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored, whole_groups
+from .shared import freeing, lookup, stored, whole_groups
 
 SCALE = 1024
 K = 10
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
+#: Blocks of queries that a task holds at once, beside one block of vectors.
+QUERY_GROUP = 16
+#: Scores are products of whole blocks where more than this share of a block's pairs is left, and below 2^53.
+DENSE = 0.05
 #: Numbers of segments, coarse to fine; those that a dimension is too small for are left out.
 LEVELS = (4, 16)
 #: Scores are 64-bit integers; |component| * SCALE must stay below this, else the job fails.
@@ -51,13 +58,16 @@ def statistics(x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mean * np.sqrt(n), np.sqrt(square) * np.sqrt(n)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+def best(
+    queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """The k highest exact scores of each query among the rows of x but its own, ties to smaller ids, and pairs scored.
 
-    Returns places of queries, places of rows, scores.
+    Scores below the query's floor are left out. Returns places of queries, places of rows, scores.
     """
+    least = np.full(len(queries), np.iinfo(np.int64).min) if floors is None else floors.astype(np.int64)
     if x.shape[1] == 0:
-        q, r = np.nonzero(query_ids[:, None] != ids[None, :])
+        q, r = np.nonzero((query_ids[:, None] != ids[None, :]) & (least <= 0)[:, None])
         return *first_k(q, r, np.zeros(len(q), np.int64), ids, k), len(q)
     xf, qf = x.astype(float), queries.astype(float)
     slack = 1e-9 * (np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(xf, axis=1)[None, :]) + 1e-6
@@ -67,11 +77,12 @@ def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
     bound = qm @ xm.T + qs @ xs.T + slack
     bound[own] = -np.inf
     m = min(k, len(ids))
-    # The rows of the best coarse bounds are scored first; the least of k exact scores is what others must reach.
-    seed = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-    exact = np.einsum("qd,qmd->qm", queries, x[seed])
-    sure = np.where(np.isfinite(np.take_along_axis(bound, seed, 1)), exact, np.iinfo(np.int64).min)
-    least = sure.min(1) if m == k else np.full(len(queries), np.iinfo(np.int64).min)
+    if m == k:
+        # The rows of the best coarse bounds are scored first; the least of k exact scores is what others must reach.
+        seed = np.argpartition(-bound, m - 1, axis=1)[:, :m]
+        exact = np.einsum("qd,qmd->qm", queries, x[seed])
+        sure = np.where(np.isfinite(np.take_along_axis(bound, seed, 1)), exact, np.iinfo(np.int64).min)
+        least = np.maximum(least, sure.min(1))
     q, r = np.nonzero((bound >= least[:, None]) & ~own)
     for (qm, qs), (xm, xs) in levels[1:]:
         alive = np.zeros(len(q), bool)
@@ -80,10 +91,15 @@ def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
             fine = np.einsum("ij,ij->i", qm[a], xm[b]) + np.einsum("ij,ij->i", qs[a], xs[b]) + slack[a, b]
             alive[at : at + len(a)] = fine >= least[a]
         q, r = q[alive], r[alive]
-    score = np.empty(len(q), np.int64)
-    for at in range(0, len(q), 1 << 16):
-        score[at : at + (1 << 16)] = np.einsum("ij,ij->i", queries[q[at : at + (1 << 16)]], x[r[at : at + (1 << 16)]])
-    return *first_k(q, r, score, ids, k), len(q)
+    exact_in_double = x.shape[1] * max(1, np.abs(x).max(initial=0)) * max(1, np.abs(queries).max(initial=0)) < 2**53
+    if exact_in_double and len(q) > DENSE * bound.size:
+        score = (qf @ xf.T)[q, r].astype(np.int64)
+    else:
+        score = np.empty(len(q), np.int64)
+        for at in range(0, len(q), 1 << 16):
+            score[at : at + (1 << 16)] = np.einsum("ij,ij->i", queries[q[at : at + (1 << 16)]], x[r[at : at + (1 << 16)]])
+    high = score >= least[q]
+    return *first_k(q[high], r[high], score[high], ids, k), len(q)
 
 
 def first_k(q: np.ndarray, r: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -98,28 +114,67 @@ def first_k(q: np.ndarray, r: np.ndarray, score: np.ndarray, ids: np.ndarray, k:
 
 
 def packed(vectors: DataFrame, size: int) -> DataFrame:
-    """(id, v) to rows (dims, ids, data): blocks of vectors of one length, as little-endian 64-bit numbers."""
-    n = vectors.count()
-    blocks = max(1, -(-n // size))
-    dealt = vectors.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", "dims")
+    """(id, v, floor) to rows (dims, part, ids, floors, data): blocks of vectors of one length, as little-endian 64-bit numbers.
+
+    Blocks of one length are numbered by part from 0, without gaps but for a block in a hundred thousand.
+    """
+    dims = vectors.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / size).alias("parts"))
+    sized = lookup(vectors.withColumn("dims", F.size("v")), stored(dims, "dims"), "dims", "n")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = sized.select("id", "v", "floor", "dims", part.alias("part")).repartition("dims", "part").sortWithinPartitions("dims", "part")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["block", "dims"]):
-            keys = np.stack([table.column(c).to_numpy() for c in ("block", "dims")], 1)
+        for table in whole_groups(batches, ["dims", "part"]):
+            keys = np.stack([table.column(c).to_numpy() for c in ("dims", "part")], 1)
             cuts = np.append(np.flatnonzero(np.any(np.diff(keys, axis=0, prepend=-1), 1)), len(keys))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 for at in range(lo, hi, 2 * size):  # hashes deal unevenly; never more than two blocks' rows in one
-                    part = table.slice(at, min(2 * size, hi - at))
-                    data = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
+                    some = table.slice(at, min(2 * size, hi - at))
+                    data = some.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
                     if len(data) and np.abs(data).max() >= LARGEST:
                         raise OverflowError(f"a component times the scale reaches {LARGEST}")
-                    ids = part.column("id").to_numpy().astype("<i8")
-                    row = [[int(keys[lo, 1])], [ids.tobytes()], [data.tobytes()]]
-                    kinds = [pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["dims", "ids", "data"])
+                    ids, floors = (some.column(c).to_numpy().astype("<i8").tobytes() for c in ("id", "floor"))
+                    row = [[int(keys[lo, 0])], [int(keys[lo, 1])], [ids], [floors], [data.tobytes()]]
+                    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], BLOCK)
+
+    return dealt.mapInArrow(freeing(pack), "dims int, part int, ids binary, floors binary, data binary")
+
 
-    return dealt.select("id", "v", "dims", "block").mapInArrow(pack, "dims int, ids binary, data binary")
+BLOCK = ["dims", "part", "ids", "floors", "data"]
+
+
+def met(asked: DataFrame, data: DataFrame, k: int, first: bool = False) -> DataFrame:
+    """(query_id, vec_id, score) of the k best of each query in each block of vectors; of block 0 only, or of all.
+
+    The key of a task's work is a group of query blocks and one block of vectors. Both sides are repeated as often as the
+    other has groups or blocks, and shuffled by the key, so work is dealt evenly and nothing is broadcast.
+    """
+    if first:
+        data = data.where("part = 0")
+    groups = asked.groupBy("dims").agg(F.floor(F.max("part") / QUERY_GROUP).cast("int").alias("last_group"))
+    parts = data.groupBy("dims").agg(F.max("part").alias("last_part"))
+    extent = stored(groups.join(parts, "dims").withColumn("n", F.lit(1)), "extent")  # a row a length of vectors
+    left = lookup(data, extent, "dims", "n").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("last_group")))).select("g", *BLOCK)
+    right = lookup(asked, extent, "dims", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("last_part"))))
+    right = right.select(F.floor(F.col("part") / QUERY_GROUP).cast("int").alias("g"), "b", *BLOCK)
+
+    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]).empty_table()]
+        cell = lambda t, c, row: t.column(c)[row].as_py()
+        whole = lambda t, c, row: np.frombuffer(cell(t, c, row), "<i8")
+        for v in range(len(vectors)):
+            ids = whole(vectors, "ids", v)
+            x = whole(vectors, "data", v).reshape(len(ids), cell(vectors, "dims", v))
+            for a in range(len(queries)):
+                q_ids = whole(queries, "ids", a)
+                asked_ = whole(queries, "data", a).reshape(len(q_ids), x.shape[1])
+                q, r, score, _ = best(asked_, q_ids, x, ids, k, whole(queries, "floors", a))
+                out.append(pa.table({"query_id": q_ids[q], "vec_id": ids[r], "score": score}, schema=out[0].schema))
+        return pa.concat_tables(out)
+
+    pairs = left.groupBy("dims", "part", "g").cogroup(right.groupBy("dims", "b", "g"))
+    return pairs.applyInArrow(search, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -132,29 +187,17 @@ def top_k(
     components take no part, nor do rows without an id; rows that repeat an id count once, with the smallest of its
     vectors. Vectors of different lengths aren't compared. A query without candidates has no row.
 
-    Every block of queries meets every block of vectors, a pair of rows each; nothing is broadcast that grows.
+    Every block of queries meets every block of vectors: that the stated queries meet all rows is the operation itself.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
     rows = rows.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     rows = stored(rows, "vectors")
-    data = stored(packed(rows.select("id", "v"), VECTOR_BLOCK), "vector_blocks")
-    asked = stored(packed(rows.where("q").select("id", "v"), QUERY_BLOCK), "query_blocks")
-    asked = asked.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # Pairs of blocks, a row each: that the stated queries meet all rows is the operation itself.
-    pairs = data.repartition(max(1, min(data.count(), 4 * vectors.sparkSession.sparkContext.defaultParallelism)), F.xxhash64("ids"))
-    pairs = pairs.crossJoin(asked).where("dims = q_dims")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                cell = lambda c: batch.column(c)[row]  # noqa: E731, B023
-                dims = cell("dims").as_py()
-                ids, q_ids = (np.frombuffer(cell(c).as_py(), "<i8") for c in ("ids", "q_ids"))
-                x = np.frombuffer(cell("data").as_py(), "<i8").reshape(len(ids), dims)
-                queries = np.frombuffer(cell("q_data").as_py(), "<i8").reshape(len(q_ids), dims)
-                q, r, score, _ = best(queries, q_ids, x, ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids[r]), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a pair of blocks
+    none = F.lit(np.iinfo(np.int64).min)
+    data = stored(packed(rows.select("id", "v", none.alias("floor")), VECTOR_BLOCK), "vector_blocks")
+    asked = rows.where("q").select("id", "v")
+    sample = met(stored(packed(asked.withColumn("floor", none), QUERY_BLOCK), "query_blocks"), data, k, first=True)
+    floors = sample.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    floored = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
+    found = met(stored(packed(floored, QUERY_BLOCK), "floored_blocks"), data, k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a block of vectors
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
