@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import filled, new_folder, pieces_of, ragged, stored
+from .shared import filled, freeing, in_small_batches, new_folder, pieces_of, ragged, stored
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_TABLE = 0x184D2A5E
@@ -145,11 +145,14 @@ class FrameWriter:
         import zstandard
 
         self.sink, self.dtype, self.entries, self.doc_ids = sink, np.dtype(dtype), [], []
+        self.largest = int(np.iinfo(self.dtype).max)
         self.compress = zstandard.ZstdCompressor(level=level).compress
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         import xxhash
 
+        if len(ids) and int(ids.max()) > self.largest:
+            raise OverflowError(f"id {ids.max()} doesn't fit {self.dtype}")
         data = ids.astype(self.dtype).tobytes()
         frame = self.compress(data)
         self.sink.write(frame)
@@ -225,17 +228,19 @@ class FrameReader:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, dtype: str = "<u2"
+    docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, dtype: str | None = None
 ) -> DataFrame:
     """Writes files of ids in ascending id order and returns the manifest: part, uri, n_docs, n_tokens, start.
 
     A file is written under a name of its own by each attempt of a task; the manifest names those of the tasks that
     counted, so retries and speculative copies leave nothing in the result. Null texts are empty and get only the
-    end id. Rows that share an id follow each other in the order of their texts; null ids come first.
+    end id. Rows that share an id follow each other in the order of their texts' hashes; null ids come first. dtype is
+    by default the narrower of two and four bytes that holds every id of the vocabulary; an id that doesn't fit fails.
     """
+    dtype = dtype or ("<u2" if max(end, tokenizer(path).get_vocab_size(with_added_tokens=True) - 1) <= 0xFFFF else "<u4")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Range limits come from a sample of ids and text hashes, so that one id can't fill a task.
-    dealt = docs.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "text")
+    dealt = docs.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -258,7 +263,7 @@ def write_tokens(
             row = [[TaskContext.get().partitionId()], [uri], [len(writer.doc_ids)], [tokens]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["part", "uri", "n_docs", "n_tokens"])
 
-    parts = stored(dealt.select("id", "text").mapInArrow(write, "part long, uri string, n_docs long, n_tokens long"), "manifest")
+    parts = stored(in_small_batches(dealt.select("id", "text")).mapInArrow(freeing(write), "part long, uri string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
