@@ -1,16 +1,22 @@
 """License scans by conditional compression, confirmed by exact differences of wording.
 
-Candidate blocks are runs of lines about licensing. Each is compressed alone and with each license's wordings as a
-zstandard raw dictionary; licenses are ranked by what the dictionary saves. Those that save enough are compared with
-the block word by word, and the words that are missing and that stand between are part of the result.
+Templates are whole license texts, notices of source files, and sheets of a license's statements; each is a
+zstandard raw dictionary of its own. Candidate blocks are runs of lines about licensing, and the words around each
+keyword. A block is compressed alone and with each dictionary; templates that save enough are compared with the run, whole
+license texts with the whole document, word by word, and the words that are missing and that stand between are part of
+the result. Where confirmed places overlap, that one stays whose template reduces the size of its words most.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from difflib import SequenceMatcher
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import pieces_of
+from .shared import freeing, in_small_batches, pieces_of
 
-#: A dictionary must save this share of the block's compressed size, or this many bytes.
-LEAST_SHARE, LEAST_BYTES = 0.2, 12
+#: Bytes of a block's compressed size that a dictionary must save. A short statement saves few; a part of a notice or of a
+#: whole text saves many times these.
+LEAST_BYTES = {"statement": 1, "notice": 6, "text": 40}
+#: Words on either side of a keyword that are a block of their own.
+AROUND = 5
 #: A statement must be there word by word; of a notice at most this share may be missing, or stand between.
 MISSING, BETWEEN = 0.1, 0.25
+#: Words of an anchor: runs that a whole text holds once. Gaps between anchors above GAP_WORDS count as differences.
+ANCHOR, GAP_WORDS = 4, 400
 #: Lines without a keyword that a block may hold in a row, and the most lines of a block (blocks overlap by half).
 GAP, BLOCK_LINES = 4, 80
 #: Longer lines are cut after sentences.
@@ -49,6 +60,20 @@ NAMES = {
     "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0"],
     "EPL-2.0": ["the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0"],
     "BSL-1.0": ["the Boost Software License, Version 1.0", "the Boost Software License 1.0"],
+    "MPL-1.1": ["the Mozilla Public License, version 1.1", "the MPL 1.1"],
+    "EPL-1.0": ["the Eclipse Public License, version 1.0", "the Eclipse Public License 1.0"],
+    "CDDL-1.0": ["the Common Development and Distribution License, Version 1.0"],
+    "EUPL-1.2": ["the European Union Public Licence v. 1.2", "the European Union Public License 1.2"],
+    "Zlib": ["the zlib License", "the zlib/libpng License"],
+    "0BSD": ["the Zero-Clause BSD License", "the BSD Zero Clause License"],
+    "X11": ["the X11 License"],
+    "NCSA": ["the University of Illinois/NCSA Open Source License"],
+    "Python-2.0": ["the Python Software Foundation License", "the PSF License"],
+    "PostgreSQL": ["the PostgreSQL License"],
+    "Artistic-2.0": ["the Artistic License 2.0", "the Artistic License, Version 2.0"],
+    "OFL-1.1": ["the SIL Open Font License, Version 1.1", "the SIL Open Font License 1.1"],
+    "GFDL-1.3": ["the GNU Free Documentation License, version 1.3"],
+    "ODbL-1.0": ["the Open Database License", "the Open Database License 1.0"],
     "Unlicense": ["the Unlicense"],
     "CC0-1.0": ["CC0 1.0", "CC0", "the CC0 1.0 Universal Public Domain Dedication"],
 }
@@ -63,7 +88,22 @@ for _short, _long in COMMONS.items():
             f"a Creative Commons {_long} {_version} International License",
             f"the Creative Commons {_long} {_version} International License",
         ]
-STATEMENTS = ["Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "under the terms of {}"]
+STATEMENTS = ["Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "under the terms of {}", "{} licensed"]
+
+# Headings of license texts and other short forms.
+HEADINGS = {
+    "MIT": ["The MIT License", "MIT licensed"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "Apache 2.0 licensed"],
+    "GPL-2.0": ["GNU General Public License Version 2, June 1991", "GPLv2 licensed"],
+    "GPL-3.0": ["GNU General Public License Version 3, 29 June 2007", "GPLv3 licensed"],
+    "LGPL-2.1": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "AGPL-3.0": ["GNU Affero General Public License Version 3, 19 November 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "BSD-2-Clause": ["BSD 2-Clause licensed"],
+    "BSD-3-Clause": ["BSD 3-Clause licensed"],
+}
 
 # Opening or whole notices as their licenses word them.
 NOTICES = {
@@ -130,37 +170,70 @@ def worded(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [w for w, _ in found], [s for _, s in found]
 
 
+@dataclass(frozen=True)
+class Template:
+    license: str
+    kind: str  # text, notice or statement
+    wordings: tuple[tuple[str, ...], ...]  # of a statement's sheet many, else one
+
+
 @lru_cache(1)
-def templates() -> dict[str, list[tuple[str, list[str]]]]:
-    """Of each license its wordings: kind (statement or notice) and words."""
-    out: dict[str, list[tuple[str, list[str]]]] = {}
+def sheets() -> list[Template]:
+    """Whole texts from the files beside this module, notices, and a sheet of statements a license."""
+    worded_ = lambda x: tuple(worded(x)[0])
+    out = []
     for name, wordings in NAMES.items():
-        made = [s.format(w) for w in wordings for s in STATEMENTS] + [f"SPDX-License-Identifier: {name}"]
-        out[name] = [("statement", worded(x)[0]) for x in made]
+        made = [s.format(w) for w in wordings for s in STATEMENTS] + [f"SPDX-License-Identifier: {name}", *HEADINGS.get(name, [])]
         if not name.startswith("CC"):
-            out[name] += [("statement", worded(f"SPDX-License-Identifier: {name}-{x}")[0]) for x in ("only", "or-later")]
+            made += [f"SPDX-License-Identifier: {name}-{x}" for x in ("only", "or-later")]
+        out.append(Template(name, "statement", tuple(dict.fromkeys(map(worded_, made)))))
     for name, texts in NOTICES.items():
-        out.setdefault(name, []).extend(("notice", worded(x)[0]) for x in texts)
+        out += [Template(name, "notice", (worded_(x),)) for x in texts]
+    for file in sorted(files(__package__).joinpath("templates").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            out.append(Template(file.name.removesuffix(".txt"), "text", (worded_(file.read_text(encoding="utf-8")),)))
+    return out
+
+
+@lru_cache(1)
+def templates() -> dict[str, list[tuple[str, list[str]]]]:
+    """Of each license its wordings: kind and words."""
+    out: dict[str, list[tuple[str, list[str]]]] = {}
+    for t in sheets():
+        out.setdefault(t.license, []).extend((t.kind, list(w)) for w in t.wordings)
     return out
 
 
 @lru_cache(1)
 def compressors() -> tuple:
+    """Without a dictionary, and with each template as one."""
     import zstandard
 
-    plain = zstandard.ZstdCompressor(level=9)
-    made = {}
-    for name, wordings in templates().items():
-        content = ". ".join(" ".join(w) for _, w in wordings).encode()
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made[name] = zstandard.ZstdCompressor(level=9, dict_data=held)
-    return plain, made
+    made = []
+    for t in sheets():
+        held = zstandard.ZstdCompressionDict(". ".join(" ".join(w) for w in t.wordings).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=9)
+        made.append(zstandard.ZstdCompressor(level=9, dict_data=held))
+    return zstandard.ZstdCompressor(level=9), made
+
+
+@lru_cache(1)
+def statements() -> dict[tuple[str, str], list[tuple[tuple[str, ...], int]]]:
+    """Of each pair of first words the statements that begin so, longest first, and the number of their sheet."""
+    out: dict[tuple[str, str], list[tuple[tuple[str, ...], int]]] = {}
+    for k, t in enumerate(sheets()):
+        for w in t.wordings if t.kind == "statement" else ():
+            out.setdefault(w[:2], []).append((w, k))
+    for made in out.values():
+        made.sort(key=lambda x: -len(x[0]))
+    return out
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """Runs of lines from keyword to keyword, with GAP lines at most between; long runs in overlapping parts.
+def runs(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Runs of lines from keyword to keyword, with GAP lines at most between: begin, end, parts, keywords.
 
-    Each with a line before and after, for statements that are wrapped, and with the lines that hold keywords.
+    Parts are the run, if it is long in overlapping parts of BLOCK_LINES. A run has a line before and after, for
+    statements that are wrapped.
     """
     lines = []
     for line in re.finditer(r"[^\n]+", text):
@@ -168,46 +241,45 @@ def blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
             lines.append(line.span())
         else:
             lines += [(line.start() + m.start(), line.start() + m.end()) for m in re.finditer(r".+?(?:[.:;!?](?=\s)|$)", line[0])]
-    begins, found = [a for a, _ in lines], []
-    for m in KEYWORD.finditer(text):  # over line breaks too: a keyword's lines are read as one
-        found.append((max(0, bisect_right(begins, m.start()) - 1), bisect_left(begins, m.end()) - 1))
-    marked = sorted({k for a, b in found for k in range(a, b + 1)})
-    units = sorted({(k, k) for k in marked} | set(found))
-    k = 0
+    begins, keys = [a for a, _ in lines], [m.span() for m in KEYWORD.finditer(text)]
+    marked = set()
+    for a, b in keys:  # over line breaks too
+        marked |= set(range(max(0, bisect_right(begins, a) - 1), bisect_left(begins, b)))
+    marked, k, key = sorted(marked), 0, 0
     while k < len(marked):
         to = k
         while to + 1 < len(marked) and marked[to + 1] - marked[to] <= GAP + 1:
             to += 1
         first, last = max(0, marked[k] - 1), min(len(lines) - 1, marked[to] + 1)
-        for at in range(first, last + 1, BLOCK_LINES // 2):
-            end = min(last, at + BLOCK_LINES - 1)
-            keyed = units[bisect_left(units, (at, at)) : bisect_left(units, (end + 1, 0))]
-            yield lines[at][0], lines[end][1], [(lines[x][0], lines[min(y, end)][1]) for x, y in keyed]
-            if end == last:
-                break
+        starts = range(first, max(first + 1, last + 1 - BLOCK_LINES // 2), BLOCK_LINES // 2)
+        own = key
+        while key < len(keys) and keys[key][0] < lines[marked[to]][1]:
+            key += 1
+        yield lines[first][0], lines[last][1], [(lines[at][0], lines[min(last, at + BLOCK_LINES - 1)][1]) for at in starts], keys[own:key]
         k = to + 1
 
 
 KEYWORD = re.compile(KEYWORDS, re.I)
 
 
-def best_of(text: str, begin: int, end: int, keyed: list[tuple[int, int]]) -> list[tuple[float, int, str]]:
-    """Licenses ranked by the block as a whole and by each of its lines with keywords, so that other text hides none."""
-    best: dict[str, tuple[float, int, str]] = {}
-    for a, b in [(begin, end), *keyed]:
-        for found in ranked(" ".join(worded(text[a:b])[0])):
-            best[found[2]] = max(found, best.get(found[2], found))
-    return sorted(best.values(), key=lambda x: (-x[1], x[2]))
+@lru_cache(1 << 12)
+def ranked(block: str) -> list[tuple[int, int]]:
+    """Templates that reduce the block's compressed size enough as a dictionary: bytes saved, number; best first."""
+    plain, made = compressors()
+    data = block.encode("utf-8", "surrogatepass")
+    alone = len(plain.compress(data))
+    saved = [(alone - len(c.compress(data)), k) for k, c in enumerate(made)]
+    return sorted(((s, k) for s, k in saved if s >= LEAST_BYTES[sheets()[k].kind]), key=lambda x: (-x[0], x[1]))
 
 
 @lru_cache(1 << 12)
-def ranked(block: str) -> list[tuple[float, int, str]]:
-    """Licenses whose wordings as a dictionary save enough of the block: share saved, bytes saved, name; best first."""
+def saving(block: str, k: int) -> tuple[int, float]:
+    """Bytes and share of the block's compressed size that one template saves."""
     plain, made = compressors()
     data = block.encode("utf-8", "surrogatepass")
     alone = len(plain.compress(data))
-    saved = [(alone - len(c.compress(data)), name) for name, c in made.items()]
-    return sorted(((s / alone, s, name) for s, name in saved if s >= LEAST_BYTES or s >= LEAST_SHARE * alone), key=lambda x: (-x[1], x[2]))
+    saved = alone - len(made[k].compress(data))
+    return saved, saved / alone
 
 
 def plain_word(word: str) -> str:
@@ -229,21 +301,6 @@ def identity(name: str, wording: tuple[str, ...]) -> list[tuple[int, int]]:
     return out
 
 
-def places(words: list[str], wording: list[str]) -> Iterator[int]:
-    """Every place of a wording that doesn't overlap the one before, word by word."""
-    at, n = 0, len(wording)
-    while True:
-        try:
-            at = words.index(wording[0], at)
-        except ValueError:
-            return
-        if words[at : at + n] == wording:
-            yield at
-            at += n
-        else:
-            at += 1
-
-
 def ends(words: list[str], wording: list[str]) -> list[int]:
     """Places where a notice may end. None is lost: a notice within the limits costs at most 2 * len(wording) here.
 
@@ -290,15 +347,15 @@ def aligned(words: list[str], wording: list[str], end: int) -> tuple[int, list[t
     return start, pairs
 
 
-def differences(words: list[str], kind: str, wording: list[str], name: str = "") -> list[tuple[int, int, list[str], list[str]]]:
-    """The wording's places among the words (first, end), the wording's words that are missing, and those between.
+Place = tuple[int, int, list[str], list[str]]  # first word, end, the wording's words that are missing, words between
+
+
+def notices(words: list[str], wording: tuple[str, ...], name: str) -> list[Place]:
+    """A notice's places that don't overlap, those with fewest words missing and between.
 
-    All that don't overlap; of notices that do, those with fewest words missing and between. A notice's words that
-    identify its license must stand there whole, in any spelling; other spellings count as differences.
+    The words that identify its license must stand there whole, in any spelling; other spellings count as differences.
     """
-    if kind == "statement":
-        return [(at, at + len(wording), [], []) for at in places(words, wording)]
-    made, told = [], identity(name, tuple(wording))
+    made, told = [], identity(name, wording)
     plain, wanted = [plain_word(w) for w in words], [plain_word(w) for w in wording]
     for end in ends(plain, wanted):
         got = aligned(plain, wanted, end)
@@ -310,10 +367,101 @@ def differences(words: list[str], kind: str, wording: list[str], name: str = "")
             pairs = [(k, x) for k, x in pairs if words[x] == wording[k]]
             own, there = {k for k, _ in pairs}, {k for _, k in pairs}
             made.append((start, end, [w for k, w in enumerate(wording) if k not in own], [words[k] for k in range(start, end) if k not in there]))
+    return fewest(made)
+
+
+def fewest(made: list[Place]) -> list[Place]:
+    """Of places that overlap, those with fewest differences."""
     taken = Taken()
     return [x for x in sorted(made, key=lambda x: (len(x[2]) + len(x[3]), x[0], x[1])) if taken.add(x[0], x[1])]
 
 
+@lru_cache(None)
+def anchors(wording: tuple[str, ...]) -> dict[tuple[str, ...], int]:
+    """Runs of ANCHOR words that stand once in the wording, and where."""
+    every = list(zip(*(wording[k:] for k in range(ANCHOR)), strict=False))
+    count = Counter(every)
+    return {g: k for k, g in enumerate(every) if count[g] == 1}
+
+
+def rising(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of the hits (place, place in the wording) that rises in both."""
+    tops: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for k, (_, t) in enumerate(hits):
+        at = bisect_left(tops, t)
+        before.append(last[at - 1] if at else -1)
+        if at == len(tops):
+            tops.append(t)
+            last.append(k)
+        else:
+            tops[at], last[at] = t, k
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(hits[k])
+        k = before[k]
+    return out[::-1]
+
+
+def whole_texts(words: list[str], wording: tuple[str, ...]) -> list[Place]:
+    """Places of a whole license text, at most MISSING of it missing and BETWEEN between; anchors tell where to compare.
+
+    Windows of the words begin every eighth of the text's length and are long enough for the text and all that may
+    stand between, so a place is seen whole by one of them. Words between two anchors are compared one by one.
+    """
+    at, n = anchors(wording), len(wording)
+    hits = [(k, at[g]) for k, g in enumerate(zip(*(words[k:] for k in range(ANCHOR)), strict=False)) if g in at]
+    places_, made, step = [k for k, _ in hits], [], max(1, n // 8)
+    if len(hits) < len(at) // 4:
+        return []
+    for begin in sorted({k // step * step for k in places_}):
+        window = hits[bisect_left(places_, begin) : bisect_left(places_, begin + int(n * (1 + BETWEEN)) + 2 * step)]
+        chain = rising(window)
+        if len(chain) < len(at) // 4:
+            continue
+        middle = sorted(k - t for k, t in chain)[len(chain) // 2]
+        chain = rising([(k, t) for k, t in window if abs(k - t - middle) <= (MISSING + BETWEEN) * n])
+        got = compared(words, wording, chain)
+        if got and len(got[2]) <= MISSING * n and len(got[3]) <= BETWEEN * n:
+            made.append(got)
+    return fewest([x for k, x in enumerate(made) if x not in made[:k]])
+
+
+def compared(words: list[str], wording: tuple[str, ...], chain: list[tuple[int, int]]) -> Place | None:
+    """The text's place that the chain of anchors spans, with what lies before, between and behind them."""
+    pairs: dict[int, int] = {}
+    if not chain:
+        return None
+    for k, t in chain:
+        for x in range(ANCHOR):
+            pairs[t + x] = k + x
+    lead, rest = chain[0][1], len(wording) - chain[-1][1]
+    fixed = [(chain[0][0] - lead - ANCHOR - 1, -1), *chain, (chain[-1][0] + rest + ANCHOR, len(wording))]
+    for (k, t), (k2, t2) in zip(fixed[:-1], fixed[1:], strict=True):
+        lo, tlo = max(0, k + (ANCHOR if t >= 0 else 0)), max(0, t + (ANCHOR if t >= 0 else 1))
+        hi = min(len(words), k2)
+        if lo < hi and tlo < t2 and hi - lo <= GAP_WORDS and t2 - tlo <= GAP_WORDS:
+            for m in SequenceMatcher(None, wording[tlo:t2], words[lo:hi], autojunk=False).get_matching_blocks():
+                pairs.update((tlo + m.a + x, lo + m.b + x) for x in range(m.size))
+    start, end = min(pairs.values()), max(pairs.values()) + 1
+    there = set(pairs.values())
+    return start, end, [w for k, w in enumerate(wording) if k not in pairs], [words[k] for k in range(start, end) if k not in there]
+
+
+def confirmed(words: list[str], passing: set[int]) -> Iterator[tuple[int, Place]]:
+    """Places of the statements and notices that passed, each held against the words exactly."""
+    of = statements()
+    for k in range(len(words) - 1):
+        for wording, number in of.get((words[k], words[k + 1]), ()):
+            if number in passing and tuple(words[k : k + len(wording)]) == wording:
+                yield number, (k, k + len(wording), [], [])
+    for number in sorted(passing):
+        t = sheets()[number]
+        if t.kind == "notice":
+            yield from ((number, x) for x in notices(words, t.wordings[0], t.license))
+
+
 class Taken:
     """Ranges that don't overlap."""
 
@@ -332,21 +480,37 @@ class Taken:
 
 
 def found_in(text: str) -> list[dict]:
-    """Licenses of a text, in order of place: license, kind, start and end in characters, saved, missing, between."""
-    here = []
-    for begin, end, keyed in blocks(text):
+    """Licenses of a text, in order of place: license, kind, start and end in characters, saved, missing, between.
+
+    Of places that overlap that one stays whose template saves most of the compressed size of the words there; of equal
+    ones that with fewest differences. A statement within a larger place of its license is part of that.
+    """
+    found, texts = [], set()
+    for begin, end, parts, keys in runs(text):
         words, spans = worded(text[begin:end])
-        for share, size, name in best_of(text, begin, end, keyed):
-            for kind, wording in templates()[name]:
-                for a, b, missing, between in differences(words, kind, wording, name):
-                    unlike = len(missing) + len(between)
-                    here.append((begin + spans[a][0], begin + spans[b - 1][1], len(wording) - unlike, unlike, size, share, name, kind, missing, between))
-    # Where wordings overlap the longest wins, less its differences; of equal ones that with fewest differences, then that
-    # whose dictionary saves more. Blocks overlap, so this is settled over all of them.
-    taken, out = Taken(), []
-    for start, stop, _, _, size, share, name, kind, missing, between in sorted(here, key=lambda x: (-x[2], x[3], -x[4], x[6], x[0], -x[5])):
-        if taken.add(start, stop):
-            out.append({"license": name, "kind": kind, "start": start, "end": stop, "saved_bytes": size, "saved_share": share, "missing": missing, "between": between})
+        starts = [a for a, _ in spans]
+        at = lambda place: bisect_left(starts, place - begin)  # noqa: B023, E731
+        blocks = {(at(a), at(b)) for a, b in parts} | {(max(0, at(a) - AROUND), at(b) + AROUND) for a, b in keys}
+        passing = {k for a, b in blocks for _, k in ranked(" ".join(words[a:b]))}
+        texts |= {k for k in passing if sheets()[k].kind == "text"}
+        for number, (a, b, *unlike) in confirmed(words, passing):
+            found.append((number, begin + spans[a][0], begin + spans[b - 1][1], " ".join(words[a:b]), *unlike))
+    if texts:
+        words, spans = worded(text)
+        for number in sorted(texts):
+            for a, b, *unlike in whole_texts(words, sheets()[number].wordings[0]):
+                found.append((number, spans[a][0], spans[b - 1][1], " ".join(words[a:b]), *unlike))
+    made, taken, of_license = [], Taken(), {}
+    for number, a, b, block, missing, between in sorted(found, key=lambda x: (x[1] - x[2], x[1], x[0])):
+        t = sheets()[number]
+        if not of_license.setdefault(t.license, Taken()).add(a, b) and t.kind == "statement":
+            continue
+        saved, share = saving(block, number)
+        made.append((-saved, len(missing) + len(between), t.license, a, b, share, t.kind, missing, between))
+    out = []
+    for saved, _, name, a, b, share, kind, missing, between in sorted(made):
+        if taken.add(a, b):
+            out.append({"license": name, "kind": kind, "start": a, "end": b, "saved_bytes": -saved, "saved_share": share, "missing": missing, "between": between})
     return sorted(out, key=lambda x: x["start"])
 
 
@@ -354,7 +518,7 @@ RESULT = "license string, kind string, start long, end long, saved_bytes long, s
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per license statement or notice of each text: id, license, kind, start, end, saved_bytes, saved_share, missing, between.
+    """One row per license text, notice or statement in each text: id, license, kind, start, end, saved_bytes, saved_share, missing, between.
 
     Whole texts are read. start and end are offsets in characters; missing holds the words of the wording that the
     text lacks, between those that stand inside it. Texts without any keyword, null and empty texts have no row;
@@ -376,4 +540,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 made = [pa.array([r[f.name] for r in rows], t) for f, t in zip(schema.fields[1:], kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, *made], schema.names)
 
-    return likely.mapInArrow(run, schema)
+    return in_small_batches(likely).mapInArrow(freeing(run), schema)
