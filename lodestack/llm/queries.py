@@ -182,7 +182,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_piece_nbest")
 def op2_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @query("op5_license_scan")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zipfile
@@ -13,7 +14,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestack.llm import exactdup, langid, licenses, mixing, neardup, pieces, queries, shared, tokens, topk, toxicity, warc
 
@@ -106,11 +109,22 @@ def test_whole_groups_across_batches():
         assert sum(map(len, ends)) == len(set().union(*ends))
 
 
-def test_id_filter_loses_nothing(spark):
-    some = spark.range(0, 10_000, 7)
-    passed = shared.likely(spark.range(10_000), "id", shared.id_filter(some))
-    assert some.join(passed, "id", "left_anti").count() == 0
-    assert passed.count() < 1500
+def test_sifted_loses_nothing(spark):
+    some = shared.stored(spark.range(0, 10_000, 7).select(F.xxhash64("id").alias("h")), "some")
+    rows = spark.range(10_000).withColumn("_word", F.lit("clash"))
+    maybe, sure = shared.sifted(rows, F.xxhash64("id"), some)
+    assert maybe.count() + sure.count() == 10_000 and maybe.columns == rows.columns
+    assert maybe.where("id % 7 = 0").count() == 1429 and maybe.count() < 2800
+    none = shared.stored(spark.createDataFrame([], "h long"), "none")
+    assert shared.sifted(rows, F.xxhash64("id"), none)[1].count() == 10_000
+
+
+def test_lookup_spreads_rows_without_a_key(spark):
+    left = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("k"), "id")
+    right = shared.stored(left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")), "right")
+    found = shared.lookup(left, right, "k", "n", "left")
+    assert found.count() == 4000 and found.where("m = id").count() == 1000
+    assert found.where("k is null").select(F.spark_partition_id()).distinct().count() > 1
 
 
 # ---------------------------------------------------------------- 1
@@ -176,27 +190,43 @@ def test_warc_damage_is_seen():
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def best_paths(p, text, n):
+def library_edges():
+    """Pieces as the library lists them, with log-probabilities by Zipf's law of their ranks; and bytes."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    order = sorted(sp.get_score(i) for i in plain)[::-1]
+    rank = {s: k for k, s in reversed(list(enumerate(order)))}
+    total = math.log(math.fsum(1 / (rank[s] + 1) for s in order))
+    score = lambda i: round((-math.log(rank[sp.get_score(i)] + 1) - total) * 2**20) / 2**20
+    of = {sp.id_to_piece(i).replace("▁", " "): (i, score(i)) for i in plain}
+    return of, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+
+
+def best_paths(edges, text, n):
     """The n best of the whole text by lists of n at each place."""
+    of, byte_ids = edges
+    least = min(s for _, s in of.values())
     text = f" {text}" if text else ""
     best = [[(0.0, ())]] + [[] for _ in text]
     for end in range(1, len(text) + 1):
-        made = [(s + score, ids + i) for begin, score, i in p.edges(text, end) for s, ids in best[begin]]
+        made = [(s + of[text[k:end]][1], (*ids, of[text[k:end]][0])) for k in range(end) if text[k:end] in of for s, ids in best[k]]
+        if text[end - 1] not in of:
+            made += [(s + least - 10, (*ids, *(byte_ids[b] for b in text[end - 1].encode()))) for s, ids in best[end - 1]]
         best[end] = sorted(made, key=lambda x: -x[0])[:n]
     return best[-1]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_nbest_exact(n):
-    p, encoder = pieces.pieces(MODEL), pieces.Encoder(MODEL)
+    edges, p, encoder = library_edges(), pieces.pieces(MODEL), pieces.Encoder(MODEL)
     rng = random.Random(n)
     texts = ["", "a", "  two  spaces ", "\n\nx\ny", "日本 語 ▁ x\x00\x01", "zq" * 60, None]
     texts += ["".join(rng.choice("abe the\n é") for _ in range(rng.randrange(1, 60))) for _ in range(60)]
-    for text, got in zip(texts, encoder(pa.array(texts), n), strict=True):
-        want = best_paths(p, text or "", n)
+    for text, (_, got) in zip(texts, encoder(pa.array(texts), n), strict=True):
+        want = best_paths(edges, text or "", n)
         assert [s for s, _ in got] == [s for s, _ in want]
         assert len({tuple(i) for _, i in got}) == len(got)
-        for score, ids in got:
+        for _, ids in got:
             assert pieces.decoded(p, ids) == (text or "")
 
 
@@ -229,6 +259,26 @@ def test_top_k_agrees_with_all_scores(kind):
         assert b[a == k].tolist() == order
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Blocks of vectors and of queries, groups of query blocks, and floors, against all scores; and the plan."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(700, 24)), np.repeat(rng.normal(size=(20, 24)), 15, 0)]).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(5000 + i, [1.0] * i) for i in range(1, 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(vectors, F.col("vec_id") % 9 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = np.floor(x.astype(float) * 1024).astype(np.int64)
+    scores = whole @ whole.T
+    for q in range(0, 1000, 9):
+        order = [k for k in np.lexsort((np.arange(1000), -scores[q])).tolist() if k != q][:10]
+        assert sorted(got[q]) == [(n, k, scores[q, k]) for n, k in enumerate(order, 1)]
+    assert set(got) == set(range(0, 1000, 9))
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [0.5, 0.25]), (0, [0.5, 0.25]), (100, [1.0, float("nan")]), (200, None), (300, [1.0, None]), (1, [0.5, 0.25]), (2, [0.5, 0.25]), (3, [-0.001, 0.0]), (4, [1.0]), (400, [2.0]), (None, [1.0, 1.0]), (5, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x"))
@@ -243,7 +293,7 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def token_truth(rows):
-    of, out, start = tokens.tokenizer(BPE), [], 0
+    of, out, start = Tokenizer.from_file(BPE), [], 0
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = of.encode(text or "", add_special_tokens=False).ids + [0]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -258,6 +308,13 @@ def test_token_files(spark):
     assert tokens.token_digests(spark, empty_docs(spark), BPE).count() == 0
 
 
+def test_token_width(spark, tmp_path):
+    writer = tokens.FrameWriter(pa.OSFile(str(tmp_path / "w"), "wb"), "<u2")
+    writer.add(1, np.array([65_535], np.uint32))
+    with pytest.raises(OverflowError):
+        writer.add(2, np.array([70_000], np.uint32))
+
+
 def test_token_file_reads_single_documents(tmp_path):
     path = tmp_path / "x.zst"
     with pa.OSFile(str(path), "wb") as f:
@@ -326,17 +383,48 @@ def test_toxicity_learns_and_scores(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit(docs.where("doc_id < 400"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     seen = np.unique(toxicity.features([t for _, t in rows[:400]])[0])
-    assert len(model[0]) < 0.1 * len(seen)  # sparse: most features that were seen have no weight
+    assert len(model.at) < 0.1 * len(seen)  # sparse: most features that were seen have no weight
     got = {r.doc_id: r for r in toxicity.scores(docs, model).collect()}
     assert sum(got[i].predicted == labels[i][1] for i in range(400, 600)) >= 195
     odd = toxicity.scores(odd_docs(spark), model, keep=("lang",)).collect()
     assert len(odd) == 12 and all(0 <= r.score <= 1 for r in odd)
     assert len({r.score for r in odd if r.doc_id in (0, 1, 2)}) == 1
     none = toxicity.fit(docs, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
-    assert [r.score for r in toxicity.scores(docs.limit(1), none).collect()] == [0.5]
+    assert [(r.score, r.predicted) for r in toxicity.scores(docs.limit(1), none).collect()] == [(0.0, 0)]
+    few = toxicity.fit(docs, spark.createDataFrame([(k, 0) for k in range(1, 6)], "doc_id long, toxic int"))
+    assert {r.predicted for r in toxicity.scores(docs, few).collect()} == {0}
     assert toxicity.scores(empty_docs(spark), model).count() == 0
 
 
+def test_ftrl_against_plain_sums(spark):
+    """The published update, one coordinate at a time in dictionaries, over the same rows in the same order."""
+    rng = random.Random(3)
+    words = [f"w{chr(97 + k)}" for k in range(26)]
+    rows = [(i, " ".join(rng.choices(words, k=12) + (["bad", "worse"] if i % 3 == 0 else []))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).collect()]
+    z, n, w = {}, {}, {}
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            buckets, _ = toxicity.features([rows[i][1]])
+            at = sorted(set(buckets.tolist()))
+            for b in at:
+                zb, nb = z.get(b, 0.0), n.get(b, 0.0)
+                rate = (toxicity.BETA + math.sqrt(nb)) / toxicity.ALPHA + toxicity.L2
+                w[b] = 0.0 if abs(zb) <= toxicity.L1 else -(zb - math.copysign(toxicity.L1, zb)) / rate
+            p = 1 / (1 + math.exp(-math.fsum(w[b] for b in at) - model.constant))
+            g = p - (i % 3 == 0)
+            for b in at:
+                nb = n.get(b, 0.0)
+                z[b] = z.get(b, 0.0) + g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / toxicity.ALPHA * w[b]
+                n[b] = nb + g * g
+    rate = lambda b: (toxicity.BETA + math.sqrt(n[b])) / toxicity.ALPHA + toxicity.L2
+    want = {b: -(z[b] - math.copysign(toxicity.L1, z[b])) / rate(b) for b in z if abs(z[b]) > toxicity.L1}
+    assert math.isclose(model.constant, math.log(40.5 / 80.5))
+    assert want and dict(zip(model.at.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want, rel=1e-9)
+
+
 def test_toxicity_features_are_whole():
     buckets, owner = toxicity.features(["a b c", "", "a"])
     assert np.bincount(owner, minlength=3).tolist() == [3 + 3 + 2 + 1, 0, 2]
@@ -461,6 +549,16 @@ def test_miss_probability():
 # ---------------------------------------------------------------- 9
 
 
+def test_without_copies_keeps_what_the_groups_keep(spark):
+    docs = odd_docs(spark).unionByName(spark.createDataFrame([(k, "t" * (70 + k % 3) + str(k % 5), "en", "a", 1) for k in range(100, 160)], DOCS), allowMissingColumns=True)
+    kept = {(r.doc_id, r.text_sha256) for r in exactdup.exact_groups(docs).where("kept").collect()}
+    got = exactdup.without_copies(docs)
+    assert got.columns == docs.columns
+    found = [(r.doc_id, hashlib.sha256(lower(r.text or "").encode()).hexdigest()) for r in got.collect()]
+    assert set(found) == kept and len(found) == len(kept) + 1  # id 4 stands there twice
+    assert exactdup.without_copies(empty_docs(spark)).count() == 0
+
+
 def test_exact_groups(spark):
     got = exactdup.exact_groups(odd_docs(spark))
     by = {}
