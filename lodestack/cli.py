@@ -12,13 +12,14 @@ from .operators import registry
 from .plans.find import find, search_index
 from .plans.store import Store
 from .session import get_spark
-from .sources.embedding import HashEmbedder, HttpEmbedder
+from .sources.embedding import Embedder, HashEmbedder, HttpEmbedder
 from .streaming.ingest import reindex
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("lodestack", description=__doc__)
     p.add_argument("--index-dir", default="~/.lodestack")
+    p.add_argument("--registry", help="folder of the registry; without it, registry in the index folder")
     p.add_argument("--gateway", help="URL of the embedding service; without it, hashes of words")
     p.add_argument("--provider", default="local")
     p.add_argument("--model", default="word-hash")
@@ -33,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--force", action="store_true")
         c.add_argument("--include")
         c.add_argument("--trigger", default="manual")
+        c.add_argument("--legacy", action="store_true", help="list files by the older rules and order")
     c = commands.add_parser("search")
     c.add_argument("--query", required=True)
     c.add_argument("--limit", type=int, default=10)
@@ -50,18 +52,23 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace) -> list[str]:
     spark = get_spark(master=args.master, partitions=8)
-    store = Store(spark, expand_home(args.index_dir))
+    store = Store(spark, expand_home(args.index_dir), args.registry and expand_home(args.registry))
     identity = IndexIdentity(args.provider, args.model, args.dims)
-    embedder = HttpEmbedder(args.gateway, args.model) if args.gateway else HashEmbedder(args.dims)
+
+    def embedder_of(x: IndexIdentity) -> Embedder:
+        """What embeds for this index: searches use the current one's model, not the one of the options."""
+        return HttpEmbedder(args.gateway, x.model) if args.gateway else HashEmbedder(x.dims)
+
+    embedder = embedder_of(identity)
     read = store.registry.read
     if args.command in ("index", "reindex"):
         s = reindex(
             store, args.root, identity, embedder, args.chunk_size, args.batch_size,
-            include=args.include, trigger=args.trigger, force=args.force, by_lines=args.command == "index",
+            include=args.include, trigger=args.trigger, force=args.force, by_lines=args.command == "index", legacy=args.legacy,
         )
         return [f"run {s.run_id}: {s.docs} documents, {s.chunks} passages, {s.deferred} deferred, {s.stale} stale, {s.gone} gone"]
     if args.command == "search":
-        rows = search_index(store, args.query, embedder, args.limit, args.threshold)
+        rows = search_index(store, args.query, embedder_of(store.current()), args.limit, args.threshold)
         rows = rows.withColumn("text", head(rows["text"])).collect()
         return [f"#{i} {r.path} ({r.score:.4f})\n{r.text}" for i, r in enumerate(rows, 1)] or ["no results"]
     if args.command == "status":
@@ -77,7 +84,7 @@ def run(args: argparse.Namespace) -> list[str]:
     if args.command == "switch":
         return [f"current: {store.switch(args.target)}"]
     if args.command == "find":
-        report = find(store, args.phrase, embedder, args.k)
+        report = find(store, args.phrase, embedder_of(store.current_or(identity)), args.k)
         lines = [f"[{r.lane}] {r.key} {r.title or ''} {r.detail or ''} ({r.score})" for r in report.hits.collect()]
         return lines + ([f"passages skipped: {report.skipped}"] if report.skipped else [])
     if args.command == "renders":

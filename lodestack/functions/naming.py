@@ -40,6 +40,11 @@ def parse_file_name(name: str) -> IndexIdentity | None:
     return IndexIdentity(found[1], found[2], int(found[3])) if found else None
 
 
+def file_names(provider: Column, model: Column, dims: Column) -> Column:
+    """File names of identities, for columns."""
+    return F.concat(F.lit("index."), provider, F.lit("."), F.replace(model, F.lit("/"), F.lit("-")), F.lit("."), dims, F.lit(".db"))
+
+
 def parsed_names(name: Column) -> Column:
     """The same for a column, as a struct; null where a name isn't one."""
     pattern = r"^index\.([^.]+)\.(.+)\.([0-9]+)\.db$"

@@ -93,8 +93,13 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in WORD.finditer(unicodedata.normalize("NFC", text))]
 
 
+@lru_cache(1 << 17)
+def term(word: str, stem: bool = True) -> str:
+    """What a word is found by; words repeat, so most are looked up."""
+    return porter(folded(word)) if stem else folded(word)
+
+
 def tokens(text: str | None, stem: bool = True) -> list[str]:
     if not text:
         return []
-    found = [folded(m[0]) for m in WORD.finditer(unicodedata.normalize("NFC", text))]
-    return [porter(w) for w in found] if stem else found
+    return [term(w, stem) for w in WORD.findall(unicodedata.normalize("NFC", text))]

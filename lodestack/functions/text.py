@@ -60,3 +60,10 @@ def utc_text(c: Column) -> Column:
 def epoch_text(c: Column) -> Column:
     """Seconds since 1970 as text, in whole seconds."""
     return F.concat(F.date_format(F.timestamp_seconds(F.floor(c)), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def utf8_text(data: Column, strict: bool = False) -> Column:
+    """The text of bytes; what isn't UTF-8 is replaced, or, if strict, makes the whole text null."""
+    if strict:
+        return F.try_validate_utf8(data.cast("string"))
+    return F.make_valid_utf8(data.cast("string"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +34,37 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 METRICS = {"cosine": cosine_distance, "l2": l2_distance}
+
+
+def to_bytes(v: Column) -> Column:
+    """The components as little-endian 32-bit floats, one after the other; for export only."""
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return run(v)
+
+
+def from_bytes(data: Column) -> Column:
+    """The vector of such bytes."""
+
+    @F.pandas_udf("array<float>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    return run(data)
+
+
+_DOT = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+SQL_FUNCTIONS = {
+    "vec_distance_l2": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))"),
+    "vec_distance_cosine": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", f"1 - try_divide({_DOT.format('a', 'b')}, sqrt({_DOT.format('a', 'a')}) * sqrt({_DOT.format('b', 'b')}))"),
+    "vec_length": ("a ARRAY<DOUBLE>", "INT", "size(a)"),
+}
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes the vector functions known to SQL of this session."""
+    for name, (arguments, kind, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -1,9 +1,20 @@
-"""Full-text search of one phrase: tokens, phrase hits, BM25 rank, snippet."""
+"""Full-text search of one phrase: stored postings, phrase hits, BM25 rank, snippet.
+
+An index is written once (write_index) and searched often (ranked). It holds the rows with a number each, and of every
+row and term one posting with the term's places and the row's length. Postings are partitioned by a hash of the term
+and sorted by it, so a search reads only its own terms, and joins what it found with the rows last. For a few rows
+that nobody stores, text_index and phrase_rank do the same on arrays of tokens.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem as words
@@ -12,6 +23,8 @@ from ..functions import stem as words
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET_TOKENS = 12
 OPEN, CLOSE, DOTS = "«", "»", "…"
+#: Term hashes are dealt to so many folders, and each folder's postings by row to so many files.
+BUCKETS, FILES = 64, 4
 
 
 def tokenised(column: Column, stem: bool = True) -> Column:
@@ -29,6 +42,110 @@ def text_index(rows: DataFrame, columns: tuple[str, ...] = ("title", "body"), st
     return rows.select("*", *(tokenised(F.col(c), stem).alias(f"{c}_tokens") for c in columns))
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    rows: DataFrame  # row_id and the columns of the indexed table
+    postings: DataFrame  # term, row_id, field, positions, length (tokens of the row in all fields), bucket
+    stats: DataFrame  # one row: rows, tokens
+    columns: tuple[str, ...]
+    stem: bool
+
+
+POSTING = "term string, row_id long, field int, positions array<int>, length int"
+POSTING_TYPE = pa.schema([("term", pa.string()), ("row_id", pa.int64()), ("field", pa.int32()), ("positions", pa.list_(pa.int32())), ("length", pa.int32())])
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def posted(columns: tuple[str, ...], stem: bool):
+    """Rows (row_id, columns) to postings: each distinct term of each field with its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part, out = batch.slice(at, 256), []
+                fields = [part.column(c).to_pylist() for c in columns]
+                for k, row_id in enumerate(part.column("row_id").to_pylist()):
+                    found = [words.tokens(texts[k], stem) for texts in fields]
+                    length = sum(map(len, found))
+                    for field, tokens in enumerate(found):
+                        places: dict[str, list[int]] = {}
+                        for place, token in enumerate(tokens):
+                            places.setdefault(token, []).append(place)
+                        out += [(t, row_id, field, p, length) for t, p in places.items()]
+                if out:
+                    made = [pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), POSTING_TYPE, strict=True)]
+                    yield pa.RecordBatch.from_arrays(made, schema=POSTING_TYPE)
+
+    return run
+
+
+def write_index(rows: DataFrame, at: str, columns: tuple[str, ...] = ("title", "body"), stem: bool = True) -> TextIndex:
+    """Writes the index of rows to the folder `at`. Null texts have no tokens; rows without any count in the statistics."""
+    spark = rows.sparkSession
+    rows.withColumn("row_id", F.monotonically_increasing_id()).write.parquet(f"{at}/rows")
+    held = spark.read.parquet(f"{at}/rows")
+    made = held.select("row_id", *columns).mapInArrow(posted(columns, stem), POSTING).withColumn("bucket", bucket_of(F.col("term")))
+    dealt = made.repartition("bucket", F.pmod("row_id", F.lit(FILES))).sortWithinPartitions("bucket", "term", "row_id")
+    dealt.write.partitionBy("bucket").parquet(f"{at}/postings")
+    postings = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{at}/postings")
+    tokens = postings.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens"))
+    tokens.withColumn("rows", F.lit(held.count())).write.parquet(f"{at}/stats")
+    return read_index(spark, at, columns, stem)
+
+
+def read_index(spark: SparkSession, at: str, columns: tuple[str, ...] = ("title", "body"), stem: bool = True) -> TextIndex:
+    postings = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{at}/postings")
+    return TextIndex(spark.read.parquet(f"{at}/rows"), postings, spark.read.parquet(f"{at}/stats"), columns, stem)
+
+
+def moved(places: Column, offset: int) -> Column:
+    return F.transform(places, lambda x: x - offset)
+
+
+def phrase_hits(index: TextIndex, phrase: str) -> DataFrame:
+    """(row_id, hits, length) of the rows that hold the phrase in a field; overlapping hits count.
+
+    Only the phrase's terms are read; places of its i-th term less i that all terms share are the phrase's begins.
+    """
+    wanted = words.tokens(phrase, index.stem)
+    none = index.postings.select("row_id", F.lit(0).alias("hits"), "length").limit(0)
+    if not wanted:
+        return none
+    of = lambda t: (F.col("bucket") == bucket_of(F.lit(t))) & (F.col("term") == t)
+    found = index.postings.where(reduce(Column.__or__, map(of, dict.fromkeys(wanted))))
+    if len(wanted) == 1:
+        return found.groupBy("row_id").agg(F.sum(F.size("positions")).cast("int").alias("hits"), F.max("length").alias("length"))
+    terms = list(dict.fromkeys(wanted))
+    places = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{k}") for k, t in enumerate(terms)]
+    rows = found.groupBy("row_id", "field").agg(*places, F.first("length").alias("length"))
+    begins = F.col("p0")
+    for offset, t in enumerate(wanted[1:], 1):
+        begins = F.array_intersect(begins, moved(F.col(f"p{terms.index(t)}"), offset))
+    rows = rows.withColumn("hits", F.coalesce(F.size(begins), F.lit(0))).where("hits > 0")
+    return rows.groupBy("row_id").agg(F.sum("hits").cast("int").alias("hits"), F.max("length").alias("length"))
+
+
+def bm25(hits: Column, length: Column, rows: Column, with_: Column, mean: Column) -> Column:
+    """Lower is better; terms that most rows hold get the least weight instead of a negative one."""
+    idf = F.log((rows - with_ + 0.5) / (with_ + 0.5))
+    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+    f = hits.cast("double")
+    return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+
+def ranked(index: TextIndex, phrase: str) -> DataFrame:
+    """(row_id, hits, rank) of the rows that hold the phrase."""
+    found = phrase_hits(index, phrase)
+    total = index.stats.select(F.col("rows").cast("double").alias("_rows"), (F.col("tokens") / F.col("rows")).alias("_mean"))
+    total = total.join(F.broadcast(found.agg(F.count("*").cast("double").alias("_with"))))  # one row each
+    found = found.join(F.broadcast(total))
+    rank = bm25(F.col("hits"), F.col("length"), F.col("_rows"), F.col("_with"), F.col("_mean"))
+    return found.select("row_id", "hits", rank.alias("rank"))
+
+
 def hits_of(tokens: Column, phrase: list[str]) -> Column:
     """How often the phrase's tokens stand in a row; overlapping hits count."""
     wanted = F.array(*map(F.lit, phrase))
@@ -56,10 +173,7 @@ def phrase_rank(index: DataFrame, phrase: str, columns: tuple[str, ...] = ("titl
         F.count("*").cast("double").alias("_rows"), F.avg("_len").alias("_avg"), F.sum((F.col("hits") > 0).cast("double")).alias("_with")
     )
     found = counted.where("hits > 0").join(F.broadcast(stats))  # one row
-    idf = F.log((F.col("_rows") - F.col("_with") + 0.5) / (F.col("_with") + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    f = F.col("hits").cast("double")
-    rank = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    rank = bm25(F.col("hits"), F.col("_len"), F.col("_rows"), F.col("_with"), F.col("_avg"))
     return found.withColumn("rank", rank).drop("_len", "_rows", "_avg", "_with")
 
 
@@ -101,12 +215,15 @@ def snippet(column: Column, phrase: str, size: int = SNIPPET_TOKENS, stem: bool
     return run(column)
 
 
-def find_text(index: DataFrame, works: DataFrame, phrase: str) -> DataFrame:
-    """(slug, title, snippet) of indexed rows (title, body, work_id) that hold the phrase, best rank first.
+def find_text(index: TextIndex | DataFrame, works: DataFrame, phrase: str) -> DataFrame:
+    """(slug, title, snippet) of indexed rows (title, body, work_id, render_id) that hold the phrase, best rank first.
 
-    Rows without a work drop out. Snippets are made of the rows found only.
+    Rows without a work drop out. Snippets are made of the rows found only. index is a stored one or that of text_index.
     """
-    found = phrase_rank(index, phrase).select("work_id", "render_id", "body", "rank")
+    stored = isinstance(index, TextIndex)
+    found = ranked(index, phrase).join(index.rows, "row_id") if stored else phrase_rank(index, phrase)
+    found = found.select("work_id", "render_id", "body", "rank")
     found = found.join(works.select("work_id", "slug", F.col("title").alias("work_title")), "work_id")
-    found = found.select("slug", F.col("work_title").alias("title"), snippet(F.col("body"), phrase).alias("snippet"), "rank", "render_id")
+    marked = snippet(F.col("body"), phrase, stem=index.stem if stored else True).alias("snippet")
+    found = found.select("slug", F.col("work_title").alias("title"), marked, "rank", "render_id")
     return found.orderBy("rank", "slug", "render_id").drop("render_id")

@@ -54,7 +54,7 @@ def knn_join(
         some = queries.where(F.pmod(F.xxhash64(query_col), F.lit(parts)) == part) if parts > 1 else queries
         pairs = vectors.select(id_col, vector_col).join(F.broadcast(some), F.size(vector_col) == F.size(query_vector_col))
         distance: Column = METRICS[metric](F.col(vector_col), F.col(query_vector_col))
-        pairs = pairs.select(query_col, id_col, distance.alias("distance")).where("distance is not null")
+        pairs = pairs.select(query_col, id_col, distance.alias("distance")).where("distance is not null and not isnan(distance)")
         order = Window.partitionBy(query_col).orderBy("distance", id_col)
         best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = best if found is None else found.unionByName(best)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -77,3 +77,10 @@ def manifest_changes(documents: DataFrame, manifest: DataFrame) -> DataFrame:
 def has_hash(chunks: DataFrame, hashes: DataFrame) -> DataFrame:
     """The hashes that some chunk has."""
     return hashes.join(chunks.select("content_hash"), "content_hash", "left_semi")
+
+
+def repeats(rows: DataFrame, digest: Column) -> DataFrame:
+    """One row: rows, texts (different digests), repeats."""
+    counted = rows.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"))
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("texts"))
+    return sums.withColumn("repeats", F.col("rows") - F.col("texts"))

@@ -46,17 +46,34 @@ def decided(decisions: DataFrame, day: str) -> DataFrame:
 
 
 def latest_rows(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Each key's newest row."""
-    order = Window.partitionBy(key).orderBy(F.desc(time), F.desc(tie))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Each key's newest row; partial results are combined before the shuffle, so a key may have any number of rows."""
+    newest = F.max_by(F.struct(*rows.columns), F.struct(time, tie)).alias("row")
+    return rows.groupBy(F.col(key).alias("_key")).agg(newest).select("row.*")
 
 
-def resumable_run(runs: DataFrame, checkpoints: DataFrame, index_name: str) -> DataFrame:
-    """The index's newest run with its checkpoint, if it is still running or has failed; else no row."""
-    newest = latest_rows(runs.where(F.col("index_name") == index_name), "index_name", "started_at", "run_id")
+def after_offset(rows: DataFrame, key: str, order: str, offset: int) -> DataFrame:
+    """rows with ordinal, their place in their key's order from 0, those before the offset left out."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return rows.withColumn("ordinal", place.cast("long")).where(F.col("ordinal") >= offset)
+
+
+def resumable_runs(runs: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Each index's newest run with its checkpoint, if it is still running or has failed."""
+    newest = latest_rows(runs, "index_name", "started_at", "run_id")
     return newest.where(F.col("status").isin("running", "failed")).join(checkpoints, "run_id")
 
 
+def resumable_run(runs: DataFrame, checkpoints: DataFrame, index_name: str) -> DataFrame:
+    """The same of one index: a row or none."""
+    return resumable_runs(runs.where(F.col("index_name") == index_name), checkpoints)
+
+
+def superseded(runs: DataFrame, index_name: str, run_id: str) -> DataFrame:
+    """runs, after run_id has begun: other runs of the index that are still marked running are superseded."""
+    old = (F.col("index_name") == index_name) & (F.col("status") == "running") & (F.col("run_id") != run_id)
+    return runs.withColumn("status", F.when(old, "superseded").otherwise(F.col("status")))
+
+
 def current_index(indexes: DataFrame) -> DataFrame:
     return indexes.where("is_current")
 

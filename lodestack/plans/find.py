@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LodestackError
 from ..functions.text import excerpt
-from ..operators.fulltext import find_text, text_index
+from ..operators.fulltext import find_text
 from ..operators.knn import knn, search, with_texts
 from ..operators.registry import find_tagged
 from ..sources.embedding import Embedder, checked
@@ -35,7 +35,7 @@ def find(store: Store, phrase: str, embedder: Embedder | None, k: int = 20) -> R
     """All lanes; that of passages is skipped, with the reason, if there is no index or the embedder fails."""
     read = store.registry.read
     tagged = find_tagged(read("creative_works"), read("work_subjects"), phrase)
-    text = find_text(text_index(read("work_text_fts")), read("creative_works"), phrase)
+    text = find_text(store.texts(), read("creative_works"), phrase)
     near, skipped = None, None
     try:
         identity = store.current()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, vector
 from .functions.naming import parsed_names
 from .operators import chunking, fulltext, knn, merge, registry
+from .plans.find import lanes
 from .rules import violations
+from .session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,14 +75,15 @@ def search_threshold(spark, sf_dir):
 
 @query("""
     WITH p AS (
-      SELECT q.vec_id AS query_id, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d
-      FROM embeddings q JOIN embeddings e ON q.label = 3 AND q.vec_id < 100),
+      SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d
+      FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM p)
-    SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
+    SELECT query_id, vec_id, round(d, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5""")
 def knn_join(spark, sf_dir):
+    """By cosine; every id divisible by 100 asks, against all rows."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("label = 3 and vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return knn.knn_join(vectors, asked, 5).withColumn("distance", F.round("distance", 6))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return knn.knn_join(vectors, asked, 5, "cosine").withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 @query("""
@@ -89,7 +93,7 @@ def knn_join(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM p)
     SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def knn_join_hundredths(spark, sf_dir):
-    """knn_join for every id divisible by 100, so that the query set grows with the table."""
+    """The same by Euclidean distance."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return knn.knn_join(vectors, asked, 5).withColumn("distance", F.round("distance", 6))
@@ -213,14 +217,26 @@ TOKENS = r"""
     s AS (SELECT count(*)::DOUBLE AS rows, avg(len) AS avg, sum((hits > 0)::INT)::DOUBLE AS n FROM h)"""
 
 
-def indexed(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    return fulltext.text_index(docs, ("body",), stem=False)
+_INDEXES: dict[tuple, fulltext.TextIndex] = {}
+
+
+def indexed(spark, sf_dir) -> fulltext.TextIndex:
+    """The postings of the texts, written to the shared folder by the first query of a session that needs them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+        _INDEXES[key] = fulltext.write_index(docs, f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}", ("body",), stem=False)
+    return _INDEXES[key]
+
+
+def ranked_documents(spark, sf_dir, phrase: str) -> DataFrame:
+    index = indexed(spark, sf_dir)
+    return fulltext.ranked(index, phrase).join(index.rows.select("row_id", "doc_id"), "row_id")
 
 
 @query(TOKENS + " SELECT doc_id, hits FROM h WHERE hits > 0")
 def fts_phrase(spark, sf_dir):
-    return fulltext.phrase_rank(indexed(spark, sf_dir), "of the", ("body",), stem=False).select("doc_id", "hits")
+    return ranked_documents(spark, sf_dir, "of the").select("doc_id", "hits")
 
 
 @query(
@@ -230,8 +246,7 @@ def fts_phrase(spark, sf_dir):
           FROM h, s WHERE hits > 0 ORDER BY rank, doc_id"""
 )
 def bm25_rank(spark, sf_dir):
-    found = fulltext.phrase_rank(indexed(spark, sf_dir), "of the", ("body",), stem=False)
-    return found.select("doc_id", F.round("rank", 6).alias("rank"))
+    return ranked_documents(spark, sf_dir, "of the").select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query()
@@ -315,8 +330,7 @@ def content_hashes(spark, sf_dir):
 
 @query("SELECT count(*) AS rows, count(DISTINCT sha256(text)) AS texts, count(*) - count(DISTINCT sha256(text)) AS repeats FROM documents")
 def dedup_by_hash(spark, sf_dir):
-    hashes = table(spark, sf_dir, "documents").groupBy(text.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n"))
-    return hashes.agg(F.sum("n").alias("rows"), F.count("*").alias("texts"), (F.sum("n") - F.count("*")).alias("repeats"))
+    return merge.repeats(table(spark, sf_dir, "documents"), text.content_hash(F.col("text")))
 
 
 @query(r"""
@@ -389,12 +403,15 @@ def manifest_diff(spark, sf_dir):
 )
 def find_report(spark, sf_dir):
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    tagged = docs.where(text.same_word(F.col("lang"), F.lit("ES"))).join(table(spark, sf_dir, "labels"), "doc_id")
-    tagged = tagged.select(F.lit("tagged").alias("lane"), F.col("doc_id").alias("key"), F.col("quality").cast("double").alias("score"))
-    hits = fts_phrase(spark, sf_dir).select(F.lit("text").alias("lane"), F.col("doc_id").alias("key"), F.col("hits").cast("double").alias("score"))
+    works = docs.select(F.col("doc_id").cast("string").alias("work_id"), F.col("doc_id").cast("string").alias("slug"), F.lit("").alias("title"), F.lit("").alias("kind"))
+    subjects = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    subjects = subjects.select(F.col("doc_id").cast("string").alias("work_id"), F.col("lang").alias("subject"), F.col("quality").cast("double").alias("weight"))
+    tagged = registry.find_tagged(works, subjects, "ES")
+    hits = fts_phrase(spark, sf_dir).select(F.col("doc_id").cast("string").alias("slug"), F.lit("").alias("title"), F.lit("").alias("snippet"), F.col("hits").cast("double").alias("rank"))
     near = knn.knn(vectors, vector_of(vectors, 2), 20, "l2", "vec_id")
-    near = near.select(F.lit("semantic").alias("lane"), F.col("vec_id").alias("key"), F.round("distance", 6).alias("score"))
-    return tagged.unionByName(hits).unionByName(near)
+    near = near.select(F.col("vec_id").cast("string").alias("path"), F.lit("").alias("text"), F.round("distance", 6).alias("distance"))
+    found = lanes(tagged, hits, near)
+    return found.select("lane", F.col("key").cast("long").alias("key"), "score")
 
 
 @query("""
@@ -410,6 +427,4 @@ def event_log(spark, sf_dir):
     SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal FROM orders
     QUALIFY ordinal >= 3""")
 def resume_after_offset(spark, sf_dir):
-    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    found = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
-    return found.where("ordinal >= 3")
+    return registry.after_offset(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3)

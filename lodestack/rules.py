@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import ConstraintError, ForbiddenPathError
+from .functions.text import ascii_lower
 
 # The sets that columns may hold, the largest inline medium, and the folder that holds no state.
 ALLOWED = {
@@ -50,6 +51,8 @@ KEYS = {
     "chunks": [["chunk_id"], ["doc_id", "seq"]],
     "vec_chunks": [["chunk_id"]],
 }
+#: Columns whose keys are the same in any case of A-Z.
+NO_CASE = {"work_subjects": {"subject"}}
 #: table -> (column, parent table, parent column)
 REFERENCES = {
     "index_registry": [("provider_id", "embedding_providers", "provider_id")],
@@ -95,7 +98,8 @@ def violations(table: str, rows: DataFrame, parents: dict[str, DataFrame] | None
         broken = rows.select(key.alias("key"), F.explode(F.array_compact(F.array(*checks))).alias("rule"))
         found.append(broken.select("rule", "key"))
     for columns in KEYS.get(table, []):
-        counted = rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
+        folded = [ascii_lower(F.col(c)).alias(c) if c in NO_CASE.get(table, ()) else F.col(c) for c in columns]
+        counted = rows.groupBy(*folded).agg(F.count("*").alias("n")).where("n > 1")
         found.append(counted.select(F.lit(f"unique {', '.join(columns)}").alias("rule"), F.concat_ws("/", *columns).alias("key")))
     for column, parent, target in REFERENCES.get(table, []):
         if parents and parent in parents:

@@ -7,14 +7,16 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NoRootError
 from ..rules import allowed_path
 from ..schema import SCHEMAS
+from ..session import checkpoint_dir
 
 # Extensions of files that hold no text.
 BINARY_EXTENSIONS = [
@@ -23,8 +25,6 @@ BINARY_EXTENSIONS = [
     "class", "jar", "wasm", "db", "sqlite", "bin",
 ]
 READ_BYTES = 64 << 10
-#: Paths that one task lists, hashes or reads.
-FILES_A_TASK = 2000
 
 
 @dataclass(frozen=True)
@@ -35,27 +35,57 @@ class Snapshot:
     entries: DataFrame
 
 
-def walked(root: str) -> Iterator[str]:
-    """Regular files below root as paths with slashes; links aren't followed, what can't be read is left out."""
-    for at, folders, names in os.walk(root, followlinks=False):
-        folders.sort()
-        for name in names:
-            full = os.path.join(at, name)
-            if os.path.isfile(full) and not os.path.islink(full):
-                yield os.path.relpath(full, root).replace(os.sep, "/")
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path of each regular file below root, with slashes; links aren't followed, what can't be read is left out.
+
+    Folders are listed by the executors, a level of the tree a job, so the driver holds no names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("rel_path").to_pylist():
+                names, kinds = [], []
+                try:
+                    for entry in os.scandir(os.path.join(root, folder)):
+                        if entry.is_dir(follow_symlinks=False) or entry.is_file(follow_symlinks=False):
+                            names.append(f"{folder}/{entry.name}" if folder else entry.name)
+                            kinds.append(entry.is_dir(follow_symlinks=False))
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.bool_())], ["rel_path", "folder"])
+
+    checkpoint_dir(spark)
+    folders, found = spark.createDataFrame([("",)], "rel_path string"), spark.createDataFrame([], "rel_path string")
+    while not folders.isEmpty():
+        level = folders.repartition("rel_path").mapInArrow(run, "rel_path string, folder boolean").checkpoint()
+        found = found.union(level.where("not folder").select("rel_path"))
+        folders = level.where("folder").select("rel_path")
+    return found
 
 
-def file_paths(spark: SparkSession, root: str, include: str | None = None) -> DataFrame:
-    """rel_path of each file that may be text: no hidden component, no binary extension, and include found in it.
+def text_paths(paths: DataFrame, include: str | None = None, legacy: str | None = None) -> DataFrame:
+    """Of rel_path those that may be text: no hidden component, no binary extension, and include found in it.
 
-    Names are listed on the driver, as files of one folder tree are; contents are read by the executors only.
+    legacy is the root if the older rules hold: a name is hidden if the full path has "/." anywhere, and include is
+    looked for in the full path.
     """
+    extension = F.lower(F.regexp_extract("rel_path", r"\.([^./]*)$", 1))
+    full = F.concat(F.lit(f"{legacy.rstrip('/')}/"), F.col("rel_path")) if legacy is not None else F.col("rel_path")
+    hidden = full.contains("/.") if legacy is not None else full.rlike(r"(^|/)\.")
+    kept = paths.where(~hidden & ~extension.isin(BINARY_EXTENSIONS))
+    return kept.where(full.rlike(include)) if include else kept
+
+
+def path_order(legacy: bool = False) -> Column:
+    """Byte order of the paths; the older order compares them component by component."""
+    return F.split("rel_path", "/") if legacy else F.col("rel_path")
+
+
+def file_paths(spark: SparkSession, root: str, include: str | None = None, legacy: bool = False) -> DataFrame:
+    """rel_path of each file below root that may be text."""
     if not os.path.isdir(root):
         raise NoRootError(root)
-    paths = spark.createDataFrame(((p,) for p in walked(root)), "rel_path string")
-    extension = F.lower(F.regexp_extract("rel_path", r"\.([^./]*)$", 1))
-    kept = paths.where(~F.col("rel_path").rlike(r"(^|/)\.") & ~extension.isin(BINARY_EXTENSIONS))
-    return kept.where(F.col("rel_path").rlike(include)) if include else kept
+    return text_paths(listed(spark, root), include, os.path.abspath(root) if legacy else None)
 
 
 def hashed(path: str) -> tuple[int, int, str] | None:
@@ -86,10 +116,10 @@ def entries(paths: DataFrame, root: str) -> DataFrame:
 ENTRY = pa.schema([("rel_path", pa.string()), ("mtime_ns", pa.int64()), ("size", pa.int64()), ("sha256", pa.string())])
 
 
-def freeze(spark: SparkSession, root: str, manifest_dir: str, run: str, include: str | None = None) -> Snapshot:
-    """Lists and hashes the corpus and writes <run>.manifest.jsonl, in byte order of the paths."""
+def freeze(spark: SparkSession, root: str, manifest_dir: str, run: str, include: str | None = None, legacy: bool = False) -> Snapshot:
+    """Lists and hashes the corpus and writes <run>.manifest.jsonl, in order of the paths, a row at a time."""
     allowed_path(os.path.abspath(manifest_dir))
-    found = entries(file_paths(spark, root, include), root).orderBy("rel_path")
+    found = entries(file_paths(spark, root, include, legacy), root).orderBy(path_order(legacy))
     os.makedirs(manifest_dir, exist_ok=True)
     path = os.path.join(manifest_dir, f"{run}.manifest.jsonl")
     with open(path, "w", encoding="utf-8") as out:  # one small file, for its hash
@@ -100,8 +130,8 @@ def freeze(spark: SparkSession, root: str, manifest_dir: str, run: str, include:
 
 def load_manifest(spark: SparkSession, path: str, root: str = "") -> Snapshot:
     with open(path, "rb") as file:
-        digest = hashlib.sha256(file.read()).hexdigest()
-    rows = spark.read.schema(SCHEMAS["manifest"]).json(f"file://{os.path.abspath(path)}").where("rel_path is not null")
+        digest = hashlib.file_digest(file, "sha256").hexdigest()
+    rows = spark.read.schema(SCHEMAS["manifest"]).json(Path(path).absolute().as_uri()).where("rel_path is not null")
     return Snapshot(root, path, digest, rows)
 
 
@@ -128,8 +158,10 @@ def unchanged(snapshot: Snapshot, strong: bool = False) -> DataFrame:
     return snapshot.entries.mapInArrow(run, "rel_path string, matches boolean")
 
 
-def contents(entries: DataFrame, root: str) -> DataFrame:
-    """entries with state and text: ok, deferred (time or size differ, or missing) or stale (another hash); bytes that aren't UTF-8 are replaced.
+def contents(entries: DataFrame, root: str, strict: bool = False) -> DataFrame:
+    """entries with state and text: ok, deferred (time or size differ, or missing) or stale (another hash).
+
+    Bytes that aren't UTF-8 are replaced, or, if strict, make the file invalid, which leaves what is known of it as it is.
 
     The hash is of the bytes that the text comes from, so nothing changed is ever passed on.
     """
@@ -147,9 +179,11 @@ def contents(entries: DataFrame, root: str) -> DataFrame:
                         with open(full, "rb") as file:
                             data = file.read()
                         if hashlib.sha256(data).hexdigest() == e["sha256"]:
-                            text = data.decode("utf-8", "replace")
+                            text = data.decode("utf-8", "strict" if strict else "replace")
                         else:
                             state = "stale"
+                except UnicodeDecodeError:
+                    state = "invalid"
                 except OSError:
                     state = "deferred"
                 yield pa.RecordBatch.from_pylist([e | {"state": state, "text": text}], TEXT)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import IndexIdentity, now_text, peak_memory, run_id
 from ..operators import merge
 from ..operators.chunking import CHUNK_CHARS, chunk_documents, chunk_lines
-from ..operators.registry import resumable_run
+from ..operators.registry import resumable_run, superseded
 from ..plans.store import Index, Store
 from ..rules import checked
 from ..schema import SCHEMAS, schema_of
@@ -72,8 +72,9 @@ def stream(spark: SparkSession, work: Path, root: str, embedder: Embedder, dims:
     """Works off the manifest's batches that the checkpoint doesn't have."""
 
     def one(batch: DataFrame, number: int) -> None:
-        texts = contents(batch, root).persist()
-        at = f"file://{work.absolute()}"
+        # A batch is one file and so one partition; reading, cutting and embedding are spread by path.
+        texts = contents(batch.repartition("rel_path"), root, strict=by_lines).persist()
+        at = work.absolute().as_uri()
         good = texts.where("state = 'ok'").withColumnRenamed("rel_path", "path")
         if by_lines:
             cut = chunk_lines(good, chunk_chars, keep=("path",)).withColumn("token_count", F.lit(None).cast("long"))
@@ -86,9 +87,9 @@ def stream(spark: SparkSession, work: Path, root: str, embedder: Embedder, dims:
 
     reader = spark.readStream.schema(SCHEMAS["manifest"]).option("maxFilesPerTrigger", 1)
     query = (
-        reader.json(f"file://{(work / 'manifest').absolute()}")
+        reader.json((work / "manifest").absolute().as_uri())
         .writeStream.foreachBatch(one)
-        .option("checkpointLocation", f"file://{(work / 'checkpoint').absolute()}")
+        .option("checkpointLocation", (work / "checkpoint").absolute().as_uri())
         .trigger(availableNow=True)
         .start()
     )
@@ -136,17 +137,19 @@ def reindex(
     trigger: str = "manual",
     force: bool = False,
     by_lines: bool = False,
+    legacy: bool = False,
 ) -> Stats:
     """Brings the index up to date with the corpus and makes it current.
 
     A run that was left running or has failed is resumed with its own manifest, unless force starts anew; the newest
-    run decides. On an error the run is marked failed and the index stays as it was.
+    run decides. On an error the run is marked failed and the index stays as it was. by_lines cuts by lines and takes only
+    files that are UTF-8; legacy lists the files by the older rules and order (see text_paths).
     """
     spark, name = store.spark, identity.index_name
     checkpoint_dir(spark)
     index = store.index(identity)
     with index.lock():
-        providers = store.provider(identity)
+        store.provider(identity)  # refused before anything is written
         index.open()
         registry = store.registry
         runs, checkpoints = registry.read("reindex_runs"), registry.read("reindex_checkpoints")
@@ -156,33 +159,37 @@ def reindex(
             snapshot = load_manifest(spark, left["snapshot_manifest"], root)
         else:
             left, run, started = None, run_id(), now_text()
-            snapshot = freeze(spark, root, str(store.root / "manifests"), run, include)
+            snapshot = freeze(spark, root, str(store.root / "manifests"), run, include, legacy)
         work = store.root / "runs" / run
         total = snapshot.entries.count()
         batches = write_batches(snapshot, work / "manifest", batch_docs) if not left else len(list((work / "manifest").glob("*.json")))
 
-        def record(status: str, docs_done: int = 0, chunks: int = 0, error: str | None = None, **tables: DataFrame) -> None:
-            nonlocal runs
+        def record(*about, **more) -> None:
+            with store.changing():
+                recorded(*about, **more)
+
+        def recorded(status: str, docs_done: int = 0, chunks: int = 0, error: str | None = None, **tables: DataFrame) -> None:
             known = registry.read("reindex_runs")
             if status == "running":
-                old = (F.col("index_name") == name) & (F.col("status") == "running") & (F.col("run_id") != run)
-                known = known.withColumn("status", F.when(old, "superseded").otherwise(F.col("status")))
+                known = superseded(known, name, run)
             row = run_row(spark, run, name, trigger, snapshot, status, started, None if status == "running" else now_text(), error)
             last = spark.createDataFrame([(run, "", total, docs_done, chunks, batches, peak_memory(), now_text())], SCHEMAS["reindex_checkpoints"])
+            if status == "running":
+                tables["embedding_providers"] = store.provider(identity)
             registry.commit(
                 reindex_runs=merge.upsert(known, row, "run_id"),
                 reindex_checkpoints=merge.upsert(registry.read("reindex_checkpoints"), last, "run_id"),
                 **tables,
             )
 
-        record("running", embedding_providers=providers)
+        record("running")
         try:
             stream(spark, work, root, embedder, identity.dims, chunk_chars, embed_batch, by_lines)
             docs = spark.createDataFrame([], DOCS)
             cut = spark.createDataFrame([], schema_of("path string, seq long, start_offset long, end_offset long, text string, content_hash string, token_count long, embedding array<float>"))
             if batches:
-                docs = spark.read.schema(DOCS).parquet(f"file://{work.absolute()}/docs/*")
-                cut = spark.read.schema(cut.schema).parquet(f"file://{work.absolute()}/chunks/*")
+                docs = spark.read.schema(DOCS).parquet(f"{work.absolute().as_uri()}/docs/*")
+                cut = spark.read.schema(cut.schema).parquet(f"{work.absolute().as_uri()}/chunks/*")
             tables = merged(index, docs, cut, now_text())
             index.commit(**tables)
         except Exception as e:
@@ -194,5 +201,6 @@ def reindex(
         chunks = index.read("chunks").count()
         record("completed", states.get("ok", 0), chunks)
         store.set_current(identity, by_status.get("active", 0), chunks)
+        index.vacuum()
         shutil.rmtree(work, ignore_errors=True)
         return Stats(run, states.get("ok", 0), chunks, batches, states.get("deferred", 0), states.get("stale", 0), by_status.get("gone", 0), left is not None)

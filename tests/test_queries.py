@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from oracle import assert_same
 
+import lodestack.store_queries  # noqa: F401 - adds its queries
 from lodestack.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
