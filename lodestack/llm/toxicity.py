@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     The constant isn't learned but follows from the sample's labels, log((toxic + 1/2) / (others + 1/2)), so L1 doesn't hold
     it back and few labels give a low score to clean texts. Executors make the features of whole texts; one task then
     learns from them in the order of the hashes, EPOCHS times, with one batch of rows in memory. Labels that are null
-    are left out; an id with two labels is toxic; rows of docs that share an id count each, within the limit of rows.
+    are left out; an id with two labels is toxic; of rows of docs that share an id one counts, that of the smallest hash.
     Without labels every text scores 0.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
@@ -110,7 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     known = known.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(rows)
     # At most `rows` ids: a bounded broadcast.
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
-    sample = sample.select(F.col("_label").cast("int").alias("label"), "text", F.col("_h").alias("h"), F.xxhash64("text").alias("h2"))
+    sample = sample.select(F.col("_label").cast("int").alias("label"), "text", F.col("_h").alias("h"), F.xxhash64("text").alias("h2"), "_id")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("h2", "text"))  # tasks keep one row an id before the shuffle
+    sample = sample.withColumn("k", first).where("k = 1").drop("k", "_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array((pairs % BUCKETS).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "h", "h2")), lists], ["label", "h", "h2", "at"])
 
-    made = sample.mapInArrow(freeing(featured), "label int, h long, h2 long, at array<int>").orderBy("h", "h2").limit(rows)
-    made = stored(made, "features")
+    made = stored(in_small_batches(sample).mapInArrow(freeing(featured), "label int, h long, h2 long, at array<int>"), "features")
     counts = made.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     if not counts["n"]:
         return Model(np.empty(0, np.int64), np.empty(0), -np.inf)

@@ -49,3 +49,23 @@ def test_empty_table(spark, tmp_path):
         stage(spark, docs, "").write.parquet(f"file://{tmp_path}/{name}")
         docs = spark.read.parquet(f"file://{tmp_path}/{name}")
     assert docs.count() == 0
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Very long texts, repeated rows, ties, nulls in every column and columns of clashing names: each stage has a defined result."""
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}word" for k in range(400)]
+    long = " ".join(words * 120)
+    rows = [(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, long.upper(), "en", None), (4, "same words here and there", "en", "b")]
+    rows += [(4, "same words here and there", "en", "b"), (5, "", "en", "b"), (6, None, None, None), (7, "\n \t", "en", "c"), (8, "x" * 60_000, None, "c")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA)
+    for name in ("row", "_row", "_key", "_word", "_bits", "size", "cls", "family", "h", "n", "key", "of", "taken"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(f"file://{tmp_path}/{name}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+        kept[name] = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert kept["language"] == [1, 2, 3, 4, 4, 8]
+    assert kept["exact_dedup"] == [2, 3, 4, 4, 8]  # 1 and 3 are equal; a row that stands there twice stays
+    assert kept["near_dedup"] == [2, 4, 4, 8]
+    assert set(kept["mix"]) <= {2, 4, 8} and docs.where("not decoded_equal").count() == 0
