@@ -18,6 +18,7 @@ import os
 import shutil
 import time
 import uuid
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -195,7 +196,7 @@ class Store:
         return index
 
     def provider(self, identity: IndexIdentity, kind: str = "local-ollama") -> DataFrame:
-        """The providers with this one; refused if it has other dimensions or is retired."""
+        """The providers with this one; refused if it has other dimensions or is retired; a degraded one warns."""
         known = self.registry.read("embedding_providers")
         row = known.where(F.col("provider_id") == identity.provider_id).first()
         if row is None:
@@ -207,6 +208,8 @@ class Store:
             raise ProvenanceError(f"{identity.provider_id} ({row['dims']}d)", str(identity))
         if row["status"] == "retired":
             raise ProviderRetiredError(identity.provider_id)
+        if row["status"] == "degraded":
+            warnings.warn(f"{identity.provider_id} is degraded", stacklevel=2)
         return known
 
     @contextmanager

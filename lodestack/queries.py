@@ -220,12 +220,12 @@ TOKENS = r"""
 _INDEXES: dict[tuple, fulltext.TextIndex] = {}
 
 
-def indexed(spark, sf_dir) -> fulltext.TextIndex:
+def indexed(spark, sf_dir, stem: bool = False) -> fulltext.TextIndex:
     """The postings of the texts, written to the shared folder by the first query of a session that needs them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stem)
     if key not in _INDEXES:
         docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-        _INDEXES[key] = fulltext.write_index(docs, f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}", ("body",), stem=False)
+        _INDEXES[key] = fulltext.write_index(docs, f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}", ("body",), stem)
     return _INDEXES[key]
 
 
@@ -252,8 +252,8 @@ def bm25_rank(spark, sf_dir):
 @query()
 def fts_snippet(spark, sf_dir):
     """Stemmed, with snippets; tests hold it against SQLite's FTS5."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    found = fulltext.phrase_rank(fulltext.text_index(docs, ("body",)), "of the", ("body",))
+    index = indexed(spark, sf_dir, stem=True)
+    found = fulltext.ranked(index, "of the").join(index.rows, "row_id")
     return found.select("doc_id", F.round("rank", 6).alias("rank"), fulltext.snippet(F.col("body"), "of the").alias("snippet"))
 
 
