@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 
 from .shared import freeing, in_small_batches, pieces_of
 
-#: Bytes of a block's compressed size that a dictionary must save. A short statement saves few; a part of a notice or of a
-#: whole text saves many times these.
+#: Bytes of a block's compressed size that a dictionary must save. A short wording (under SHORT words) saves few; a part of a
+#: notice or of a whole text saves many times these.
 LEAST_BYTES = {"statement": 1, "notice": 6, "text": 40}
+SHORT = 12
 #: Words on either side of a keyword that are a block of their own.
 AROUND = 5
 #: A statement must be there word by word; of a notice at most this share may be missing, or stand between.
@@ -262,6 +263,12 @@ def runs(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]], list[tupl
 KEYWORD = re.compile(KEYWORDS, re.I)
 
 
+@lru_cache(1)
+def least_bytes() -> list[int]:
+    """What each template must save."""
+    return [1 if max(map(len, t.wordings)) < SHORT else LEAST_BYTES[t.kind] for t in sheets()]
+
+
 @lru_cache(1 << 12)
 def ranked(block: str) -> list[tuple[int, int]]:
     """Templates that reduce the block's compressed size enough as a dictionary: bytes saved, number; best first."""
@@ -269,7 +276,7 @@ def ranked(block: str) -> list[tuple[int, int]]:
     data = block.encode("utf-8", "surrogatepass")
     alone = len(plain.compress(data))
     saved = [(alone - len(c.compress(data)), k) for k, c in enumerate(made)]
-    return sorted(((s, k) for s, k in saved if s >= LEAST_BYTES[sheets()[k].kind]), key=lambda x: (-x[0], x[1]))
+    return sorted(((s, k) for s, k in saved if s >= least_bytes()[k]), key=lambda x: (-x[0], x[1]))
 
 
 @lru_cache(1 << 12)
