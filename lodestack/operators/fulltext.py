@@ -23,8 +23,8 @@ from ..functions import stem as words
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET_TOKENS = 12
 OPEN, CLOSE, DOTS = "«", "»", "…"
-#: Term hashes are dealt to so many folders, and each folder's postings by row to so many files.
-BUCKETS, FILES = 64, 4
+#: Term hashes are dealt to a folder for so many rows, so many folders at most, and each folder's postings by row to files.
+BUCKET_ROWS, MOST_BUCKETS, FILES = 2000, 4096, 4
 
 
 def tokenised(column: Column, stem: bool = True) -> Column:
@@ -46,7 +46,8 @@ def text_index(rows: DataFrame, columns: tuple[str, ...] = ("title", "body"), st
 class TextIndex:
     rows: DataFrame  # row_id and the columns of the indexed table
     postings: DataFrame  # term, row_id, field, positions, length (tokens of the row in all fields), bucket
-    stats: DataFrame  # one row: rows, tokens
+    stats: DataFrame  # one row: rows, tokens, buckets
+    buckets: int
     columns: tuple[str, ...]
     stem: bool
 
@@ -55,8 +56,8 @@ POSTING = "term string, row_id long, field int, positions array<int>, length int
 POSTING_TYPE = pa.schema([("term", pa.string()), ("row_id", pa.int64()), ("field", pa.int32()), ("positions", pa.list_(pa.int32())), ("length", pa.int32())])
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def posted(columns: tuple[str, ...], stem: bool):
@@ -87,18 +88,22 @@ def write_index(rows: DataFrame, at: str, columns: tuple[str, ...] = ("title", "
     spark = rows.sparkSession
     rows.withColumn("row_id", F.monotonically_increasing_id()).write.parquet(f"{at}/rows")
     held = spark.read.parquet(f"{at}/rows")
-    made = held.select("row_id", *columns).mapInArrow(posted(columns, stem), POSTING).withColumn("bucket", bucket_of(F.col("term")))
+    count = held.count()
+    buckets = max(1, min(MOST_BUCKETS, -(-count // BUCKET_ROWS)))
+    made = held.select("row_id", *columns).mapInArrow(posted(columns, stem), POSTING)
+    made = made.withColumn("bucket", bucket_of(F.col("term"), buckets))
     dealt = made.repartition("bucket", F.pmod("row_id", F.lit(FILES))).sortWithinPartitions("bucket", "term", "row_id")
     dealt.write.partitionBy("bucket").parquet(f"{at}/postings")
     postings = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{at}/postings")
     tokens = postings.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens"))
-    tokens.withColumn("rows", F.lit(held.count())).write.parquet(f"{at}/stats")
+    tokens.select("tokens", F.lit(count).alias("rows"), F.lit(buckets).alias("buckets")).write.parquet(f"{at}/stats")
     return read_index(spark, at, columns, stem)
 
 
 def read_index(spark: SparkSession, at: str, columns: tuple[str, ...] = ("title", "body"), stem: bool = True) -> TextIndex:
     postings = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{at}/postings")
-    return TextIndex(spark.read.parquet(f"{at}/rows"), postings, spark.read.parquet(f"{at}/stats"), columns, stem)
+    stats = spark.read.parquet(f"{at}/stats")
+    return TextIndex(spark.read.parquet(f"{at}/rows"), postings, stats, stats.first()["buckets"], columns, stem)
 
 
 def moved(places: Column, offset: int) -> Column:
@@ -114,7 +119,7 @@ def phrase_hits(index: TextIndex, phrase: str) -> DataFrame:
     none = index.postings.select("row_id", F.lit(0).alias("hits"), "length").limit(0)
     if not wanted:
         return none
-    of = lambda t: (F.col("bucket") == bucket_of(F.lit(t))) & (F.col("term") == t)
+    of = lambda t: (F.col("bucket") == bucket_of(F.lit(t), index.buckets)) & (F.col("term") == t)
     found = index.postings.where(reduce(Column.__or__, map(of, dict.fromkeys(wanted))))
     if len(wanted) == 1:
         return found.groupBy("row_id").agg(F.sum(F.size("positions")).cast("int").alias("hits"), F.max("length").alias("length"))
