@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdup, langid, licenses, mixing, neardup, pieces, tokens, topk, toxicity, warc
+from . import clustering, exactdup, langid, licenses, mixing, neardup, pieces, simhash, tokens, topk, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,53 @@ def op2_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_near_dedup")
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def as_long(name: str) -> Column:
+    """A decimal column as long; null where it doesn't fit."""
+    return F.col(name).try_cast("long").alias(name)
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", as_long("deviation"), "whitened", "explained", "identity_error")
+
+
+def lloyd_sql(rounds: int = 10) -> str:
+    """SQL of op13: a pair of tables a round, as neither an aggregate of an aggregate nor a loop is needed then."""
+    distance = "list_sum(list_transform(list_zip(v, z), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+      SELECT id, v, k, d FROM (SELECT id, v, k, {distance} AS d FROM kept, c{k})
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, k) = 1)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (
+      SELECT k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 65) r(i) GROUP BY k, i),
+    m{k} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS z FROM s{k} GROUP BY k),
+    c{k + 1} AS MATERIALIZED (SELECT k, coalesce(m{k}.z, c{k}.z) AS z FROM c{k} LEFT JOIN m{k} USING (k))""")
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS z
+      FROM (SELECT sha256(concat('3:', vec_id)) AS h, v FROM kept ORDER BY h LIMIT 8)),
+    {", ".join(steps)}
+    SELECT vec_id, a.k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+           sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN kept USING (id) JOIN c{rounds} c ON c.k = a.k
+    """
+
+
+@query("op13_centroid_clustering", lloyd_sql())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.clustered(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", as_long("distance"), as_long("cluster_inertia"), as_long("inertia"), "centroid_sha256")
