@@ -39,9 +39,15 @@ ARRAY_PLACES = 1 << 16
 #: Bytes of text that are encoded at once.
 PIECE = 1 << 20
 #: Distinct segments and searches that a task keeps; others are solved each time they are met.
-KEPT_SEGMENTS, KEPT_SEARCHES = 80_000, 10_000
+KEPT_SEGMENTS, KEPT_SEARCHES = 250_000, 10_000
 NONE = -np.inf
 BASE = np.uint64(0x100000001B3)
+#: Marks of a table of hashes; a power of two.
+MARKS = 1 << 20
+
+
+def marked(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 def zipf_scores(scores: np.ndarray) -> np.ndarray:
@@ -78,22 +84,47 @@ class Pieces:
         scores = np.round(scores / SCORE_UNIT) * SCORE_UNIT
         self.of: dict[str, tuple[int, float]] = {p: (i, s) for (p, i), s in zip(plain, scores.tolist(), strict=True)}
         self.before = len(sp.encode("\n"))
+        self.line_break = sp.encode("\n")[-1]
         self.unknown = min(s for _, s in self.of.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.of))
         self.tables = []
         for n in range(1, self.longest + 1):
             found = sorted((self.hash(p), i, s) for p, (i, s) in self.of.items() if len(p) == n)
-            self.tables.append(tuple(np.array([x[k] for x in found], t) for k, t in ((0, np.uint64), (1, np.int32), (2, float))))
-
-    def own_ids(self, segments: list[str]) -> list[list[int]]:
-        """The model's own ids of segments. No piece goes over a line break, so one in front changes nothing behind it."""
-        out = [x[self.before :] for x in self.model.encode(["\n" + s for s in segments], num_threads=1)]
-        for k, s in enumerate(segments):
-            if "▁" in s:  # the library takes it for a space; here it is a character like others
-                parts = self.model.encode(["\n" + x for x in s.split("▁")], num_threads=1)
-                mark = [self.byte_ids[b] for b in "▁".encode()]
-                out[k] = [i for n, x in enumerate(parts) for i in (mark if n else []) + x[self.before :]]
-        return out
+            hashes, ids, scores = (np.array([x[k] for x in found], t) for k, t in ((0, np.uint64), (1, np.int32), (2, float)))
+            marks = np.zeros(MARKS, bool)  # most stretches of a text are no piece, which one look tells
+            marks[marked(hashes)] = True
+            self.tables.append((hashes, ids, scores, marks))
+        self.byte_sizes = np.array(list(map(len, self.bytes_of)), np.int64)
+        self.byte_begins = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def own_ids(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The model's own ids of segments, and their bounds.
+
+        No piece goes over a line break, so one before each segment changes nothing behind it, and cuts what one call
+        gives for all. Segments with a line break of their own, and those with U+2581, are encoded by themselves: the
+        library takes that for a space; here it is a character like others.
+        """
+        odd = pc.or_(pc.match_substring(segments, "\n"), pc.match_substring(segments, "▁")).to_numpy(zero_copy_only=False)
+        plain = segments.filter(pa.array(~odd)).to_pylist()
+        ids = np.array(self.model.encode("\n" + "\n".join(plain), num_threads=1) if plain else [], np.int32)
+        breaks = np.flatnonzero(ids == self.line_break)
+        sizes = np.zeros(len(segments), np.int64)
+        sizes[~odd] = np.diff(np.append(breaks, len(ids))) - 1
+        ids = np.delete(ids, breaks)[breaks[0] if len(breaks) else 0 :]
+        if odd.any():
+            mark, found = [self.byte_ids[b] for b in "▁".encode()], {}
+            for k in np.flatnonzero(odd).tolist():
+                parts = self.model.encode(["\n" + x for x in segments[k].as_py().split("▁")], num_threads=1)
+                found[k] = [i for n, x in enumerate(parts) for i in (mark if n else []) + x[self.before :]]
+                sizes[k] = len(found[k])
+            every = np.empty(int(sizes.sum()), np.int32)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            every[np.repeat(~odd, sizes)] = ids
+            for k, x in found.items():
+                every[bounds[k] : bounds[k + 1]] = x
+            ids = every
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
 
     @staticmethod
     def hash(piece: str) -> int:
@@ -159,7 +190,7 @@ def solved(p: Pieces, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     n = len(segments)
     lengths = pc.utf8_length(segments).to_numpy().astype(np.int64)
     score, loss = np.zeros(n), np.full(n, np.inf)
-    ids: list[np.ndarray] = [np.empty(0, np.int32)] * n
+    counts, done = np.zeros(n, np.int64), []  # done: rows, and their ids in this order
     order = np.argsort(lengths, kind="stable")
     at = 0
     while at < n and lengths[order[at]] <= ARRAY_LENGTH:
@@ -169,84 +200,89 @@ def solved(p: Pieces, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
         to = max(at + 1, min(to, int(np.searchsorted(lengths[order], lengths[order[at]] * 1.3 + 1, "right"))))
         rows = order[at:to]
         chars = np.frombuffer("".join(segments.take(pa.array(rows)).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        solve_rows(p, chars, lengths[rows], rows, score, loss, ids)
+        score[rows], loss[rows], counts[rows], ids = solve_rows(p, chars, lengths[rows])
+        done.append((rows, ids))
         at = to
     for i in order[at:]:
         text = segments[int(i)].as_py()
         two = search(p, text, 2)
-        score[i], ids[i] = two[0][0], np.array(two[0][1], np.int32)
+        score[i], counts[i] = two[0][0], len(two[0][1])
+        done.append((np.array([i]), np.array(two[0][1], np.int32)))
         if len(two) > 1:
             loss[i] = two[0][0] - two[1][0]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-    return (np.concatenate(ids) if n else np.empty(0, np.int32)), bounds, score, loss
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    every = np.empty(int(bounds[-1]), np.int32)
+    for rows, ids in done:
+        every[ragged(bounds[rows], counts[rows])] = ids
+    return every, bounds, score, loss
 
 
-def solve_rows(p: Pieces, chars: np.ndarray, lengths: np.ndarray, rows: np.ndarray, score_out, loss_out, ids_out) -> None:
+def solve_rows(p: Pieces, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments of rising lengths, in a row in chars: scores, losses, numbers of ids, ids."""
+    # Places first, rows of segments last: each step works on whole rows of memory.
     w, width, row = len(lengths), int(lengths[-1]), np.arange(len(lengths))
-    c = np.zeros((w, width), np.uint64)
-    c[np.repeat(row, lengths), ragged(np.zeros(w, np.int64), lengths)] = chars.astype(np.uint64) + np.uint64(1)
+    c = np.zeros((width, w), np.uint64)
+    c[ragged(np.zeros(w, np.int64), lengths), np.repeat(row, lengths)] = chars.astype(np.uint64) + np.uint64(1)
     most = min(p.longest, width)
-    score, number, h = [], [], np.zeros((w, width + 1), np.uint64)
+    score, number, h = [], [], np.zeros((width + 1, w), np.uint64)
     for n in range(1, most + 1):
-        h = h[:, : width - n + 1] * BASE + c[:, n - 1 :]
-        hashes, ids, scores = p.tables[n - 1]
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[at] == h
-            number.append(np.where(hit, ids[at], -1))
-            score.append(np.where(hit, scores[at], NONE))
-        else:
-            number.append(np.full(h.shape, -1, np.int32))
-            score.append(np.full(h.shape, NONE))
+        h = h[: width - n + 1] * BASE + c[n - 1 :]
+        hashes, ids, scores, marks = p.tables[n - 1]
+        number.append(np.full(h.shape, -1, np.int32))
+        score.append(np.full(h.shape, NONE))
+        maybe = np.flatnonzero(marks[marked(h)] & (c[n - 1 :] > 0)) if len(hashes) else ()
+        if len(maybe):
+            asked = h.ravel()[maybe]
+            at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+            hit = hashes[at] == asked
+            number[-1].ravel()[maybe[hit]] = ids[at[hit]]
+            score[-1].ravel()[maybe[hit]] = scores[at[hit]]
     score[0] = np.where((number[0] < 0) & (c > 0), p.unknown, score[0])
-    ahead, back = np.full((w, width + 1), NONE), np.zeros((w, width + 1), np.int64)
-    ahead[:, 0] = 0
+    ahead = np.full((width + 1, w), NONE)
+    ahead[0] = 0
     for end in range(1, width + 1):
-        for n in range(min(most, end), 0, -1):  # of equal scores the longest piece
-            s = ahead[:, end - n] + score[n - 1][:, end - n]
-            better = s > ahead[:, end]
-            ahead[better, end] = s[better]
-            back[better, end] = n
-    behind = np.full((w, width + 1), NONE)
-    behind[row, lengths] = 0
+        for n in range(1, min(most, end) + 1):
+            np.maximum(ahead[end], ahead[end - n] + score[n - 1][end - n], out=ahead[end])
+    behind = np.full((width + 1, w), NONE)
+    behind[lengths, row] = 0
     for begin in range(width - 1, -1, -1):
         for n in range(1, min(most, width - begin) + 1):
-            np.maximum(behind[:, begin], score[n - 1][:, begin] + behind[:, begin + n], out=behind[:, begin])
-    best = ahead[row, lengths]
-    taken, place, steps = np.zeros((most, w, width), bool), lengths.copy(), []
-    while True:
-        alive = np.flatnonzero(place > 0)
-        if not len(alive):
-            break
-        n = back[alive, place[alive]]
-        place[alive] -= n
-        taken[n - 1, alive, place[alive]] = True
-        steps.append((alive, place[alive], n))
+            np.maximum(behind[begin], score[n - 1][begin] + behind[begin + n], out=behind[begin])
+    best = ahead[lengths, row]
+    taken, place, steps = np.zeros((most, width, w), bool), lengths.copy(), []
+    alive = np.flatnonzero(place > 0)
+    while len(alive):
+        end, n = place[alive], np.zeros(len(alive), np.int64)
+        for k in range(most, 0, -1):  # of equal scores the longest piece
+            begin = np.maximum(end - k, 0)
+            ends = np.minimum(begin, width - k)
+            fits = (n == 0) & (end >= k) & (ahead[begin, alive] + score[k - 1][ends, alive] == ahead[end, alive])
+            n[fits] = k
+        place[alive] = end - n
+        taken[n - 1, end - n, alive] = True
+        steps.append((alive, end - n, n))
+        alive = alive[end > n]
     loss = np.full(w, np.inf)
     for n in range(1, most + 1):
         m = width - n + 1
-        through = ahead[:, :m] + score[n - 1] + behind[:, n:]
-        lost = np.where(taken[n - 1, :, :m] | ~np.isfinite(through), np.inf, best[:, None] - through)
-        np.minimum(loss, lost.min(1), out=loss)
-    score_out[rows], loss_out[rows] = best, loss
+        lost = best - (ahead[:m] + score[n - 1] + behind[n:])
+        lost[taken[n - 1, :m]] = np.inf
+        np.minimum(loss, np.where(np.isnan(lost), np.inf, lost).min(0), out=loss)
     who, begin, n = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.empty(0, np.int64),) * 3
     order = np.lexsort((begin, who))
     who, begin, n = who[order], begin[order], n[order]
     found = np.empty(len(who), np.int32)
     for k in range(1, most + 1):
         mine = n == k
-        found[mine] = number[k - 1][who[mine], begin[mine]]
-    cuts = np.searchsorted(who, np.arange(w + 1))
-    odd = set(who[found < 0].tolist())
-    for r in range(w):
-        mine = found[cuts[r] : cuts[r + 1]]
-        if r in odd:
-            bytes_ = (
-                [x] if x >= 0 else [p.byte_ids[b] for b in chr(int(c[r, s]) - 1).encode("utf-8", "surrogatepass")]
-                for x, s in zip(mine.tolist(), begin[cuts[r] : cuts[r + 1]].tolist(), strict=True)
-            )
-            mine = np.array([x for y in bytes_ for x in y], np.int32)
-        ids_out[rows[r]] = mine
+        found[mine] = number[k - 1][begin[mine], who[mine]]
+    odd = np.flatnonzero(found < 0)  # characters that no piece has are cut in bytes
+    if len(odd):
+        spelt = [[p.byte_ids[b] for b in chr(int(x) - 1).encode("utf-8", "surrogatepass")] for x in c[begin[odd], who[odd]]]
+        times = np.ones(len(found), np.int64)
+        times[odd] = list(map(len, spelt))
+        who, found = np.repeat(who, times), np.repeat(found, times)
+        found[found < 0] = [b for x in spelt for b in x]
+    return best, loss, np.bincount(who, minlength=w), found
 
 
 def segmented(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -269,10 +305,23 @@ def segmented(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), kept[starts - starts[0]]
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter((x for y in lists for x in y), np.int32, int(sizes.sum()))
-    return ids, np.concatenate([[0], np.cumsum(sizes)])
+def spelled(p: Pieces, ids: np.ndarray, bounds: np.ndarray, words: pa.Array) -> np.ndarray:
+    """Whether each word's ids decode to the word, byte for byte."""
+    sizes = p.byte_sizes[ids]
+    ends, wanted = np.concatenate([[0], np.cumsum(sizes)]), pc.binary_length(words).to_numpy().astype(np.int64)
+    good = np.diff(ends[bounds]) == wanted
+    mine = np.repeat(good, np.diff(bounds))
+    got = p.all_bytes[ragged(p.byte_begins[ids[mine]], sizes[mine])]
+    have = bytes_in(words.filter(pa.array(good)))
+    good[np.repeat(np.flatnonzero(good), wanted[good])[got != have]] = False
+    return good
+
+
+def bytes_in(texts: pa.Array) -> np.ndarray:
+    """The bytes of large strings without nulls, one after the other."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data and len(ends) else np.empty(0, np.uint8)
 
 
 class Encoder:
@@ -280,53 +329,64 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.p = pieces(path)
-        self.place: dict[str, int] = {}
-        self.score, self.loss = np.empty(0), np.empty(0)
+        self.words = pa.array([], pa.large_string())
+        self.score, self.loss, self.good = np.empty(0), np.empty(0), np.empty(0, bool)
         # The lattice's ids, and the model's own.
         self.ids = [(np.empty(0, np.int32), np.zeros(1, np.int64))] * 2
         self.searches: dict[tuple[str, int], list] = {}
 
-    def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """Of each word the score and the loss; and, for the lattice's ids and the model's own, all ids, each word's begin and number."""
-        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Of each word the score, the loss, whether its ids decode to it; and, for the lattice's ids and the model's own, all ids, each word's begin and number."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(at < 0)
-        new = [words[k] for k in fresh.tolist()]
-        at[fresh] = len(self.place) + np.arange(len(new))
-        ids, bounds, score, loss = solved(self.p, pa.array(new, pa.large_string()))
-        scores, losses = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        new = words.take(pa.array(fresh))
+        at[fresh] = len(self.words) + np.arange(len(new))
+        ids, bounds, score, loss = solved(self.p, new)
+        solutions = [(ids, bounds), self.p.own_ids(new)]
+        good = np.logical_and.reduce([spelled(self.p, *x, new) for x in solutions])
+        scores, losses, goods = (np.concatenate(x) for x in ((self.score, score), (self.loss, loss), (self.good, good)))
         every = []
-        for (old, ends), (more, cuts) in zip(self.ids, [(ids, bounds), flat(self.p.own_ids(new))], strict=True):
+        for (old, ends), (more, cuts) in zip(self.ids, solutions, strict=True):
             every.append((np.concatenate([old, more]), np.concatenate([ends, ends[-1] + cuts[1:]])))
-        room = min(len(new), KEPT_SEGMENTS - len(self.place))
+        room = min(len(new), KEPT_SEGMENTS - len(self.words))
         if room > 0:
-            self.place.update(zip(new[:room], at[fresh[:room]].tolist(), strict=True))
-            n = len(self.place)
-            self.score, self.loss = scores[:n], losses[:n]
+            self.words = pa.concat_arrays([self.words, new.slice(0, room)])
+            n = len(self.words)
+            self.score, self.loss, self.good = scores[:n], losses[:n], goods[:n]
             self.ids = [(x[: ends[n]], ends[: n + 1]) for x, ends in every]
-        return scores[at], losses[at], [(x, ends[at], ends[at + 1] - ends[at]) for x, ends in every]
+        return scores[at], losses[at], goods[at], [(x, ends[at], ends[at + 1] - ends[at]) for x, ends in every]
 
-    def searched(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def searched(self, word: str, n: int) -> list[tuple[float, tuple[int, ...], bool]]:
+        """The n best paths of a segment: score, ids, whether they decode to it."""
         key = (word, n)
         if key not in self.searches:
             if len(self.searches) >= KEPT_SEARCHES:
                 self.searches.clear()
-            self.searches[key] = search(self.p, word, n)
+            spell = lambda ids: b"".join(map(self.p.bytes_of.__getitem__, ids)) == word.encode()
+            self.searches[key] = [(s, ids, spell(ids)) for s, ids in search(self.p, word, n)]
         return self.searches[key]
 
-    def __call__(self, texts: pa.Array, n: int = BEST) -> Iterator[tuple[np.ndarray, list[tuple[float, np.ndarray]]]]:
-        """For each text the model's own ids, and its n best segmentations, best first: score and ids."""
-        segments, bounds = segmented(filled(texts))
+    def __call__(self, texts: pa.Array, n: int = BEST) -> Iterator[tuple[np.ndarray, list[tuple[float, np.ndarray]], bool]]:
+        """For each text the model's own ids, its n best segmentations, best first (score and ids), and whether all decode to it.
+
+        Bytes of ids in a row are the bytes of each in a row, so a text is decoded by its segments: each distinct one
+        is decoded and compared once, and so is each of a segment's other paths.
+        """
+        texts = filled(texts)
+        segments, bounds = segmented(texts)
+        whole = whole_texts(texts, segments, bounds)
         coded = segments.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        scores, losses, (lattice, own_model) = self.distinct(words)
+        words = coded.dictionary
+        scores, losses, goods, (lattice, own_model) = self.distinct(words)
         spread = lambda every, starts, counts: (every[ragged(starts[codes], counts[codes])], np.concatenate([[0], np.cumsum(counts[codes])]))
         (ids, ends), (model_ids, model_ends) = spread(*lattice), spread(*own_model)
         loss = losses[codes]
         sums = np.concatenate([[0.0], np.cumsum(scores[codes])])
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        wrong = np.concatenate([[0], np.cumsum(~goods[codes])])
+        for text, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             mine = ids[ends[lo] : ends[hi]]
-            out = [(float(sums[hi] - sums[lo]), mine)]
+            out, equal = [(float(sums[hi] - sums[lo]), mine)], bool(whole[text] and wrong[lo] == wrong[hi])
             if n > 1 and hi > lo:
                 # Of equal losses those further in front; a loss of infinity means that there is one path only.
                 near = loss[lo:hi]
@@ -337,9 +397,10 @@ class Encoder:
                 for k in sorted(least.tolist()):
                     if not np.isfinite(near[k]):
                         continue
-                    paths = self.searched(words[int(codes[lo + k])], n)
+                    paths = self.searched(words[int(codes[lo + k])].as_py(), n)
                     own = tuple(ids[ends[lo + k] : ends[lo + k + 1]].tolist())
-                    ways = [(0.0, own), *((paths[0][0] - s, x) for s, x in paths if x != own)][:n]
+                    ways = [(0.0, own), *((paths[0][0] - s, x) for s, x, _ in paths if x != own)][:n]
+                    equal &= all(good for _, _, good in paths)
                     combined = heapq.nsmallest(
                         n,
                         ((a + b, done + (((k, x),) if i else ())) for a, done in combined for i, (b, x) in enumerate(ways)),
@@ -351,7 +412,19 @@ class Encoder:
                         parts += [ids[ends[at] : ends[lo + k]], np.array(x, np.int32)]
                         at = lo + k + 1
                     out.append((out[0][0] - lost, np.concatenate([*parts, ids[ends[at] : ends[hi]]])))
-            yield model_ids[model_ends[lo] : model_ends[hi]], out
+            yield model_ids[model_ends[lo] : model_ends[hi]], out, equal
+
+
+def whole_texts(texts: pa.Array, segments: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Whether each text's segments in a row are the text, with a space before it unless it is empty."""
+    wanted = pc.binary_length(texts).to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(segments).to_numpy().astype(np.int64))])[bounds]
+    good = np.diff(ends) == wanted + (wanted > 0)
+    if good.all():
+        made, spaces = bytes_in(segments), ends[:-1][wanted > 0]
+        good[np.flatnonzero(wanted > 0)[made[spaces] != ord(" ")]] = False
+        good[np.repeat(np.arange(len(good)), wanted)[np.delete(made, spaces) != bytes_in(texts)]] = False
+    return good
 
 
 def decoded(p: Pieces, ids: np.ndarray) -> str:
@@ -390,11 +463,11 @@ def encode(
             for part in pieces_of(batch, text_col, PIECE):
                 texts = part.column(text_col)
                 own, scores, crcs, equal, paths, many = [], [], [], [], [], []
-                for text, (ids, found) in zip(texts.to_pylist(), encoder(texts, n), strict=True):
+                for ids, found, same in encoder(texts, n):
                     own.append(ids)
                     scores.append([s for s, _ in found])
                     crcs.append([zlib.crc32(x.astype("<u4").tobytes()) for _, x in found])
-                    equal.append(all(decoded(encoder.p, x) == (text or "") for x in (ids, *(x for _, x in found))))
+                    equal.append(same)
                     paths += [x for _, x in found]
                     many.append(len(found))
                 firsts = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)

@@ -32,7 +32,7 @@ def test_own_ids_are_the_librarys(spark):
         encoder = pieces.Encoder(MODEL)
         pieces.KEPT_SEGMENTS, kept = limit, pieces.KEPT_SEGMENTS
         try:
-            for text, (ids, found) in zip(texts, encoder(pa.array(texts)), strict=True):
+            for text, (ids, found, equal) in zip(texts, encoder(pa.array(texts)), strict=True):
                 assert ids.tolist() == own.encode(text)
                 assert pieces.decoded(encoder.p, ids) == text
         finally:
@@ -41,7 +41,7 @@ def test_own_ids_are_the_librarys(spark):
 
 def test_best_segmentation_is_like_the_models():
     """Sums of ranks would cut common words in letters; log-probabilities don't."""
-    (ids, found), = pieces.Encoder(MODEL)(pa.array(["the quick brown fox was here before the others"]))
+    (ids, found, _), = pieces.Encoder(MODEL)(pa.array(["the quick brown fox was here before the others"]))
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert ids.tolist() == sp.encode("the quick brown fox was here before the others")
     assert [sp.id_to_piece(i) for i in found[0][1].tolist()][:3] == ["▁the", "▁quick", "▁brown"]
@@ -50,3 +50,18 @@ def test_best_segmentation_is_like_the_models():
 def test_unigram_scores_stay_and_ranks_become_log_probabilities():
     assert pieces.zipf_scores(np.array([-2.5, -3.0])).tolist() == [-2.5, -3.0]
     assert np.isclose(np.exp(pieces.zipf_scores(-np.arange(100.0))).sum(), 1)
+
+
+def test_wrong_decoding_is_told():
+    p = pieces.pieces(MODEL)
+    words = pa.array(["the", " one", "é", "日", ""], pa.large_string())
+    ids, bounds = p.own_ids(words)
+    assert pieces.spelled(p, ids, bounds, words).all()
+    for wrong in (["thf", " one", "é", "日", ""], ["the", " on", "è", "日", "x"]):
+        told = pieces.spelled(p, ids, bounds, pa.array(wrong, pa.large_string()))
+        assert told.tolist() == [a == b for a, b in zip(wrong, words.to_pylist(), strict=True)]
+    texts, segments = pa.array(["a b", "", "c"], pa.large_string()), pa.array([" a", " b", " c"], pa.large_string())
+    bounds = np.array([0, 2, 2, 3])
+    assert pieces.whole_texts(texts, segments, bounds).tolist() == [True, True, True]
+    assert pieces.whole_texts(pa.array(["a x", "", "c"], pa.large_string()), segments, bounds).tolist() == [False, True, True]
+    assert pieces.whole_texts(pa.array(["a b", "", "cd"], pa.large_string()), segments, bounds).tolist() == [True, True, False]
