@@ -36,9 +36,11 @@ SCORE_UNIT = 2.0**-20
 #: Segments up to this length are solved as arrays of at most so many places, longer ones one by one.
 ARRAY_LENGTH = 48
 ARRAY_PLACES = 1 << 16
+#: Pieces up to so many characters are looked up in arrays of all places, longer ones in lists of the places that have one.
+DENSE = 4
 #: Bytes of text that are encoded at once.
 PIECE = 1 << 20
-#: Distinct segments and searches that a task keeps; others are solved each time they are met.
+#: Distinct segments and searches that a worker keeps (some 30 MB); others are solved each time they are met.
 KEPT_SEGMENTS, KEPT_SEARCHES = 250_000, 10_000
 NONE = -np.inf
 BASE = np.uint64(0x100000001B3)
@@ -151,11 +153,11 @@ def pieces(path: str) -> Pieces:
 # ---------------------------------------------------------------- one segment
 
 
-def forward(p: Pieces, text: str) -> list[float]:
-    """Viterbi scores: of the best path to each place."""
-    best = [0.0] + [NONE] * len(text)
-    for end in range(1, len(text) + 1):
-        best[end] = max(best[begin] + score for begin, score, _ in p.edges(text, end))
+def forward(edges: list[list[tuple[int, float, tuple[int, ...]]]]) -> list[float]:
+    """Viterbi scores: of the best path to each place, from the edges that end at each."""
+    best = [0.0]
+    for own in edges:
+        best.append(max([best[begin] + score for begin, score, _ in own]))
     return best
 
 
@@ -165,7 +167,8 @@ def search(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     Of equal scores those come first whose last pieces are longer. The newest of equal entries goes on, so that ties
     lead straight to the begin instead of into all their variants.
     """
-    best = forward(p, text)
+    edges = [list(p.edges(text, end)) for end in range(1, len(text) + 1)]
+    best = forward(edges)
     agenda, count, found = [(-best[-1], 0, len(text), 0.0, None)], -1, []
     while agenda and len(found) < n:
         _, _, place, done, path = heapq.heappop(agenda)
@@ -176,7 +179,7 @@ def search(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
                 path = path[1]
             found.append((done, tuple(ids)))
             continue
-        for begin, score, ids in reversed(list(p.edges(text, place))):
+        for begin, score, ids in reversed(edges[place - 1]):
             heapq.heappush(agenda, (-(best[begin] + score + done), count, begin, done + score, (ids, path)))
             count -= 1
     return found
@@ -224,57 +227,75 @@ def solve_rows(p: Pieces, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     c = np.zeros((width, w), np.uint64)
     c[ragged(np.zeros(w, np.int64), lengths), np.repeat(row, lengths)] = chars.astype(np.uint64) + np.uint64(1)
     most = min(p.longest, width)
-    score, number, h = [], [], np.zeros((width + 1, w), np.uint64)
+    score, number, rare, h = [], [], [], np.zeros((width + 1, w), np.uint64)
     for n in range(1, most + 1):
         h = h[: width - n + 1] * BASE + c[n - 1 :]
         hashes, ids, scores, marks = p.tables[n - 1]
-        number.append(np.full(h.shape, -1, np.int32))
-        score.append(np.full(h.shape, NONE))
-        maybe = np.flatnonzero(marks[marked(h)] & (c[n - 1 :] > 0)) if len(hashes) else ()
-        if len(maybe):
-            asked = h.ravel()[maybe]
-            at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
-            hit = hashes[at] == asked
-            number[-1].ravel()[maybe[hit]] = ids[at[hit]]
-            score[-1].ravel()[maybe[hit]] = scores[at[hit]]
+        maybe = np.flatnonzero(marks[marked(h)] & (c[n - 1 :] > 0)) if len(hashes) else np.empty(0, np.int64)
+        asked = h.ravel()[maybe]
+        at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+        hit = hashes[at] == asked if len(maybe) else np.empty(0, bool)
+        cells, at = maybe[hit], at[hit]
+        if n <= DENSE:
+            number.append(np.full(h.shape, -1, np.int32))
+            score.append(np.full(h.shape, NONE))
+            number[-1].ravel()[cells], score[-1].ravel()[cells] = ids[at], scores[at]
+        else:  # few stretches of this length are pieces: begins, rows, scores, ids, and where each begin's are
+            begin = cells // w
+            rare.append((begin, cells % w, scores[at], ids[at], np.searchsorted(begin, np.arange(width + 2))))
     score[0] = np.where((number[0] < 0) & (c > 0), p.unknown, score[0])
+    dense = min(most, DENSE)
     ahead = np.full((width + 1, w), NONE)
     ahead[0] = 0
     for end in range(1, width + 1):
-        for n in range(1, min(most, end) + 1):
+        for n in range(1, min(dense, end) + 1):
             np.maximum(ahead[end], ahead[end - n] + score[n - 1][end - n], out=ahead[end])
+        for n in range(DENSE + 1, min(most, end) + 1):
+            _, who, scores, _, cuts = rare[n - DENSE - 1]
+            mine = slice(cuts[end - n], cuts[end - n + 1])
+            who = who[mine]
+            ahead[end, who] = np.maximum(ahead[end, who], ahead[end - n, who] + scores[mine])
     behind = np.full((width + 1, w), NONE)
     behind[lengths, row] = 0
     for begin in range(width - 1, -1, -1):
-        for n in range(1, min(most, width - begin) + 1):
+        for n in range(1, min(dense, width - begin) + 1):
             np.maximum(behind[begin], score[n - 1][begin] + behind[begin + n], out=behind[begin])
+        for n in range(DENSE + 1, min(most, width - begin) + 1):
+            _, who, scores, _, cuts = rare[n - DENSE - 1]
+            mine = slice(cuts[begin], cuts[begin + 1])
+            who = who[mine]
+            behind[begin, who] = np.maximum(behind[begin, who], scores[mine] + behind[begin + n, who])
     best = ahead[lengths, row]
-    taken, place, steps = np.zeros((most, width, w), bool), lengths.copy(), []
-    alive = np.flatnonzero(place > 0)
-    while len(alive):
-        end, n = place[alive], np.zeros(len(alive), np.int64)
-        for k in range(most, 0, -1):  # of equal scores the longest piece
-            begin = np.maximum(end - k, 0)
-            ends = np.minimum(begin, width - k)
-            fits = (n == 0) & (end >= k) & (ahead[begin, alive] + score[k - 1][ends, alive] == ahead[end, alive])
-            n[fits] = k
-        place[alive] = end - n
-        taken[n - 1, end - n, alive] = True
-        steps.append((alive, end - n, n))
-        alive = alive[end > n]
-    loss = np.full(w, np.inf)
-    for n in range(1, most + 1):
-        m = width - n + 1
-        lost = best - (ahead[:m] + score[n - 1] + behind[n:])
-        lost[taken[n - 1, :m]] = np.inf
-        np.minimum(loss, np.where(np.isnan(lost), np.inf, lost).min(0), out=loss)
+    # An edge is on the best path if its end was reached by it: from the last place back, of equal scores the longest.
+    open_, steps, loss = np.zeros((width + 1, w), bool), [], np.full(w, np.inf)
+    open_[lengths, row] = True
+    for end in range(width, 0, -1):
+        for n in range(min(most, end), 0, -1):
+            begin = end - n
+            if n > DENSE:
+                _, who, scores, ids, cuts = rare[n - DENSE - 1]
+                mine = slice(cuts[begin], cuts[begin + 1])
+                who, scores, ids = who[mine], scores[mine], ids[mine]
+                if not len(who):
+                    continue
+                through = ahead[begin, who] + scores
+                taken = open_[end, who] & (through == ahead[end, who])
+                lost = best[who] - (through + behind[end, who])
+                chosen, numbers = who[taken], ids[taken]
+            else:
+                who = slice(None)
+                through = ahead[begin] + score[n - 1][begin]
+                taken = open_[end] & (through == ahead[end])
+                lost = best - (through + behind[end])
+                chosen = np.flatnonzero(taken)
+                numbers = number[n - 1][begin, chosen]
+            lost = np.where(taken | np.isnan(lost), np.inf, lost)
+            loss[who] = np.minimum(loss[who], lost)
+            open_[end, chosen], open_[begin, chosen] = False, True
+            steps.append((chosen, np.full(len(chosen), begin), numbers))
     who, begin, n = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.empty(0, np.int64),) * 3
     order = np.lexsort((begin, who))
-    who, begin, n = who[order], begin[order], n[order]
-    found = np.empty(len(who), np.int32)
-    for k in range(1, most + 1):
-        mine = n == k
-        found[mine] = number[k - 1][begin[mine], who[mine]]
+    who, begin, found = who[order], begin[order], n[order].astype(np.int32)
     odd = np.flatnonzero(found < 0)  # characters that no piece has are cut in bytes
     if len(odd):
         spelt = [[p.byte_ids[b] for b in chr(int(x) - 1).encode("utf-8", "surrogatepass")] for x in c[begin[odd], who[odd]]]
@@ -292,17 +313,17 @@ def segmented(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """
     some = pc.if_else(pc.greater(pc.binary_length(texts), 0), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
     texts = pc.binary_join_element_wise(some, texts, pa.scalar("", pa.large_string()))
-    mark = next(chr(x) for x in [0, 1, 2, *range(0xE000, 0x110000)] if not pc.any(pc.match_substring(texts, chr(x))).as_py())
-    texts = pc.replace_substring(texts, "\n", f"{mark}\n{mark}")
-    texts = pc.replace_substring(texts, " ", f"{mark} ")
-    while pc.any(pc.match_substring(texts, f" {mark} ")).as_py():
-        texts = pc.replace_substring(texts, f" {mark} ", "  ")
-    lists = pc.split_pattern(texts, mark)
-    starts = lists.offsets.to_numpy()
-    flat = lists.flatten()
-    full = pc.greater(pc.binary_length(flat), 0)
-    kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return flat.filter(full), kept[starts - starts[0]]
+    data, sizes = bytes_in(texts), pc.binary_length(texts).to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    space, line = data == ord(" "), data == ord("\n")
+    first = line | space  # whether a segment begins at a byte
+    first[1:] &= line[1:] | ~space[:-1]
+    first[1:] |= line[:-1]
+    first[ends[:-1][sizes > 0]] = True
+    begins = np.flatnonzero(first)
+    cuts = pa.py_buffer(np.append(begins, len(data)))
+    segments = pa.Array.from_buffers(pa.large_string(), len(begins), [None, cuts, pa.py_buffer(data)])
+    return segments, np.searchsorted(begins, ends)
 
 
 def spelled(p: Pieces, ids: np.ndarray, bounds: np.ndarray, words: pa.Array) -> np.ndarray:
@@ -325,7 +346,7 @@ def bytes_in(texts: pa.Array) -> np.ndarray:
 
 
 class Encoder:
-    """Keeps what it has found of the first KEPT_SEGMENTS segments; one for a task, and gone with it."""
+    """Keeps what it has found of the first KEPT_SEGMENTS segments, in a few arrays; one for a worker and model."""
 
     def __init__(self, path: str) -> None:
         self.p = pieces(path)
@@ -415,6 +436,11 @@ class Encoder:
             yield model_ids[model_ends[lo] : model_ends[hi]], out, equal
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def whole_texts(texts: pa.Array, segments: pa.Array, bounds: np.ndarray) -> np.ndarray:
     """Whether each text's segments in a row are the text, with a space before it unless it is empty."""
     wanted = pc.binary_length(texts).to_numpy().astype(np.int64)
@@ -458,12 +484,12 @@ def encode(
     schema = schema.add("nbest_crc32", T.ArrayType(T.LongType())).add("decoded_equal", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        found_of = encoder(path)
         for batch in batches:
             for part in pieces_of(batch, text_col, PIECE):
                 texts = part.column(text_col)
                 own, scores, crcs, equal, paths, many = [], [], [], [], [], []
-                for ids, found, same in encoder(texts, n):
+                for ids, found, same in found_of(texts, n):
                     own.append(ids)
                     scores.append([s for s, _ in found])
                     crcs.append([zlib.crc32(x.astype("<u4").tobytes()) for _, x in found])
