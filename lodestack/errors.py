@@ -55,3 +55,7 @@ class EmbeddingError(LodestackError):
 
 class ConstraintError(LodestackError):
     """Rows break a rule of their table."""
+
+
+class StaleIndexError(LodestackError):
+    """A full-text index is of an older state of its table."""

@@ -1,13 +1,14 @@
 """Full-text search of one phrase: stored postings, phrase hits, BM25 rank, snippet.
 
-An index is written once (write_index) and searched often (ranked). It holds the rows with a number each, and of every
-row and term one posting with the term's places and the row's length. Postings are partitioned by a hash of the term
-and sorted by it, so a search reads only its own terms, and joins what it found with the rows last. For a few rows
+An index is made of segments. A segment is written once and searched often (ranked): it holds rows with a number each, and
+of every row and term one posting with the term's places and the row's length. Postings are partitioned by a hash of the
+term and by one of the row, so a search reads only its own terms, and joins what it found with the rows last. For a few rows
 that nobody stores, text_index and phrase_rank do the same on arrays of tokens.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -18,13 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem as words
+from ..functions.marks import unmarked
 
 # Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET_TOKENS = 12
 OPEN, CLOSE, DOTS = "«", "»", "…"
-#: Term hashes are dealt to a folder for so many rows, so many folders at most, and each folder's postings by row to files.
-BUCKET_ROWS, MOST_BUCKETS, FILES = 2000, 4096, 4
+#: Term hashes are dealt to a folder for so many rows, so many folders at most.
+BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
+#: Rows whose postings share a file in each folder, and the least number of such files.
+PART_ROWS, LEAST_PARTS = 1 << 20, 4
+#: Tasks that write postings, at most.
+MOST_TASKS = 20_000
+#: Bits of a row's number below those of its segment's.
+SEGMENT_BITS = 50
 
 
 def tokenised(column: Column, stem: bool = True) -> Column:
@@ -43,17 +51,66 @@ def text_index(rows: DataFrame, columns: tuple[str, ...] = ("title", "body"), st
 
 
 @dataclass(frozen=True)
-class TextIndex:
-    rows: DataFrame  # row_id and the columns of the indexed table
-    postings: DataFrame  # term, row_id, field, positions, length (tokens of the row in all fields), bucket
-    stats: DataFrame  # one row: rows, tokens, buckets
+class Segment:
+    """Rows and postings that were written together and never change."""
+
+    at: str
+    number: int
     buckets: int
-    columns: tuple[str, ...]
-    stem: bool
+    rows: int
+    tokens: int
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Segments, and marks of their rows that are gone; statistics are sums, less those of the marked rows."""
+
+    spark: SparkSession
+    segments: tuple[Segment, ...]
+    columns: tuple[str, ...] = ("title", "body")
+    stem: bool = True
+    gone: tuple[str, ...] = ()
+    gone_rows: int = 0
+    gone_tokens: int = 0
+
+    @property
+    def count(self) -> int:
+        return sum(s.rows for s in self.segments) - self.gone_rows
+
+    @property
+    def tokens(self) -> int:
+        return sum(s.tokens for s in self.segments) - self.gone_tokens
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """rows (row_id, ...) that aren't marked as gone."""
+        if not self.gone:
+            return rows
+        marks = self.spark.read.schema("word long, bits long").parquet(*self.gone)
+        return unmarked(rows, F.col("row_id"), marks, self.gone_rows)
+
+    @property
+    def held(self) -> DataFrame:
+        return self.live(reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{s.at}/rows") for s in self.segments]))
+
+    @property
+    def rows(self) -> DataFrame:
+        """The indexed rows, and row_id."""
+        return self.held.drop("_digest")
+
+    def postings_of(self, terms: list[str]) -> DataFrame:
+        """The terms' postings: of each segment only the folders of the terms are read."""
+        out = []
+        for s in self.segments:
+            of = [(F.col("bucket") == bucket_of(F.lit(t), s.buckets)) & (F.col("term") == t) for t in dict.fromkeys(terms)]
+            postings = self.spark.read.schema(f"{POSTING}, bucket int").parquet(f"{s.at}/postings")
+            out.append(postings.where(reduce(Column.__or__, of)))
+        return self.live(reduce(DataFrame.unionByName, out))
 
 
 POSTING = "term string, row_id long, field int, positions array<int>, length int"
 POSTING_TYPE = pa.schema([("term", pa.string()), ("row_id", pa.int64()), ("field", pa.int32()), ("positions", pa.list_(pa.int32())), ("length", pa.int32())])
+#: No token is empty, so the empty term's list has a posting a row, with the row's length.
+EVERY_ROW = ""
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -61,7 +118,7 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def posted(columns: tuple[str, ...], stem: bool):
-    """Rows (row_id, columns) to postings: each distinct term of each field with its places."""
+    """Rows (row_id, columns) to postings: each distinct term of each field with its places, and one of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +128,7 @@ def posted(columns: tuple[str, ...], stem: bool):
                 for k, row_id in enumerate(part.column("row_id").to_pylist()):
                     found = [words.tokens(texts[k], stem) for texts in fields]
                     length = sum(map(len, found))
+                    out.append((EVERY_ROW, row_id, -1, [], length))
                     for field, tokens in enumerate(found):
                         places: dict[str, list[int]] = {}
                         for place, token in enumerate(tokens):
@@ -83,27 +141,33 @@ def posted(columns: tuple[str, ...], stem: bool):
     return run
 
 
-def write_index(rows: DataFrame, at: str, columns: tuple[str, ...] = ("title", "body"), stem: bool = True) -> TextIndex:
-    """Writes the index of rows to the folder `at`. Null texts have no tokens; rows without any count in the statistics."""
+def write_segment(rows: DataFrame, at: str, columns: tuple[str, ...], stem: bool, number: int = 0) -> Segment:
+    """Writes a segment of rows to the folder `at`; its number makes its row ids differ from those of others.
+
+    A term's list is cut by hashes of rows, in as many parts as the number of rows asks for, so no task and no file gets
+    more than about PART_ROWS postings of a term and field, however frequent it is.
+    """
     spark = rows.sparkSession
-    rows.withColumn("row_id", F.monotonically_increasing_id()).write.parquet(f"{at}/rows")
+    rows.withColumn("row_id", F.monotonically_increasing_id() + F.lit(number << SEGMENT_BITS)).write.parquet(f"{at}/rows")
     held = spark.read.parquet(f"{at}/rows")
-    count = held.count()
+    count, last = held.agg(F.count("*"), F.coalesce(F.max("row_id"), F.lit(0))).first()
+    if last >> SEGMENT_BITS > number:
+        raise ValueError("a segment of more partitions than its numbers have room for")
     buckets = max(1, min(MOST_BUCKETS, -(-count // BUCKET_ROWS)))
+    parts = max(LEAST_PARTS, -(-count // PART_ROWS))
     made = held.select("row_id", *columns).mapInArrow(posted(columns, stem), POSTING)
     made = made.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    dealt = made.repartition("bucket", F.pmod("row_id", F.lit(FILES))).sortWithinPartitions("bucket", "term", "row_id")
+    tasks = min(MOST_TASKS, buckets * parts)
+    dealt = made.repartition(tasks, "bucket", F.pmod(F.xxhash64("row_id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "row_id")
     dealt.write.partitionBy("bucket").parquet(f"{at}/postings")
-    postings = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{at}/postings")
-    tokens = postings.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens"))
-    tokens.select("tokens", F.lit(count).alias("rows"), F.lit(buckets).alias("buckets")).write.parquet(f"{at}/stats")
-    return read_index(spark, at, columns, stem)
+    segment = Segment(at, number, buckets, count, 0)
+    tokens = TextIndex(spark, (segment,)).postings_of([EVERY_ROW]).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] if count else 0
+    return Segment(at, number, buckets, count, tokens)
 
 
-def read_index(spark: SparkSession, at: str, columns: tuple[str, ...] = ("title", "body"), stem: bool = True) -> TextIndex:
-    postings = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{at}/postings")
-    stats = spark.read.parquet(f"{at}/stats")
-    return TextIndex(spark.read.parquet(f"{at}/rows"), postings, stats, stats.first()["buckets"], columns, stem)
+def write_index(rows: DataFrame, at: str, columns: tuple[str, ...] = ("title", "body"), stem: bool = True) -> TextIndex:
+    """An index of one segment, for rows that don't change; null texts have no tokens. textstore keeps one of rows that do."""
+    return TextIndex(rows.sparkSession, (write_segment(rows, at, columns, stem),), columns, stem)
 
 
 def moved(places: Column, offset: int) -> Column:
@@ -116,11 +180,9 @@ def phrase_hits(index: TextIndex, phrase: str) -> DataFrame:
     Only the phrase's terms are read; places of its i-th term less i that all terms share are the phrase's begins.
     """
     wanted = words.tokens(phrase, index.stem)
-    none = index.postings.select("row_id", F.lit(0).alias("hits"), "length").limit(0)
-    if not wanted:
-        return none
-    of = lambda t: (F.col("bucket") == bucket_of(F.lit(t), index.buckets)) & (F.col("term") == t)
-    found = index.postings.where(reduce(Column.__or__, map(of, dict.fromkeys(wanted))))
+    if not wanted or not index.segments:
+        return index.spark.createDataFrame([], "row_id long, hits int, length int")
+    found = index.postings_of(wanted)
     if len(wanted) == 1:
         return found.groupBy("row_id").agg(F.sum(F.size("positions")).cast("int").alias("hits"), F.max("length").alias("length"))
     terms = list(dict.fromkeys(wanted))
@@ -144,10 +206,9 @@ def bm25(hits: Column, length: Column, rows: Column, with_: Column, mean: Column
 def ranked(index: TextIndex, phrase: str) -> DataFrame:
     """(row_id, hits, rank) of the rows that hold the phrase."""
     found = phrase_hits(index, phrase)
-    total = index.stats.select(F.col("rows").cast("double").alias("_rows"), (F.col("tokens") / F.col("rows")).alias("_mean"))
-    total = total.join(F.broadcast(found.agg(F.count("*").cast("double").alias("_with"))))  # one row each
-    found = found.join(F.broadcast(total))
-    rank = bm25(F.col("hits"), F.col("length"), F.col("_rows"), F.col("_with"), F.col("_mean"))
+    found = found.join(F.broadcast(found.agg(F.count("*").cast("double").alias("_with"))))  # one row
+    mean = F.lit(index.tokens / max(1, index.count))
+    rank = bm25(F.col("hits"), F.col("length"), F.lit(float(index.count)), F.col("_with"), mean)
     return found.select("row_id", "hits", rank.alias("rank"))
 
 
@@ -189,6 +250,7 @@ def snippet(column: Column, phrase: str, size: int = SNIPPET_TOKENS, stem: bool
     def one(text: str | None) -> str:
         if not text:
             return ""
+        text = unicodedata.normalize("NFC", text)  # places are those of composed characters
         have, at = words.tokens(text, stem), words.spans(text)
         n = len(wanted)
         hits = [k for k in range(len(have) - n + 1) if n and have[k : k + n] == wanted]

@@ -33,13 +33,14 @@ def lanes(tagged: DataFrame, text: DataFrame, near: DataFrame | None) -> DataFra
 
 def find(store: Store, phrase: str, embedder: Embedder | None, k: int = 20) -> Report:
     """All lanes; that of passages is skipped, with the reason, if there is no index or the embedder fails."""
-    read = store.registry.read
+    registry = store.registry.snapshot()  # one version for all lanes
+    read = registry.read
     tagged = find_tagged(read("creative_works"), read("work_subjects"), phrase)
-    text = find_text(store.texts(), read("creative_works"), phrase)
+    text = find_text(store.texts(registry), read("creative_works"), phrase)
     near, skipped = None, None
     try:
         identity = store.current()
-        index = store.verify(identity)
+        index = store.verify(identity).snapshot()
         if embedder is None:
             skipped = "no embedder"
         else:
@@ -53,7 +54,7 @@ def find(store: Store, phrase: str, embedder: Embedder | None, k: int = 20) -> R
 def search_index(store: Store, query: str, embedder: Embedder, limit: int = 10, threshold: float = 0.0) -> DataFrame:
     """(path, text, distance, score) of the current index's nearest passages by cosine."""
     identity = store.current()
-    index = store.verify(identity)
+    index = store.verify(identity).snapshot()
     vector = checked(embedder, [query], identity.dims)[0]
     near = search(index.read("vec_chunks"), vector, limit, threshold)
     return with_texts(near, index.read("chunks"), index.read("documents")).withColumn("score", 1 - F.col("distance"))

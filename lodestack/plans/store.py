@@ -1,23 +1,15 @@
-"""Indexes and the registry on disk: Parquet folders a version, and small pointer files that are replaced at once.
+"""Indexes and the registry on disk.
 
-    <root>/<index name>/parts/<table>-<version>-<commit>    immutable tables
-    <root>/<index name>/VERSION    the version that readers use, and each table's part
-    <root>/current                 the index that serves
-    <root>/registry/...            the registry's tables, in the same way
-    <root>/text/<part>             full-text postings of a part of the registry's texts
+    <root>/<index name>/...    the tables of an index, in versions (see tables)
+    <root>/current    the index that serves
+    <root>/registry/...    the registry's tables, in the same way
+    <root>/text/...    full-text segments of the registry's texts
 
-A commit writes only the tables that change; the others keep their parts. Readers see one version or the next. The root
-must be a folder that driver and executors share.
+The root must be a folder that driver and executors share.
 """
 
 from __future__ import annotations
 
-import fcntl
-import json
-import os
-import shutil
-import time
-import uuid
 import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,94 +18,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ChunkerChangedError, HeaderMismatchError, LockedError, NoIndexError, ProvenanceError, ProviderRetiredError
+from ..errors import ChunkerChangedError, HeaderMismatchError, NoIndexError, ProvenanceError, ProviderRetiredError
 from ..functions.naming import IndexIdentity, now_text, parse_file_name
-from ..operators.fulltext import TextIndex, read_index, write_index
+from ..operators.fulltext import TextIndex
+from ..operators.textstore import TextStore
 from ..operators.merge import upsert
 from ..rules import allowed_path, checked
 from ..schema import CHUNKER_VERSION, INDEX_TABLES, INDEX_VERSION, REGISTRY_TABLES, SCHEMAS
+from .tables import Snapshot, Tables, replace_text
 
 
 #: Seconds that a writer of the registry waits for another.
 REGISTRY_WAIT_S = 120.0
 
 
-def replace_text(path: Path, text: str) -> None:
-    """Writes a small file so that readers see the old or the new text."""
-    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    part.write_text(text)
-    os.replace(part, path)
-
-
-class Tables:
-    """Named tables in versions; a commit writes the next version and moves the pointer."""
-
-    def __init__(self, spark: SparkSession, at: str | Path, names: tuple[str, ...]) -> None:
-        self.spark, self.at, self.names = spark, Path(at), names
-
-    def state(self) -> tuple[int, dict[str, str]]:
-        """The version and the tables' parts; what readers see is decided by one read of one small file."""
-        pointer = self.at / "VERSION"
-        if not pointer.exists():
-            return 0, {}
-        held = json.loads(pointer.read_text())
-        return held["version"], held["parts"]
-
-    @property
-    def version(self) -> int:
-        return self.state()[0]
-
-    def path(self, part: str) -> str:
-        return (self.at / "parts" / part).absolute().as_uri()
-
-    def read(self, name: str) -> DataFrame:
-        part = self.state()[1].get(name)
-        if not part:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(part))
-
-    def commit(self, **tables: DataFrame) -> int:
-        """The next version has these tables, and the others as they are. Only one writer at a time: see lock."""
-        version, parts = self.state()
-        for name, rows in tables.items():
-            parts[name] = f"{name}-{version + 1}-{uuid.uuid4().hex}"
-            rows.select(SCHEMAS[name].names).write.parquet(self.path(parts[name]))
-        replace_text(self.at / "VERSION", json.dumps({"version": version + 1, "parts": parts}))
-        return version + 1
-
-    def vacuum(self, older_s: float = 3600.0) -> int:
-        """Removes parts that the version doesn't have and that are older than so many seconds, and returns their number.
-
-        Younger ones stay for readers of the version before and for what a commit is writing. Call it under the lock.
-        """
-        held, gone = set(self.state()[1].values()), 0
-        for part in (self.at / "parts").iterdir() if (self.at / "parts").is_dir() else ():
-            if part.name not in held and time.time() - part.stat().st_mtime > older_s:
-                shutil.rmtree(part, ignore_errors=True)
-                gone += 1
-        return gone
-
-    @contextmanager
-    def lock(self, wait_s: float = 0.0) -> Iterator[None]:
-        """Only one writer; others wait so many seconds. The kernel frees the lock when its process ends."""
-        self.at.mkdir(parents=True, exist_ok=True)
-        until = time.monotonic() + wait_s
-        with open(self.at / "LOCK", "a+") as file:
-            while True:
-                try:
-                    fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)
-                    break
-                except OSError:
-                    if time.monotonic() >= until:
-                        file.seek(0)
-                        raise LockedError(f"{self.at} is held by process {file.read() or 'unknown'}") from None
-                    time.sleep(0.05)
-            file.truncate(0)
-            file.write(str(os.getpid()))
-            file.flush()
-            yield
-
-
 class Index(Tables):
     def __init__(self, spark: SparkSession, root: str | Path, identity: IndexIdentity) -> None:
         super().__init__(spark, Path(root) / identity.index_name, INDEX_TABLES)
@@ -218,19 +136,16 @@ class Store:
         with self.registry.lock(REGISTRY_WAIT_S):
             yield self.registry
 
-    def texts(self) -> TextIndex:
-        """The postings of the registry's texts, written the first time that a version of them is searched."""
-        part = self.registry.state()[1].get("work_text_fts", "empty")
-        at = self.root / "text" / part
-        if not at.exists():
-            made = at.with_name(f".{part}-{uuid.uuid4().hex}")
-            made.parent.mkdir(parents=True, exist_ok=True)
-            write_index(self.registry.read("work_text_fts"), made.absolute().as_uri())
-            try:
-                os.replace(made, at)
-            except OSError:  # another reader was first
-                shutil.rmtree(made, ignore_errors=True)
-        return read_index(self.spark, at.absolute().as_uri())
+    def texts(self, registry: Snapshot | None = None) -> TextIndex:
+        """The full-text index of the registry's texts as they are in this version of it, brought up to date if need be.
+
+        What changed since the last search makes a segment of its own; rows that are gone are marked.
+        """
+        registry = registry or self.registry.snapshot()
+        version = str(registry.tables.get("work_text_fts", "empty"))
+        texts = TextStore(self.spark, (self.root / "text").absolute().as_uri(), log=self.root / "text" / "LOG")
+        with Tables(self.spark, self.root / "text", ()).lock(REGISTRY_WAIT_S):
+            return texts.refresh(registry.read("work_text_fts"), version)
 
     def set_current(self, identity: IndexIdentity, doc_count: int, chunk_count: int) -> None:
         """Registers the index as the only current one, then moves the pointer."""

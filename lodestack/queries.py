@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text, vector
 from .functions.naming import parsed_names
 from .operators import chunking, fulltext, knn, merge, registry
+from .operators.textstore import TextStore, table_state
 from .plans.find import lanes
 from .rules import violations
 from .session import checkpoint_dir
@@ -217,16 +218,16 @@ TOKENS = r"""
     s AS (SELECT count(*)::DOUBLE AS rows, avg(len) AS avg, sum((hits > 0)::INT)::DOUBLE AS n FROM h)"""
 
 
-_INDEXES: dict[tuple, fulltext.TextIndex] = {}
+_STORES: dict[tuple, TextStore] = {}
 
 
 def indexed(spark, sf_dir, stem: bool = False) -> fulltext.TextIndex:
-    """The postings of the texts, written to the shared folder by the first query of a session that needs them."""
+    """The full-text index of the documents as their files are now; a session's first query writes it, later ones what changed."""
     key = (spark.sparkContext.applicationId, sf_dir, stem)
-    if key not in _INDEXES:
-        docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-        _INDEXES[key] = fulltext.write_index(docs, f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}", ("body",), stem)
-    return _INDEXES[key]
+    if key not in _STORES:
+        _STORES[key] = TextStore(spark, f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}", ("body",), stem)
+    state = table_state(f"{sf_dir}/documents.parquet", spark)
+    return _STORES[key].refresh(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), state)
 
 
 def ranked_documents(spark, sf_dir, phrase: str) -> DataFrame:

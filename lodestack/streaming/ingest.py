@@ -20,6 +20,7 @@ from ..operators import merge
 from ..operators.chunking import CHUNK_CHARS, chunk_documents, chunk_lines
 from ..operators.registry import resumable_run, superseded
 from ..plans.store import Index, Store
+from ..plans.tables import Change
 from ..rules import checked
 from ..schema import SCHEMAS, schema_of
 from ..session import checkpoint_dir
@@ -99,29 +100,44 @@ def stream(spark: SparkSession, work: Path, root: str, embedder: Embedder, dims:
         query.stop()
 
 
-def merged(index: Index, docs: DataFrame, cut: DataFrame, now: str) -> dict[str, DataFrame]:
-    """The index's tables after the run.
+def passages(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, passages): a digest of each document's passages, in whatever order they come."""
+    each = F.xxhash64("seq", "start_offset", "end_offset", "content_hash")
+    return chunks.groupBy(key).agg(F.struct(F.count("*").alias("n"), F.bit_xor(each).alias("x")).alias("passages"))
 
-    Verified documents get their new passages, also if that is none; deferred ones keep theirs; stale and gone ones lose them.
+
+def merged(index: Index, docs: DataFrame, cut: DataFrame, now: str, anew: bool = False) -> dict[str, Change]:
+    """What the run changes in the index's tables.
+
+    Verified documents get their new passages, also if that is none; deferred ones keep theirs; stale and gone ones lose
+    them. Documents with the bytes and passages that they had stay as they are, vectors included, unless anew.
     """
-    old = index.read("documents")
+    held = index.snapshot()
+    old = held.read("documents")
     good = docs.where("state = 'ok'").select(F.col("rel_path").alias("path"), "sha256", "mtime_ns", F.col("size").alias("size_bytes"))
     documents = merge.upsert_documents(old, good, now)
     documents = merge.invalidated(documents, docs.where("state = 'stale'").select(F.col("rel_path").alias("path")), "stale")
     gone = old.select("path").join(docs.select(F.col("rel_path").alias("path")), "path", "left_anti")
     documents = merge.invalidated(documents, gone, "gone").checkpoint()
 
-    changed = good.select("path").union(documents.where("status in ('stale', 'gone')").select("path")).distinct()
-    replaced = documents.join(changed, "path").select("doc_id")
-    chunks = merge.without_documents(index.read("chunks"), replaced)
-    vectors = merge.without_chunks(index.read("vec_chunks"), chunks)
-    top = index.read("chunks").agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-    new = cut.join(documents.where("status = 'active'").select("path", "doc_id"), "path")
+    # Rows that differ from those held in more than the time of their run.
+    about = F.struct(*(c for c in documents.columns if c != "indexed_at")).alias("_about")
+    differs = documents.withColumn("_about", about).join(old.select(about), "_about", "left_anti").drop("_about")
+    had = passages(held.read("chunks"), "doc_id").join(old.where("status = 'active'").select("doc_id", "path", "sha256"), "doc_id", "right")
+    has = good.select("path", "sha256").join(passages(cut, "path"), "path", "left")
+    whole = F.struct("path", "sha256", "passages").alias("whole")
+    same = has.select(whole).join(had.select(whole), "whole", "left_semi").select("whole.path")
+    new_cut = good.select("path") if anew else good.select("path").join(same, "path", "left_anti")
+    changed = new_cut.union(differs.where("status in ('stale', 'gone')").select("path")).distinct()
+    replaced = documents.join(changed, "path").select("doc_id").checkpoint()
+    lost = held.read("chunks").join(replaced, "doc_id", "left_semi").select("chunk_id")
+    top = held.read("chunks").agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
+    new = cut.join(new_cut, "path", "left_semi").join(documents.where("status = 'active'").select("path", "doc_id"), "path")
     new = merge.numbered(new, ["path", "seq"], "chunk_id", top).withColumn("embedded_at", F.lit(now)).checkpoint()
     return {
-        "documents": documents,
-        "chunks": chunks.unionByName(new.select(SCHEMAS["chunks"].names)),
-        "vec_chunks": vectors.unionByName(new.select("chunk_id", "embedding")),
+        "documents": Change(differs, differs.select("doc_id")),
+        "chunks": Change(new.select(SCHEMAS["chunks"].names), replaced),
+        "vec_chunks": Change(new.select("chunk_id", "embedding"), lost),
     }
 
 
@@ -190,7 +206,7 @@ def reindex(
             if batches:
                 docs = spark.read.schema(DOCS).parquet(f"{work.absolute().as_uri()}/docs/*")
                 cut = spark.read.schema(cut.schema).parquet(f"{work.absolute().as_uri()}/chunks/*")
-            tables = merged(index, docs, cut, now_text())
+            tables = merged(index, docs, cut, now_text(), anew=force)
             index.commit(**tables)
         except Exception as e:
             record("failed", error=str(e)[:1000])
