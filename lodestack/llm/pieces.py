@@ -45,11 +45,11 @@ KEPT_SEGMENTS, KEPT_SEARCHES = 250_000, 10_000
 NONE = -np.inf
 BASE = np.uint64(0x100000001B3)
 #: Marks of a table of hashes; a power of two.
-MARKS = 1 << 20
+MARKS = 1 << 18
 
 
 def marked(h: np.ndarray) -> np.ndarray:
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
 
 
 def zipf_scores(scores: np.ndarray) -> np.ndarray:
