@@ -168,7 +168,8 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", "vec_id", as_long("score"))
 
 
 @query("op6_toxicity")

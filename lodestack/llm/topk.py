@@ -30,8 +30,8 @@ QUERY_GROUP = 16
 DENSE = 0.05
 #: Numbers of segments, coarse to fine; those that a dimension is too small for are left out.
 LEVELS = (4, 16)
-#: Scores are 64-bit integers; |component| * SCALE must stay below this, else the job fails.
-LARGEST = 1 << 26
+#: Whole numbers from here on aren't told apart by doubles; below it every score fits in a decimal of 38 digits.
+LARGEST = 1 << 53
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -58,6 +58,17 @@ def statistics(x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mean * np.sqrt(n), np.sqrt(square) * np.sqrt(n)
 
 
+def largest_product(queries: np.ndarray, x: np.ndarray) -> int:
+    return x.shape[-1] * max(1, int(np.abs(x).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0)))
+
+
+def products(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows, exact: as 64-bit integers, or as Python's where these may not do."""
+    if largest_product(queries, x) < 1 << 62:
+        return np.einsum("...d,...d->...", queries, x)
+    return (queries.astype(object) * x.astype(object)).sum(-1)
+
+
 def best(
     queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None
 ) -> tuple[np.ndarray, ...]:
@@ -80,9 +91,9 @@ def best(
     if m == k:
         # The rows of the best coarse bounds are scored first; the least of k exact scores is what others must reach.
         seed = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-        exact = np.einsum("qd,qmd->qm", queries, x[seed])
+        exact = products(queries[:, None, :], x[seed])
         sure = np.where(np.isfinite(np.take_along_axis(bound, seed, 1)), exact, np.iinfo(np.int64).min)
-        least = np.maximum(least, sure.min(1))
+        least = np.maximum(least, in_long(sure.min(1)))
     q, r = np.nonzero((bound >= least[:, None]) & ~own)
     for (qm, qs), (xm, xs) in levels[1:]:
         alive = np.zeros(len(q), bool)
@@ -91,19 +102,24 @@ def best(
             fine = np.einsum("ij,ij->i", qm[a], xm[b]) + np.einsum("ij,ij->i", qs[a], xs[b]) + slack[a, b]
             alive[at : at + len(a)] = fine >= least[a]
         q, r = q[alive], r[alive]
-    exact_in_double = x.shape[1] * max(1, np.abs(x).max(initial=0)) * max(1, np.abs(queries).max(initial=0)) < 2**53
+    exact_in_double = largest_product(queries, x) < 1 << 53
     if exact_in_double and len(q) > DENSE * bound.size:
         score = (qf @ xf.T)[q, r].astype(np.int64)
     else:
-        score = np.empty(len(q), np.int64)
-        for at in range(0, len(q), 1 << 16):
-            score[at : at + (1 << 16)] = np.einsum("ij,ij->i", queries[q[at : at + (1 << 16)]], x[r[at : at + (1 << 16)]])
+        parts = [products(queries[q[at : at + (1 << 16)]], x[r[at : at + (1 << 16)]]) for at in range(0, len(q), 1 << 16)]
+        score = np.concatenate(parts) if parts else np.empty(0, np.int64)
     high = score >= least[q]
     return *first_k(q[high], r[high], score[high], ids, k), len(q)
 
 
+def in_long(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; what doesn't fit becomes the next that does."""
+    return np.clip(scores, np.iinfo(np.int64).min, np.iinfo(np.int64).max).astype(np.int64)
+
+
 def first_k(q: np.ndarray, r: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((ids[r], -score, q))
+    high, low = (score >> 62).astype(np.int64), (score & ((1 << 62) - 1)).astype(np.int64)
+    order = np.lexsort((ids[r], -low, -high, q))
     q, r, score = q[order], r[order], score[order]
     begin = np.searchsorted(q, q)
     top = np.arange(len(q)) - begin < k
@@ -132,7 +148,7 @@ def packed(vectors: DataFrame, size: int) -> DataFrame:
                     some = table.slice(at, min(2 * size, hi - at))
                     data = some.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
                     if len(data) and np.abs(data).max() >= LARGEST:
-                        raise OverflowError(f"a component times the scale reaches {LARGEST}")
+                        raise OverflowError("a component times the scale reaches 2^53")
                     ids, floors = (some.column(c).to_numpy().astype("<i8").tobytes() for c in ("id", "floor"))
                     row = [[int(keys[lo, 0])], [int(keys[lo, 1])], [ids], [floors], [data.tobytes()]]
                     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -160,7 +176,7 @@ def met(asked: DataFrame, data: DataFrame, k: int, first: bool = False) -> DataF
     right = right.select(F.floor(F.col("part") / QUERY_GROUP).cast("int").alias("g"), "b", *BLOCK)
 
     def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]).empty_table()]
+        out = [pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.decimal128(38, 0))]).empty_table()]
         cell = lambda t, c, row: t.column(c)[row].as_py()
         whole = lambda t, c, row: np.frombuffer(cell(t, c, row), "<i8")
         for v in range(len(vectors)):
@@ -170,17 +186,18 @@ def met(asked: DataFrame, data: DataFrame, k: int, first: bool = False) -> DataF
                 q_ids = whole(queries, "ids", a)
                 asked_ = whole(queries, "data", a).reshape(len(q_ids), x.shape[1])
                 q, r, score, _ = best(asked_, q_ids, x, ids, k, whole(queries, "floors", a))
-                out.append(pa.table({"query_id": q_ids[q], "vec_id": ids[r], "score": score}, schema=out[0].schema))
+                score = pa.array(score) if score.dtype != object else pa.array(list(map(str, score)), pa.string())
+                out.append(pa.table({"query_id": q_ids[q], "vec_id": ids[r], "score": score.cast(pa.decimal128(38, 0))}, schema=out[0].schema))
         return pa.concat_tables(out)
 
     pairs = left.groupBy("dims", "part", "g").cogroup(right.groupBy("dims", "b", "g"))
-    return pairs.applyInArrow(search, "query_id long, vec_id long, score long")
+    return pairs.applyInArrow(search, "query_id long, vec_id long, score decimal(38,0)")
 
 
 def top_k(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE
 ) -> DataFrame:
-    """For each query its k highest scores: query_id, rank (from 1), vec_id, score; ties to smaller ids.
+    """For each query its k highest scores: query_id, rank (from 1), vec_id, score (a decimal); ties to smaller ids.
 
     Components become floor(scale * x); the score is their integer inner product. Queries are the rows for which
     is_query holds; candidates are all rows but the query's own. Vectors that are null or hold null or non-finite
@@ -196,7 +213,9 @@ def top_k(
     data = stored(packed(rows.select("id", "v", none.alias("floor")), VECTOR_BLOCK), "vector_blocks")
     asked = rows.where("q").select("id", "v")
     sample = met(stored(packed(asked.withColumn("floor", none), QUERY_BLOCK), "query_blocks"), data, k, first=True)
-    floors = sample.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    low, high = (F.lit(x).cast("decimal(38,0)") for x in (np.iinfo(np.int64).min, np.iinfo(np.int64).max))
+    floor = F.least(F.greatest(F.min("score"), low), high).cast("long")  # blocks hold floors as 64-bit integers
+    floors = sample.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, floor).alias("floor"))
     floored = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
     found = met(stored(packed(floored, QUERY_BLOCK), "floored_blocks"), data, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a block of vectors
