@@ -20,8 +20,10 @@ from .errors import LodestackError
 from .functions import naming, text, vector
 from .functions.naming import IndexIdentity
 from .operators import chunking, fulltext, knn, merge, registry
+from .operators.textstore import TextStore
 from .plans.store import Store
-from .queries import CUTS, as_documents, query, table, vector_of
+from .plans.tables import Change, Tables
+from .queries import CUTS, TOKENS, as_documents, query, table, vector_of
 from .rules import violations
 from .schema import SCHEMAS
 from .session import checkpoint_dir
@@ -408,3 +410,81 @@ def subject_rules(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("work_id"), subject.alias("subject"), F.lit(0.5).alias("weight"))
     works = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("work_id"))
     return violations("work_subjects", rows, {"creative_works": works})
+
+
+# ---------------------------------------------------------------- tables that change
+
+
+@query("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS decision_id, o_orderstatus AS link_kind,
+           CASE WHEN o_orderkey % 14 = 0 THEN 'changed' ELSE o_orderpriority END AS target, n::BIGINT AS held_before
+    FROM orders, (SELECT count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0) WHERE o_orderkey % 7 <> 0 OR o_orderkey % 14 = 0""")
+def delta_changes(spark, sf_dir):
+    """Added parts and marks of deleted rows: rows come late, some go, some are changed; a reader of the first version keeps it."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("decision_id"), F.col("o_orderstatus").alias("link_kind"), F.col("o_orderpriority").alias("target")
+    )
+    tables = Tables(spark, new_root(spark, "delta"), ("decision_links",))
+    tables.commit(decision_links=orders.where("k % 5 <> 0"))
+    first = tables.snapshot()
+    tables.commit(decision_links=Change(add=orders.where("k % 5 = 0")))
+    new = orders.where("k % 14 = 0").withColumn("target", F.lit("changed"))
+    tables.commit(decision_links=Change(new, orders.where("k % 7 = 0").select("decision_id")))
+    before = first.read("decision_links").agg(F.count("*").alias("held_before"))
+    return tables.read("decision_links").crossJoin(F.broadcast(before))  # one row
+
+
+CHANGED = """(
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' of the end') ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+@query(TOKENS.replace("FROM documents", f"FROM {CHANGED}") + " SELECT doc_id, hits, len FROM h WHERE hits > 0")
+def fts_after_changes(spark, sf_dir):
+    """Between two searches rows of the table come, go and change; the second finds what is there now."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    store = TextStore(spark, f"{checkpoint_dir(spark)}/changing-{uuid.uuid4().hex}", ("body",), stem=False)
+    store.refresh(docs.where("doc_id % 7 <> 0"), "first")
+    changed = docs.where("doc_id % 5 <> 0").withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.concat("body", F.lit(" of the end"))).otherwise(F.col("body")))
+    index = store.refresh(changed, "second")
+    found = fulltext.phrase_hits(index, "of the").join(index.rows.select("row_id", "doc_id"), "row_id")
+    return found.select("doc_id", "hits", F.col("length").cast("long").alias("len"))
+
+
+class FailsOnce(Measures):
+    """Measures, which fails on texts with a word as long as a file is there."""
+
+    def __init__(self, flag: str, word: str) -> None:
+        self.flag, self.word = flag, word
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if os.path.exists(self.flag) and any(self.word in t for t in texts):
+            raise RuntimeError("the service is down")
+        return super().__call__(texts)
+
+
+@query(
+    CUTS.replace("FROM documents\n", "FROM documents WHERE doc_id % 2 = 0\n")
+    + r""" SELECT concat('s/', doc_id, '.md') AS path, seq, start_offset, end_offset, sha256(text) AS content_hash,
+           (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces, true AS resumed, 'completed' AS status
+        FROM cut WHERE trim(text, chr(10) || ' ') <> ''"""
+)
+def ingest_resumed(spark, sf_dir):
+    """Several batches, the embedder fails in one of the last, and a second call goes on with the first one's list."""
+    root, docs = new_root(spark, "resumed"), table(spark, sf_dir, "documents").where("doc_id % 2 = 0").withColumn("source", F.lit("s"))
+    write_files(docs, root / "files")
+    store, flag = Store(spark, root / "store"), root / "down"
+    last = docs.where("trim(text) <> ''").orderBy(F.desc(F.col("doc_id").cast("string"))).select(F.substring(F.trim("text"), 1, 12)).first()[0]
+    embedder, batch = FailsOnce(str(flag), last), -(-docs.count() // 5)
+    flag.touch()
+    try:
+        reindex(store, str(root / "files"), MEASURES, embedder, chunk_chars=500, batch_docs=batch)
+    except Exception as e:  # noqa: BLE001 - Spark's own kind, around the embedder's
+        if "the service is down" not in str(e):
+            raise
+    flag.unlink()
+    stats = reindex(store, str(root / "files"), MEASURES, embedder, chunk_chars=500, batch_docs=batch)
+    index = store.index(MEASURES).snapshot()
+    found = index.read("chunks").join(index.read("documents").select("doc_id", "path"), "doc_id").join(index.read("vec_chunks"), "chunk_id")
+    status = store.registry.read("reindex_runs").where(F.col("run_id") == stats.run_id).select("status")
+    about = ("path", "seq", "start_offset", "end_offset", "content_hash", F.col("embedding")[1].cast("double").alias("spaces"))
+    return found.select(*about, F.lit(stats.resumed).alias("resumed")).crossJoin(F.broadcast(status))  # one row
