@@ -195,9 +195,11 @@ def met(asked: DataFrame, data: DataFrame, k: int, first: bool = False) -> DataF
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, wide: bool = False
 ) -> DataFrame:
-    """For each query its k highest scores: query_id, rank (from 1), vec_id, score (a decimal); ties to smaller ids.
+    """For each query its k highest scores: query_id, rank (from 1), vec_id, score; ties to smaller ids.
+
+    Ranks are by exact scores of any size; score is a long, null where it doesn't fit, or if wide a decimal.
 
     Components become floor(scale * x); the score is their integer inner product. Queries are the rows for which
     is_query holds; candidates are all rows but the query's own. Vectors that are null or hold null or non-finite
@@ -219,4 +221,5 @@ def top_k(
     floored = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
     found = met(stored(packed(floored, QUERY_BLOCK), "floored_blocks"), data, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a block of vectors
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.col("score") if wide else F.col("score").try_cast("long").alias("score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)

@@ -628,7 +628,7 @@ def test_mix_odd_tables(spark):
 
 def test_queries_are_complete():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op4_token_files", "op6_toxicity", "op7_language_id"])
