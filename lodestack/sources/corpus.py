@@ -36,7 +36,7 @@ class Snapshot:
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path of each regular file below root, with slashes; links aren't followed, what can't be read is left out.
+    """rel_path of each regular file below root, with slashes; links aren't followed; what can't be read, and names that aren't UTF-8, are left out.
 
     Folders are listed by the executors, a level of the tree a job, so the driver holds no names.
     """
@@ -47,6 +47,8 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
                 names, kinds = [], []
                 try:
                     for entry in os.scandir(os.path.join(root, folder)):
+                        if not entry.name.isprintable() and any("\ud800" <= c <= "\udfff" for c in entry.name):
+                            continue  # bytes that aren't UTF-8
                         if entry.is_dir(follow_symlinks=False) or entry.is_file(follow_symlinks=False):
                             names.append(f"{folder}/{entry.name}" if folder else entry.name)
                             kinds.append(entry.is_dir(follow_symlinks=False))

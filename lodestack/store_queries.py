@@ -28,6 +28,7 @@ from .rules import violations
 from .schema import SCHEMAS
 from .session import checkpoint_dir
 from .sources import corpus, embedding
+from .sources.datasource import register_corpus
 from .streaming.ingest import reindex
 
 
@@ -170,6 +171,56 @@ def ingest_changes(spark, sf_dir):
     return found.select("path", "sha256", "status", F.lit(runs).cast("long").alias("runs"))
 
 
+# ---------------------------------------------------------------- a corpus as a data source
+
+FILES = """
+    WITH f AS (SELECT concat(source, '/', doc_id, '.md') AS rel_path, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256
+               FROM documents WHERE source IS NOT NULL)"""
+
+
+def source_files(spark, sf_dir, name: str) -> Path:
+    root = new_root(spark, name)
+    write_files(table(spark, sf_dir, "documents").where("source is not null"), root / "files")
+    register_corpus(spark)
+    return root
+
+
+@query(FILES + " SELECT * FROM f")
+def corpus_source(spark, sf_dir):
+    """A file a document with a source (the source is its folder), read as spark.read.format("corpus")."""
+    root = source_files(spark, sf_dir, "source")
+    return spark.read.format("corpus").option("root", str(root / "files")).option("partitionbytes", 4 << 20).load().drop("mtime_ns")
+
+
+@query(FILES + " SELECT rel_path, size FROM f WHERE size >= 400 AND rel_path >= 'src1' AND rel_path LIKE '%5.md'")
+def corpus_source_filters(spark, sf_dir):
+    """Its filters are the walk's: no file is opened, nothing outside the range is listed."""
+    root = source_files(spark, sf_dir, "filters")
+    found = spark.read.format("corpus").schema("rel_path string, size long").option("root", str(root / "files")).load()
+    return found.where("size >= 400 and rel_path >= 'src1' and rel_path like '%5.md'")
+
+
+@query(FILES + " SELECT * FROM f")
+def corpus_stream(spark, sf_dir):
+    """The same files as a stream in batches by bytes, stopped at its end and started again."""
+    root = source_files(spark, sf_dir, "stream")
+    at = root.absolute()
+
+    def run() -> None:
+        stream = spark.readStream.format("corpus").option("root", str(at / "files")).option("cursor", str(at / "cursor"))
+        stream = stream.option("batchbytes", 16 << 20).load()
+        query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at.as_uri()}/rows/batch={n}"))
+        query = query.option("checkpointLocation", f"{at.as_uri()}/checkpoint").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    run()
+    run()  # finds nothing new
+    return spark.read.parquet(f"{at.as_uri()}/rows").select("rel_path", "size", "sha256")
+
+
 # ---------------------------------------------------------------- lists of files
 
 
