@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,34 +26,65 @@ def boundary(text: str, begin: int, size: int) -> int:
     return end
 
 
-def passages(text: str | None, max_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int, int, str]]:
-    """(seq, start, end, text); a passage of white space only is left out, and leaves its number out too."""
-    size, begin, seq = max(max_chars, LEAST_CHARS), 0, 0
-    text = text or ""
-    while begin < len(text):
-        end = len(text) if len(text) - begin < size else boundary(text, begin, size)
-        if text[begin:end].strip(WHITE_CHARS):
-            yield seq, begin, end, text[begin:end]
-        begin, seq = end, seq + 1
+def passages_of(parts: Iterable[str], max_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int, int, str]]:
+    """(seq, start, end, text) of a text that comes in parts; a passage of white space only is left out, and leaves its
+    number out too. No more than a part and a passage is held: where a passage ends depends on its window alone."""
+    size, at, seq, held = max(max_chars, LEAST_CHARS), 0, 0, ""
 
+    def kept(begin: int, end: int) -> bool:
+        return bool(held[begin:end].strip(WHITE_CHARS))
 
-def packed_lines(text: str | None, max_bytes: int) -> Iterator[tuple[int, int, int, str]]:
-    """(seq, first line, last line, text): whole lines up to max_bytes with their breaks; a longer line stands alone."""
-    lines = (text or "").split("\n")
-    if lines[-1] == "":
-        lines.pop()
-    lines = [x.removesuffix("\r") for x in lines]
+    for part in parts:
+        held += part
+        begin = 0
+        while len(held) - begin >= size:
+            end = boundary(held, begin, size)
+            if kept(begin, end):
+                yield seq, at + begin, at + end, held[begin:end]
+            begin, seq = end, seq + 1
+        held, at = held[begin:], at + begin
+    if kept(0, len(held)):
+        yield seq, at, at + len(held), held
+
+
+def passages(text: str | None, max_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int, int, str]]:
+    """passages_of a whole text."""
+    return passages_of([text or ""], max_chars)
+
+
+def lines_of(parts: Iterable[str]) -> Iterator[str]:
+    """Lines without their breaks, of a text that comes in parts; nothing follows the last break."""
+    begun: list[str] = []
+    for part in parts:
+        *whole, rest = part.split("\n")
+        for line in whole:
+            yield ("".join(begun) + line).removesuffix("\r")
+            begun = []
+        if rest:
+            begun.append(rest)
+    if begun:
+        yield "".join(begun).removesuffix("\r")
+
+
+def packed_lines_of(parts: Iterable[str], max_bytes: int) -> Iterator[tuple[int, int, int, str]]:
+    """(seq, first line, last line, text): whole lines up to max_bytes with their breaks; a longer line stands alone, and
+    is what is held at most."""
     held: list[str] = []
-    size, first, seq = 0, 1, 0
-    for k, line in enumerate(lines):
+    size, first, seq, last = 0, 1, 0, 0
+    for last, line in enumerate(lines_of(parts), 1):
         more = len(line.encode("utf-8", "surrogatepass")) + 1
         if held and size + more > max_bytes:
-            yield seq, first, k, "\n".join(held)
-            held, size, first, seq = [], 0, k + 1, seq + 1
+            yield seq, first, last - 1, "\n".join(held)
+            held, size, first, seq = [], 0, last, seq + 1
         held.append(line)
         size += more
     if held:
-        yield seq, first, len(lines), "\n".join(held)
+        yield seq, first, last, "\n".join(held)
+
+
+def packed_lines(text: str | None, max_bytes: int) -> Iterator[tuple[int, int, int, str]]:
+    """packed_lines_of a whole text."""
+    return packed_lines_of([text or ""], max_bytes)
 
 
 def exploded(docs: DataFrame, text_col: str, cut, names: tuple[str, str], keep: tuple[str, ...]) -> DataFrame:
@@ -77,16 +108,22 @@ def exploded(docs: DataFrame, text_col: str, cut, names: tuple[str, str], keep:
     return docs.select(*keep, *([text_col] if text_col not in keep else [])).mapInArrow(run, schema)
 
 
+def with_hashes(found: DataFrame, tokens: bool = True) -> DataFrame:
+    """Passages with content_hash and token_count, which is null for lines."""
+    count = token_count(F.col("text")) if tokens else F.lit(None).cast("long")
+    return found.withColumn("content_hash", content_hash(F.col("text"))).withColumn("token_count", count)
+
+
 def chunk_documents(docs: DataFrame, max_chars: int = CHUNK_CHARS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, seq, start_offset, end_offset, text, content_hash, token_count: a row a passage, slices of the text."""
     found = exploded(docs, text_col, lambda t: passages(t, max_chars), ("start_offset", "end_offset"), keep)
-    return found.withColumn("content_hash", content_hash(F.col("text"))).withColumn("token_count", token_count(F.col("text")))
+    return with_hashes(found)
 
 
 def chunk_lines(docs: DataFrame, max_bytes: int = CHUNK_CHARS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, seq, start_line, end_line, text, content_hash: a row a run of lines, numbered from 1."""
     found = exploded(docs, text_col, lambda t: packed_lines(t, max_bytes), ("start_line", "end_line"), keep)
-    return found.withColumn("content_hash", content_hash(F.col("text")))
+    return with_hashes(found).drop("token_count")
 
 
 def chunk_problems(chunks: DataFrame, documents: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:

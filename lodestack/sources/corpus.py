@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -25,6 +26,8 @@ BINARY_EXTENSIONS = [
     "class", "jar", "wasm", "db", "sqlite", "bin",
 ]
 READ_BYTES = 64 << 10
+#: Of a file that is cut, read at a time; a worker holds about so many characters of passages, too.
+TEXT_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -194,3 +197,61 @@ def contents(entries: DataFrame, root: str, strict: bool = False) -> DataFrame:
 
 
 TEXT = ENTRY.append(pa.field("state", pa.string())).append(pa.field("text", pa.string()))
+
+
+def text_parts(path: str, digest, strict: bool) -> Iterator[str]:
+    """The text of a file in parts; digest takes the bytes that they come from."""
+    decoder = codecs.getincrementaldecoder("utf-8")("strict" if strict else "replace")
+    with open(path, "rb") as file:
+        while data := file.read(TEXT_BYTES):
+            digest.update(data)
+            yield decoder.decode(data)
+        yield decoder.decode(b"", final=True)
+
+
+def cut_files(entries: DataFrame, root: str, cut: Callable[[Iterator[str]], Iterator[tuple[int, int, int, str]]], strict: bool = False) -> DataFrame:
+    """What contents() followed by a cut gives, with a part of a file in memory: a row a passage (state is null), then one
+    for the file itself, with its state and no passage.
+
+    A file is hashed as it is cut, so its state is known after its passages: those of a file that isn't ok are not to be
+    used (see verified_passages).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for e in batch.to_pylist():
+                found, held, state = [], 0, "ok"
+                try:
+                    full = os.path.join(root, e["rel_path"])
+                    stat = os.stat(full)
+                    if (stat.st_mtime_ns, stat.st_size) != (e["mtime_ns"], e["size"]):
+                        state = "deferred"
+                    else:
+                        digest = hashlib.sha256()
+                        for seq, start, end, text in cut(text_parts(full, digest, strict)):
+                            found.append(e | {"seq": seq, "start_offset": start, "end_offset": end, "text": text})
+                            held += len(text)
+                            if held >= TEXT_BYTES:
+                                yield pa.RecordBatch.from_pylist(found, CUT)
+                                found, held = [], 0
+                        if digest.hexdigest() != e["sha256"]:
+                            state = "stale"
+                except UnicodeDecodeError:
+                    state = "invalid"
+                except OSError:
+                    state = "deferred"
+                yield pa.RecordBatch.from_pylist([*found, e | {"state": state}], CUT)
+
+    columns = "rel_path string, mtime_ns long, size long, sha256 string, state string, seq long, start_offset long, end_offset long, text string"
+    return entries.select(*SCHEMAS["manifest"].names).mapInArrow(run, columns)
+
+
+def verified_passages(cut: DataFrame) -> DataFrame:
+    """rel_path, seq, start_offset, end_offset, text of cut_files' files that are ok; cut should be a stored table. Only where
+    a file is not ok is there a join."""
+    found = cut.where("state is null").select("rel_path", "seq", "start_offset", "end_offset", "text")
+    bad = cut.where("state <> 'ok'").select("rel_path")
+    return found if bad.isEmpty() else found.join(bad, "rel_path", "left_anti")
+
+
+CUT = pa.schema([*TEXT.remove(TEXT.get_field_index("text")), *(pa.field(n, pa.int64()) for n in ("seq", "start_offset", "end_offset")), pa.field("text", pa.string())])

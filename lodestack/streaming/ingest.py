@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import IndexIdentity, now_text, peak_memory, run_id
 from ..operators import merge
-from ..operators.chunking import CHUNK_CHARS, chunk_documents, chunk_lines
+from ..operators.chunking import CHUNK_CHARS, packed_lines_of, passages_of, with_hashes
 from ..operators.registry import resumable_run, superseded
 from ..plans.store import Index, Store
 from ..plans.tables import Change
 from ..rules import checked
 from ..schema import SCHEMAS, schema_of
 from ..session import checkpoint_dir
-from ..sources.corpus import Snapshot, contents, freeze, load_manifest
+from ..sources.corpus import Snapshot, cut_files, freeze, load_manifest, verified_passages
 from ..sources.embedding import BATCH, Embedder, embedded
 
 #: Documents a micro-batch.
@@ -72,19 +73,19 @@ def write_batches(snapshot: Snapshot, folder: Path, size: int) -> int:
 def stream(spark: SparkSession, work: Path, root: str, embedder: Embedder, dims: int, chunk_chars: int, embed_batch: int, by_lines: bool) -> None:
     """Works off the manifest's batches that the checkpoint doesn't have."""
 
+    def by(parts: Iterable[str]) -> Iterator[tuple[int, int, int, str]]:
+        return packed_lines_of(parts, chunk_chars) if by_lines else passages_of(parts, chunk_chars)
+
     def one(batch: DataFrame, number: int) -> None:
-        # A batch is one file and so one partition; reading, cutting and embedding are spread by path.
-        texts = contents(batch.repartition("rel_path"), root, strict=by_lines).persist()
+        # A batch is one file and so one partition; reading and cutting are spread by path, embedding by what was written,
+        # so that the passages of one large file are spread too, and a lost executor doesn't have files read again.
         at = work.absolute().as_uri()
-        good = texts.where("state = 'ok'").withColumnRenamed("rel_path", "path")
-        if by_lines:
-            cut = chunk_lines(good, chunk_chars, keep=("path",)).withColumn("token_count", F.lit(None).cast("long"))
-            cut = cut.withColumnsRenamed({"start_line": "start_offset", "end_line": "end_offset"})
-        else:
-            cut = chunk_documents(good, chunk_chars, keep=("path",))
-        embedded(cut, embedder, dims, embed_batch).write.mode("overwrite").parquet(f"{at}/chunks/batch={number}")
-        texts.select(DOCS.names).write.mode("overwrite").parquet(f"{at}/docs/batch={number}")
-        texts.unpersist()
+        cut = cut_files(batch.repartition("rel_path"), root, by, strict=by_lines)
+        cut.write.mode("overwrite").parquet(f"{at}/cut")
+        cut = spark.read.schema(cut.schema).parquet(f"{at}/cut")
+        good = with_hashes(verified_passages(cut).withColumnRenamed("rel_path", "path"), tokens=not by_lines)
+        embedded(good, embedder, dims, embed_batch).write.mode("overwrite").parquet(f"{at}/chunks/batch={number}")
+        cut.where("state is not null").select(DOCS.names).write.mode("overwrite").parquet(f"{at}/docs/batch={number}")
 
     reader = spark.readStream.schema(SCHEMAS["manifest"]).option("maxFilesPerTrigger", 1)
     query = (
