@@ -5,14 +5,14 @@ from __future__ import annotations
 import argparse
 import sys
 
-from .errors import LodestackError
+from .errors import EmbeddingError, LodestackError
 from .functions.naming import IndexIdentity, expand_home
 from .functions.text import head
 from .operators import registry
 from .plans.find import find, search_index
 from .plans.store import Store
 from .session import get_spark
-from .sources.embedding import Embedder, HashEmbedder, HttpEmbedder
+from .sources.embedding import HASH_MODEL, Embedder, HashEmbedder, HttpEmbedder
 from .streaming.ingest import reindex
 
 
@@ -20,9 +20,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("lodestack", description=__doc__)
     p.add_argument("--index-dir", default="~/.lodestack")
     p.add_argument("--registry", help="folder of the registry; without it, registry in the index folder")
-    p.add_argument("--gateway", help="URL of the embedding service; without it, hashes of words")
+    p.add_argument("--gateway", help="URL of the embedding service, which any model but that of hashes of words needs")
     p.add_argument("--provider", default="local")
-    p.add_argument("--model", default="word-hash")
+    p.add_argument("--model", default=HASH_MODEL)
     p.add_argument("--dims", type=int, default=768)
     p.add_argument("--batch-size", type=int, default=32)
     p.add_argument("--chunk-size", type=int, default=2000)
@@ -56,14 +56,19 @@ def run(args: argparse.Namespace) -> list[str]:
     identity = IndexIdentity(args.provider, args.model, args.dims)
 
     def embedder_of(x: IndexIdentity) -> Embedder:
-        """What embeds for this index: searches use the current one's model, not the one of the options."""
-        return HttpEmbedder(args.gateway, x.model) if args.gateway else HashEmbedder(x.dims)
+        """What embeds for this index: searches use the current one's model, not the one of the options.
+
+        Hashes of words are that of their own model only; any other needs the service."""
+        if args.gateway:
+            return HttpEmbedder(args.gateway, x.model)
+        if x.model != HASH_MODEL:
+            raise EmbeddingError(f"{x.model} needs an embedding service (--gateway)")
+        return HashEmbedder(x.dims)
 
-    embedder = embedder_of(identity)
     read = store.registry.read
     if args.command in ("index", "reindex"):
         s = reindex(
-            store, args.root, identity, embedder, args.chunk_size, args.batch_size,
+            store, args.root, identity, embedder_of(identity), args.chunk_size, args.batch_size,
             include=args.include, trigger=args.trigger, force=args.force, by_lines=args.command == "index", legacy=args.legacy,
         )
         return [f"run {s.run_id}: {s.docs} documents, {s.chunks} passages, {s.deferred} deferred, {s.stale} stale, {s.gone} gone"]
@@ -84,7 +89,11 @@ def run(args: argparse.Namespace) -> list[str]:
     if args.command == "switch":
         return [f"current: {store.switch(args.target)}"]
     if args.command == "find":
-        report = find(store, args.phrase, embedder_of(store.current_or(identity)), args.k)
+        try:
+            embedder = embedder_of(store.current_or(identity))
+        except EmbeddingError:
+            embedder = None  # the other lanes answer without
+        report = find(store, args.phrase, embedder, args.k)
         lines = [f"[{r.lane}] {r.key} {r.title or ''} {r.detail or ''} ({r.score})" for r in report.hits.collect()]
         return lines + ([f"passages skipped: {report.skipped}"] if report.skipped else [])
     if args.command == "renders":
