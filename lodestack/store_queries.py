@@ -21,6 +21,8 @@ from .functions import naming, text, vector
 from .functions.naming import IndexIdentity
 from .operators import chunking, fulltext, knn, merge, registry
 from .operators.textstore import TextStore
+from .plans.hashtree import HashTree
+from .plans.hashtree import changes as hashtree_changes
 from .plans.store import Store
 from .plans.tables import Change, Tables
 from .queries import CUTS, TOKENS, as_documents, query, table, vector_of
@@ -221,6 +223,22 @@ def corpus_stream(spark, sf_dir):
     return spark.read.parquet(f"{at.as_uri()}/rows").select("rel_path", "size", "sha256")
 
 
+@query("""
+    SELECT concat(source, '/', doc_id, '.md') AS path,
+           CASE WHEN doc_id % 5 = 0 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'changed' ELSE 'touched' END AS change
+    FROM documents WHERE source IS NOT NULL AND (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0)""")
+def hash_tree_changes(spark, sf_dir):
+    """Two manifests of the documents as hash trees, and what differs between them."""
+    root = new_root(spark, "trees").absolute()
+    rows = as_documents(table(spark, sf_dir, "documents").where("source is not null"))
+    rows = rows.select("doc_id", F.col("path").alias("rel_path"), "mtime_ns", F.col("size_bytes").alias("size"), "sha256")
+    changed = F.when(F.col("doc_id") % 11 == 0, F.lit("other")).otherwise(F.col("sha256"))
+    time = F.when(F.col("doc_id") % 13 == 0, F.lit(-1)).otherwise(F.col("mtime_ns"))
+    old = HashTree(spark, f"{root.as_uri()}/old").write(rows.where("doc_id % 5 = 0 or doc_id % 7 <> 0"))
+    new = rows.where("doc_id % 5 <> 0").withColumn("sha256", changed).withColumn("mtime_ns", time)
+    return hashtree_changes(old, HashTree(spark, f"{root.as_uri()}/new").write(new))
+
+
 # ---------------------------------------------------------------- lists of files
 
 
