@@ -1,16 +1,18 @@
 """License scans by conditional compression, confirmed by exact differences of wording.
 
-Templates are whole license texts, notices of source files, and sheets of a license's statements; each is a
-zstandard raw dictionary of its own. Candidate blocks are runs of lines about licensing, and the words around each
-keyword. A block is compressed alone and with each dictionary; templates that save enough are compared with the run, whole
-license texts with the whole document, word by word, and the words that are missing and that stand between are part of
-the result. Where confirmed places overlap, that one stays whose template reduces the size of its words most.
+Templates are whole license texts, notices of source files, and sheets of a license's names and statements; each is a
+zstandard raw dictionary of its own. Candidate blocks follow from pairs of neighbouring words: of a notice or text within
+the limits so many pairs must be left in so many words, and of a statement its rarest pair. A block is compressed alone
+and with the dictionary of each template that may stand in it; those that save much of it, and much of what the best one
+saves, are compared word by word, and the words that are missing and that stand between are part of the result. Words of a
+confirmed statement are taken out of its block, and the rest is ranked again. Where confirmed places overlap, that one
+stays whose template reduces the size of its words most.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,38 +28,39 @@ from pyspark.sql import types as T
 
 from .shared import freeing, in_small_batches, pieces_of
 
-#: Bytes of a block's compressed size that a dictionary must save. A short wording (under SHORT words) saves few; a part of a
-#: notice or of a whole text saves many times these.
-LEAST_BYTES = {"statement": 1, "notice": 6, "text": 40}
-SHORT = 12
-#: Words on either side of a keyword that are a block of their own.
-AROUND = 5
+#: Share of a block's compressed size that the dictionary of a notice or whole text must save.
+LEAST_SHARE = 0.15
+#: Share of what the best dictionary saves there that others must save, or so many bytes less than it: names of a word or two
+#: save hardly more than a match costs, so of statements only the order of the savings tells anything.
+OF_BEST, SLACK = {"statement": 0.5, "notice": 0.3, "text": 0.3}, 3
+#: Rare pairs of statements this many words apart share a block.
+CLUSTER = 24
 #: A statement must be there word by word; of a notice at most this share may be missing, or stand between.
 MISSING, BETWEEN = 0.1, 0.25
 #: Words of an anchor: runs that a whole text holds once. Gaps between anchors above GAP_WORDS count as differences.
 ANCHOR, GAP_WORDS = 4, 400
-#: Lines without a keyword that a block may hold in a row, and the most lines of a block (blocks overlap by half).
-GAP, BLOCK_LINES = 4, 80
-#: Longer lines are cut after sentences.
-LINE_CHARS = 300
+EXACT = 10_000
 
-# Words that every license text or statement holds one of, whatever stands between two words (_) and at
+# Words that every license name, statement or short notice holds one of, whatever stands between two words (_) and at
 # either end (<, >); the same in Java and Python. A test holds every wording of templates() against it.
-KEYWORDS = r"licen[sc]|copyright|copyleft|spdx|warrant|permission|redistribut|creative_commons|public_domain|all_rights_reserved|<cc_by>|<cc0>|<[al]?gpl|<under_(?:the_terms_of_)?(?:the_)?(?:mit|mpl)>"
+KEYWORDS = r"licen[sc]|copyright|copyleft|spdx|warrant|permission|redistribut|creative_commons|public_domain|all_rights_reserved|<cc_by>|<cc0>|<[al]?gpl|<under_(?:the_terms_of_)?(?:the_)?(?:mit|mpl|bsd|apache)>|<(?:apache|mpl|epl|cddl|eupl|ofl|gfdl|odbl|bsl|artistic|python)_[0-9]"
+# Words of which every notice and whole text has more than may be missing, so that some are always left.
+LEGAL = r"licen[sc]|copyright|warrant|permi|distribut|software|program|work|domain|unencumbered|terms|condition|rights|public|foundation|source|liab|version|modif|copies|copy|notice|free|purpose|commercial|creat|library|grant|provide|released|intellectual|endorse|promote|neither|derived|written|contribut|mozilla|obtain"
 KEYWORDS = KEYWORDS.replace("<", "(?<![a-zA-Z0-9])").replace(">", "(?![a-zA-Z0-9])").replace("_", "[^a-zA-Z0-9]+")
 
 # Names of licenses as statements give them; every statement of the list below is made with each.
 NAMES = {
     "MIT": ["MIT License", "the MIT License", "the MIT licence", "MIT"],
+    "BSD": ["BSD License", "the BSD License", "BSD"],
     "ISC": ["ISC License", "the ISC License"],
     "BSD-2-Clause": ["BSD 2-Clause License", "the BSD 2-Clause License", "the Simplified BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "the BSD 3-Clause License", "the New BSD License", "the Modified BSD License"],
-    "Apache-2.0": ["Apache License, Version 2.0", "the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"],
-    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "the GPLv2"],
-    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "the GPLv3"],
-    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the LGPLv2.1", "the LGPL v2.1"],
-    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the LGPLv3", "the LGPL v3"],
-    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the AGPLv3", "the AGPL v3"],
+    "Apache-2.0": ["Apache License, Version 2.0", "the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache 2.0", "Apache 2"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "the GPL v2", "the GPLv2"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "the GPL v3", "the GPLv3"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the GNU LGPL v2.1", "the LGPLv2.1", "the LGPL v2.1"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the GNU LGPL v3", "the LGPLv3", "the LGPL v3"],
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the GNU AGPL v3", "the AGPLv3", "the AGPL v3"],
     "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0"],
     "EPL-2.0": ["the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0"],
     "BSL-1.0": ["the Boost Software License, Version 1.0", "the Boost Software License 1.0"],
@@ -81,6 +84,7 @@ NAMES = {
 # The Creative Commons elements, from which names and statements follow.
 COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 for _short, _long in COMMONS.items():
+    NAMES[f"CC-{_short}"] = [f"CC {_short}", f"CC-{_short}", f"Creative Commons {_long}", f"a Creative Commons {_long} License"]
     for _version in ("4.0", "3.0", "2.0"):
         NAMES[f"CC-{_short}-{_version}"] = [
             f"CC {_short} {_version}",
@@ -89,7 +93,7 @@ for _short, _long in COMMONS.items():
             f"a Creative Commons {_long} {_version} International License",
             f"the Creative Commons {_long} {_version} International License",
         ]
-STATEMENTS = ["Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "under the terms of {}", "{} licensed"]
+STATEMENTS = ["Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "under the terms of {}", "{} licensed", "License: {}", "Licence: {}"]
 
 # Headings of license texts and other short forms.
 HEADINGS = {
@@ -162,6 +166,7 @@ IDENTITY = {
     "MPL-2.0": ["Mozilla Public License", "2.0"],
 }
 
+ARTICLE = re.compile(r"^(?:the|a) ")
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 
 
@@ -185,7 +190,12 @@ def sheets() -> list[Template]:
     out = []
     for name, wordings in NAMES.items():
         made = [s.format(w) for w in wordings for s in STATEMENTS] + [f"SPDX-License-Identifier: {name}", *HEADINGS.get(name, [])]
+        made += [bare for w in wordings if len(worded(bare := ARTICLE.sub("", w))[0]) > 1 and (re.search("licen[sc]e|[0-9]|dedication", bare, re.I))]
+        made += [f"{ARTICLE.sub('', w)}-licensed" for w in wordings if WORD.fullmatch(ARTICLE.sub("", w).lower())]
+        if "-" in name and name[-1].isdigit():
+            made.append(name)
         if not name.startswith("CC"):
+            made += [f"{name}-{x}" for x in ("only", "or-later") if "-" in name and name[-1].isdigit()]
             made += [f"SPDX-License-Identifier: {name}-{x}" for x in ("only", "or-later")]
         out.append(Template(name, "statement", tuple(dict.fromkeys(map(worded_, made)))))
     for name, texts in NOTICES.items():
@@ -219,64 +229,117 @@ def compressors() -> tuple:
 
 
 @lru_cache(1)
-def statements() -> dict[tuple[str, str], list[tuple[tuple[str, ...], int]]]:
-    """Of each pair of first words the statements that begin so, longest first, and the number of their sheet."""
-    out: dict[tuple[str, str], list[tuple[tuple[str, ...], int]]] = {}
-    for k, t in enumerate(sheets()):
-        for w in t.wordings if t.kind == "statement" else ():
-            out.setdefault(w[:2], []).append((w, k))
-    for made in out.values():
-        made.sort(key=lambda x: -len(x[0]))
+def statements() -> dict[tuple[str, ...], list[tuple[tuple[str, ...], int, int]]]:
+    """Statements by their rarest pair of words (that of fewest sheets; a lone word by itself): statement, place of the pair, sheet."""
+    made = [(w, k) for k, t in enumerate(sheets()) if t.kind == "statement" for w in t.wordings]
+    holds: dict[tuple[str, ...], set[int]] = {}
+    for w, k in made:
+        for x in paired(w):
+            holds.setdefault(x, set()).add(k)
+    out: dict[tuple[str, ...], list[tuple[tuple[str, ...], int, int]]] = {}
+    for w, k in made:
+        every = paired(w)
+        at = min(range(len(every)), key=lambda x: (len(holds[every[x]]), x))  # noqa: B023
+        out.setdefault(every[at], []).append((w, at, k))
+    for of in out.values():
+        of.sort(key=lambda x: -len(x[0]))
     return out
 
 
-def runs(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]], list[tuple[int, int]]]]:
-    """Runs of lines from keyword to keyword, with GAP lines at most between: begin, end, parts, keywords.
+def paired(words: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Neighbouring words, or the only one."""
+    return list(zip(words, words[1:], strict=False)) if len(words) > 1 else [tuple(words)]
+
+
+@lru_cache(1)
+def longest_statement() -> int:
+    return max(len(w) for t in sheets() if t.kind == "statement" for w in t.wordings)
+
 
-    Parts are the run, if it is long in overlapping parts of BLOCK_LINES. A run has a line before and after, for
-    statements that are wrapped.
+@lru_cache(1)
+def telling() -> tuple[dict[tuple[str, str], list[int]], dict[int, tuple[int, int]]]:
+    """Notices and whole texts by pair of words; and of each how many of its pairs must be left, in how many words.
+
+    Of n words at most MISSING are missing, each of which takes two pairs, and at most BETWEEN stand between, each of
+    which takes one. So nothing within the limits has fewer pairs.
     """
-    lines = []
-    for line in re.finditer(r"[^\n]+", text):
-        if len(line[0]) <= LINE_CHARS:
-            lines.append(line.span())
-        else:
-            lines += [(line.start() + m.start(), line.start() + m.end()) for m in re.finditer(r".+?(?:[.:;!?](?=\s)|$)", line[0])]
-    begins, keys = [a for a, _ in lines], [m.span() for m in KEYWORD.finditer(text)]
-    marked = set()
-    for a, b in keys:  # over line breaks too
-        marked |= set(range(max(0, bisect_right(begins, a) - 1), bisect_left(begins, b)))
-    marked, k, key = sorted(marked), 0, 0
-    while k < len(marked):
-        to = k
-        while to + 1 < len(marked) and marked[to + 1] - marked[to] <= GAP + 1:
-            to += 1
-        first, last = max(0, marked[k] - 1), min(len(lines) - 1, marked[to] + 1)
-        starts = range(first, max(first + 1, last + 1 - BLOCK_LINES // 2), BLOCK_LINES // 2)
-        own = key
-        while key < len(keys) and keys[key][0] < lines[marked[to]][1]:
-            key += 1
-        yield lines[first][0], lines[last][1], [(lines[at][0], lines[min(last, at + BLOCK_LINES - 1)][1]) for at in starts], keys[own:key]
-        k = to + 1
+    of: dict[tuple[str, str], list[int]] = {}
+    limits = {}
+    for k, t in enumerate(sheets()):
+        if t.kind != "statement":
+            words = tuple(map(plain_word, t.wordings[0]))
+            n, between = len(words), int(BETWEEN * len(words))
+            limits[k] = (n - 1 - 2 * int(MISSING * n) - between, n + between)
+            for x in set(paired(words)):
+                of.setdefault(x, []).append(k)
+    return of, limits
+
+
+@lru_cache(1)
+def spoken() -> frozenset[str]:
+    """Words of all statements."""
+    return frozenset(x for t in sheets() if t.kind == "statement" for w in t.wordings for x in w)
+
+
+def long_blocks(words: list[str]) -> list[tuple[int, int, int]]:
+    """Where notices and whole texts may stand: template, first word, end; overlapping ones of a template are one."""
+    of, limits = telling()
+    hits: dict[int, list[int]] = {}
+    plain = list(map(plain_word, words))
+    for at, x in enumerate(zip(plain, plain[1:], strict=False)):
+        for k in of.get(x, ()):
+            hits.setdefault(k, []).append(at)
+    out = []
+    for k, places in sorted(hits.items()):
+        least, length = limits[k]
+        block = None
+        for first, last in zip(places, places[least - 1 :], strict=False):
+            if last + 2 - first > length:
+                continue
+            a, b = max(0, last + 2 - length), min(len(words), first + length)
+            if block and a < block[1]:
+                block[1] = b
+            else:
+                block = [a, b]
+                out.append((k, block))
+    return [(k, a, b) for k, (a, b) in out]
+
+
+def statement_blocks(words: list[str]) -> Iterator[tuple[int, int, list[tuple[int, tuple[str, ...]]]]]:
+    """Blocks around rare pairs of statements that stand near each other: first word, end, and where the pairs stand."""
+    of, cluster = statements(), []
+    for at, word in enumerate(words):
+        for x in ((word,), (word, words[at + 1]) if at + 1 < len(words) else ()):
+            if x in of:
+                if cluster and at - cluster[0][0] > CLUSTER:
+                    yield max(0, cluster[0][0] - longest_statement()), min(len(words), cluster[-1][0] + longest_statement() + 1), cluster
+                    cluster = []
+                cluster.append((at, x))
+    if cluster:
+        yield max(0, cluster[0][0] - longest_statement()), min(len(words), cluster[-1][0] + longest_statement() + 1), cluster
 
 
 KEYWORD = re.compile(KEYWORDS, re.I)
 
 
 @lru_cache(1)
-def least_bytes() -> list[int]:
-    """What each template must save."""
-    return [1 if max(map(len, t.wordings)) < SHORT else LEAST_BYTES[t.kind] for t in sheets()]
+def legal_words() -> int:
+    """Matches of LEGAL that every notice and whole text within the limits has, short notices (nothing may be missing) aside."""
+    count = lambda w: sum(bool(re.search(LEGAL, x)) for x in w)
+    return min(count(t.wordings[0]) - int(MISSING * len(t.wordings[0])) for t in sheets() if t.kind != "statement" and int(MISSING * len(t.wordings[0])))
 
 
 @lru_cache(1 << 12)
-def ranked(block: str) -> list[tuple[int, int]]:
-    """Templates that reduce the block's compressed size enough as a dictionary: bytes saved, number; best first."""
+def ranked(block: str, of: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Of these templates those that save enough of the block's compressed size as a dictionary: bytes saved, number; best first."""
     plain, made = compressors()
     data = block.encode("utf-8", "surrogatepass")
     alone = len(plain.compress(data))
-    saved = [(alone - len(c.compress(data)), k) for k, c in enumerate(made)]
-    return sorted(((s, k) for s, k in saved if s >= least_bytes()[k]), key=lambda x: (-x[0], x[1]))
+    saved = sorted(((alone - len(made[k].compress(data)), k) for k in of), key=lambda x: (-x[0], x[1]))
+    best = saved[0][0]
+    kind = lambda k: sheets()[k].kind
+    enough = lambda s, k: kind(k) == "statement" or s >= LEAST_SHARE * alone
+    return [(s, k) for s, k in saved if enough(s, k) and s >= min(best * OF_BEST[kind(k)], best - SLACK)]
 
 
 @lru_cache(1 << 12)
@@ -435,11 +498,50 @@ def whole_texts(words: list[str], wording: tuple[str, ...]) -> list[Place]:
     return fewest([x for k, x in enumerate(made) if x not in made[:k]])
 
 
+def common(one: tuple[str, ...], other: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common part of two gaps, exact up to EXACT pairs of words; beyond, of their longest common runs."""
+    if len(one) * len(other) > EXACT:
+        return [(m.a + x, m.b + x) for m in SequenceMatcher(None, one, other, autojunk=False).get_matching_blocks() for x in range(m.size)]
+    rows = [[0] * (len(other) + 1)]
+    for w in one:
+        above, row = rows[-1], [0]
+        for j, x in enumerate(other):
+            row.append(above[j] + 1 if x == w else max(above[j + 1], row[j]))
+        rows.append(row)
+    k, j, out = len(one), len(other), []
+    while k and j:
+        if one[k - 1] == other[j - 1]:
+            k, j = k - 1, j - 1
+            out.append((k, j))
+        elif rows[k - 1][j] >= rows[k][j - 1]:
+            k -= 1
+        else:
+            j -= 1
+    return out
+
+
+def outer(told: list[int], pairs: dict[int, int], core: int) -> list[int]:
+    """Of the wording's words before or behind all anchors, nearest first, those that cost more words between than they save, by the limits."""
+    gain, best, keep, last = 0, 0, 0, core
+    for n, t in enumerate(told, 1):
+        gain += 1 / MISSING - (abs(last - pairs[t]) - 1) / BETWEEN
+        last = pairs[t]
+        if gain > best:
+            best, keep = gain, n
+    return told[keep:]
+
+
 def compared(words: list[str], wording: tuple[str, ...], chain: list[tuple[int, int]]) -> Place | None:
     """The text's place that the chain of anchors spans, with what lies before, between and behind them."""
     pairs: dict[int, int] = {}
     if not chain:
         return None
+    apart = chain[:1]  # anchors that overlap agree on where their words stand
+    for k, t in chain[1:]:
+        k0, t0 = apart[-1]
+        if k - t == k0 - t0 or min(k - k0, t - t0) >= ANCHOR:
+            apart.append((k, t))
+    chain = apart
     for k, t in chain:
         for x in range(ANCHOR):
             pairs[t + x] = k + x
@@ -449,24 +551,65 @@ def compared(words: list[str], wording: tuple[str, ...], chain: list[tuple[int,
         lo, tlo = max(0, k + (ANCHOR if t >= 0 else 0)), max(0, t + (ANCHOR if t >= 0 else 1))
         hi = min(len(words), k2)
         if lo < hi and tlo < t2 and hi - lo <= GAP_WORDS and t2 - tlo <= GAP_WORDS:
-            for m in SequenceMatcher(None, wording[tlo:t2], words[lo:hi], autojunk=False).get_matching_blocks():
-                pairs.update((tlo + m.a + x, lo + m.b + x) for x in range(m.size))
+            pairs.update((tlo + x, lo + y) for x, y in common(wording[tlo:t2], words[lo:hi]))
+    for t in outer(sorted((t for t in pairs if t < chain[0][1]), reverse=True), pairs, chain[0][0]) + outer(
+        sorted(t for t in pairs if t >= chain[-1][1] + ANCHOR), pairs, chain[-1][0] + ANCHOR - 1
+    ):
+        del pairs[t]
     start, end = min(pairs.values()), max(pairs.values()) + 1
     there = set(pairs.values())
     return start, end, [w for k, w in enumerate(wording) if k not in pairs], [words[k] for k in range(start, end) if k not in there]
 
 
-def confirmed(words: list[str], passing: set[int]) -> Iterator[tuple[int, Place]]:
-    """Places of the statements and notices that passed, each held against the words exactly."""
-    of = statements()
-    for k in range(len(words) - 1):
-        for wording, number in of.get((words[k], words[k + 1]), ()):
-            if number in passing and tuple(words[k : k + len(wording)]) == wording:
-                yield number, (k, k + len(wording), [], [])
-    for number in sorted(passing):
+def said(words: list[str], number: int, cluster: list[tuple[int, tuple[str, ...]]], free: dict[int, bool]) -> list[tuple[int, int]]:
+    """Places of one sheet's statements around the pairs, the longest first; words that are taken don't count."""
+    made = []
+    for at, x in cluster:
+        for wording, within, k in statements()[x]:
+            a, b = at - within, at - within + len(wording)
+            if k == number and a >= 0 and tuple(words[a:b]) == wording and all(free[n] for n in range(a, b)):
+                made.append((a, b))
+    taken = Taken()
+    return [x for x in sorted(set(made), key=lambda x: (x[0] - x[1], x[0])) if taken.add(*x)]
+
+
+def confirmed(words: list[str]) -> Iterator[tuple[int, Place]]:
+    """Places of statements, notices and whole texts whose templates win their blocks, each held against the words exactly.
+
+    A round ranks the sheets whose rare pairs are left in a block, and those near the best are looked for; the longest
+    place is taken, and the next round goes on without its words. Sheets looked for in vain are set aside in that block. Words that
+    no statement has aren't compressed. Of statements that overlap, from blocks that do, the longest stays.
+    """
+    stated = []
+    for a, b, cluster in statement_blocks(words):
+        free, vain = dict.fromkeys(range(a, b), True), set()
+        while True:
+            cluster = [(at, x) for at, x in cluster if all(free[at + k] for k in range(len(x)))]
+            rivals = tuple(sorted({k for _, x in cluster for _, _, k in statements()[x]} - vain))
+            if not rivals:
+                break
+            rest = " ".join(words[k] for k in range(a, b) if free[k] and words[k] in spoken())
+            best = ranked(rest, rivals)
+            found = [(s, k, x) for s, k in best for x in said(words, k, cluster, free)]
+            vain |= {k for _, k in best} - {k for _, k, _ in found}
+            if not found:
+                continue
+            _, number, _ = min(found, key=lambda f: (f[2][0] - f[2][1], -f[0], f[1]))
+            longest = max(y - x for _, k, (x, y) in found if k == number)
+            for _, k, (x, y) in found:
+                if k == number and y - x == longest:
+                    free.update((at, False) for at in range(x, y))
+                    stated.append((x, y, number))
+    taken = Taken()
+    yield from ((k, (x, y, [], [])) for x, y, k in sorted(stated, key=lambda f: (f[0] - f[1], f)) if taken.add(x, y))
+    every = long_blocks(words)
+    for number, a, b in every:
+        rivals = tuple(sorted({k for k, x, y in every if x < b and a < y}))
+        if number not in {k for _, k in ranked(" ".join(words[a:b]), rivals)}:
+            continue
         t = sheets()[number]
-        if t.kind == "notice":
-            yield from ((number, x) for x in notices(words, t.wordings[0], t.license))
+        look = notices(words[a:b], t.wordings[0], t.license) if t.kind == "notice" else whole_texts(words[a:b], t.wordings[0])
+        yield from ((number, (a + x, a + y, *unlike)) for x, y, *unlike in look)
 
 
 class Taken:
@@ -492,21 +635,8 @@ def found_in(text: str) -> list[dict]:
     Of places that overlap that one stays whose template saves most of the compressed size of the words there; of equal
     ones that with fewest differences. A statement within a larger place of its license is part of that.
     """
-    found, texts = [], set()
-    for begin, end, parts, keys in runs(text):
-        words, spans = worded(text[begin:end])
-        starts = [a for a, _ in spans]
-        at = lambda place: bisect_left(starts, place - begin)  # noqa: B023, E731
-        blocks = {(at(a), at(b)) for a, b in parts} | {(max(0, at(a) - AROUND), at(b) + AROUND) for a, b in keys}
-        passing = {k for a, b in blocks for _, k in ranked(" ".join(words[a:b]))}
-        texts |= {k for k in passing if sheets()[k].kind == "text"}
-        for number, (a, b, *unlike) in confirmed(words, passing):
-            found.append((number, begin + spans[a][0], begin + spans[b - 1][1], " ".join(words[a:b]), *unlike))
-    if texts:
-        words, spans = worded(text)
-        for number in sorted(texts):
-            for a, b, *unlike in whole_texts(words, sheets()[number].wordings[0]):
-                found.append((number, spans[a][0], spans[b - 1][1], " ".join(words[a:b]), *unlike))
+    words, spans = worded(text)
+    found = [(k, spans[a][0], spans[b - 1][1], " ".join(words[a:b]), *unlike) for k, (a, b, *unlike) in confirmed(words)]
     made, taken, of_license = [], Taken(), {}
     for number, a, b, block, missing, between in sorted(found, key=lambda x: (x[1] - x[2], x[1], x[0])):
         t = sheets()[number]
@@ -528,12 +658,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per license text, notice or statement in each text: id, license, kind, start, end, saved_bytes, saved_share, missing, between.
 
     Whole texts are read. start and end are offsets in characters; missing holds the words of the wording that the
-    text lacks, between those that stand inside it. Texts without any keyword, null and empty texts have no row;
+    text lacks, between those that stand inside it. Texts without a name, notice or text of a license, null and empty texts have no row;
     repeated rows have theirs each. Other columns are not looked at.
     """
     schema = T.StructType([docs.schema[id_col]] + T._parse_datatype_string(RESULT).fields)
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
-    likely = docs.where(F.col(text_col).rlike(f"(?i){KEYWORDS}")).select(id_col, text_col)
+    text = F.col(text_col)
+    likely = docs.where(text.rlike(f"(?i){KEYWORDS}") | (F.regexp_count(text, F.lit(f"(?i){LEGAL}")) >= legal_words())).select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
