@@ -17,12 +17,12 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,9 +45,19 @@ EXACT = 10_000
 # either end (<, >); the same in Java and Python. A test holds every wording of templates() against it.
 KEYWORDS = r"licen[sc]|copyright|copyleft|spdx|warrant|permission|redistribut|creative_commons|public_domain|all_rights_reserved|<cc_by>|<cc0>|<[al]?gpl|<under_(?:the_terms_of_)?(?:the_)?(?:mit|mpl|bsd|apache)>|<(?:apache|mpl|epl|cddl|eupl|ofl|gfdl|odbl|bsl|artistic|python)_[0-9]"
 # Words of which every notice and whole text has more than may be missing, so that some are always left.
-LEGAL = r"licen[sc]|copyright|warrant|permi|distribut|software|program|work|domain|unencumbered|terms|condition|rights|public|foundation|source|liab|version|modif|copies|copy|notice|free|purpose|commercial|creat|library|grant|provide|released|intellectual|endorse|promote|neither|derived|written|contribut|mozilla|obtain"
+LEGAL = "licens|copyright|warrant|permi|distribut|software|program|work|domain|unencumbered|terms|condition|rights|public|foundation|source|liab|version|modif|copies|copy|notice|free|purpose|commercial|creat|library|grant|provide|released|intellectual|endorse|promote|neither|derived|written|contribut|mozilla|obtain"
+PARTS = LEGAL.split("|")
 KEYWORDS = KEYWORDS.replace("<", "(?<![a-zA-Z0-9])").replace(">", "(?![a-zA-Z0-9])").replace("_", "[^a-zA-Z0-9]+")
 
+# Parts of texts, all of a group in every text with such a keyword, and what must match then, if that isn't enough.
+QUICK = [
+    (["licen"], None), (["copyright"], None), (["copyleft"], None), (["spdx"], None), (["warrant"], None), (["permission"], None), (["redistribut"], None),
+    (["creative", "commons"], None), (["public", "domain"], None), (["rights", "reserved"], None), (["gpl"], None), (["cc0"], None),
+    (["cc", "by"], "cc[^a-z0-9]+by"), (["under", "mit"], "under[^a-z0-9]+(?:the[^a-z0-9]+)?(?:terms[^a-z0-9]+of[^a-z0-9]+)?(?:the[^a-z0-9]+)?mit"),
+    (["under", "mpl"], None), (["under", "bsd"], None), (["under", "apache"], None),
+    *(([x], x + "[^a-z0-9]+[0-9]") for x in ("apache", "mpl", "epl", "cddl", "eupl", "ofl", "gfdl", "odbl", "bsl", "artistic", "python")),
+]
+
 # Names of licenses as statements give them; every statement of the list below is made with each.
 NAMES = {
     "MIT": ["MIT License", "the MIT License", "the MIT licence", "MIT"],
@@ -323,10 +333,35 @@ KEYWORD = re.compile(KEYWORDS, re.I)
 
 
 @lru_cache(1)
-def legal_words() -> int:
-    """Matches of LEGAL that every notice and whole text within the limits has, short notices (nothing may be missing) aside."""
-    count = lambda w: sum(bool(re.search(LEGAL, x)) for x in w)
-    return min(count(t.wordings[0]) - int(MISSING * len(t.wordings[0])) for t in sheets() if t.kind != "statement" and int(MISSING * len(t.wordings[0])))
+def legal_left() -> tuple[int, int]:
+    """How many parts of LEGAL, and words with one, are left in every notice and whole text within the limits.
+
+    Those that must be whole are aside, they hold a keyword. Each word counts for the first part that it holds, so a
+    missing word takes one of one part, and the parts that few words hold go first.
+    """
+    parts, words = [], []
+    for t in sheets():
+        allowed = int(MISSING * len(t.wordings[0]))
+        if t.kind != "statement" and allowed:
+            counts = sorted(Counter(m[0] for w in t.wordings[0] if (m := [x for x in PARTS if x in w])).values())
+            words.append(sum(counts) - allowed)
+            while counts and counts[0] <= allowed:
+                allowed -= counts.pop(0)
+            parts.append(len(counts))
+    return min(parts), min(words)
+
+
+def likely(text: Column) -> Column:
+    """False for texts without any name, statement, notice or whole text within the limits, by parts of words and keywords."""
+
+    def told(low: Column) -> Column:
+        every = [(reduce(lambda x, y: x & y, map(low.contains, parts)), pattern) for parts, pattern in QUICK]
+        some = reduce(lambda x, y: x | y, (x if pattern is None else x & low.rlike(pattern) for x, pattern in every))
+        legal = reduce(lambda x, y: x + y, (low.contains(x).cast("int") for x in PARTS))
+        parts, words = legal_left()
+        return some | ((legal >= parts) & (F.regexp_count(low, F.lit(LEGAL)) >= words))
+
+    return F.exists(F.array(F.lower(text)), told)  # lower-cased once
 
 
 @lru_cache(1 << 12)
@@ -663,8 +698,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     schema = T.StructType([docs.schema[id_col]] + T._parse_datatype_string(RESULT).fields)
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
-    text = F.col(text_col)
-    likely = docs.where(text.rlike(f"(?i){KEYWORDS}") | (F.regexp_count(text, F.lit(f"(?i){LEGAL}")) >= legal_words())).select(id_col, text_col)
+    some = docs.where(likely(F.col(text_col))).select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -678,4 +712,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 made = [pa.array([r[f.name] for r in rows], t) for f, t in zip(schema.fields[1:], kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, *made], schema.names)
 
-    return in_small_batches(likely).mapInArrow(freeing(run), schema)
+    return in_small_batches(some).mapInArrow(freeing(run), schema)
