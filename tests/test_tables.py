@@ -207,3 +207,20 @@ def test_snippets_of_decomposed_text(spark):
     rows = spark.createDataFrame([(plain,), (apart,)], "body string")
     marked = [r.s for r in rows.select(fulltext.snippet(F.col("body"), "café").alias("s")).collect()]
     assert marked == ["un «café» très bon, le «café» noir"] * 2
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Tasks write the postings of the rows that they read, in blocks that small texts share and large ones are cut in."""
+    docs = spark.range(300).select("id", F.lit("Un café").alias("title"), F.concat(F.lit("the_cat of "), F.col("id").cast("string"), F.lit(" the cat")).alias("body"))
+    shuffled = []
+    kept = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *a: shuffled.append(a) or kept(self, *a))
+    found = {}
+    for chars in (1, 700, 1 << 20):
+        monkeypatch.setattr(fulltext, "BLOCK_CHARS", chars)
+        index = fulltext.write_index(docs, f"file://{tmp_path}/{chars}", stem=False)
+        found[chars] = [searched(index, p) for p in ("the cat", "cafe", "17")]
+    assert not shuffled and found[1] == found[700] == found[1 << 20]
+    assert [len(x) for x in found[1]] == [300, 300, 1] and {hits for _, hits, _ in found[1][0]} == {2}
+    stored = [spark.read.parquet(f"{tmp_path}/{chars}/postings").where("term = 'the'").count() for chars in (1, 1 << 20)]
+    assert stored[0] == 300 and stored[1] <= 8  # postings of a term are held together
