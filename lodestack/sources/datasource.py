@@ -10,12 +10,15 @@ sha256 no file is opened. Options:
 root            the folder, which driver and executors share; one that isn't there is an error.
 include         a pattern (Python's re) that a path must hold; legacy: the older rules, as in corpus.text_paths.
 partitionbytes  a partition is a range of paths with about so many bytes, a file counting openbytes more.
-cursor          stream only: a file that keeps the end of the last planned batch. With it, a batch takes about batchbytes;
-                without it a batch takes all that is there, so that a restarted stream never steps back.
+cursor          stream only: a file that keeps the end of the last planned batch. With it, a batch takes about batchbytes of
+                files' own bytes, and 100,000 files at most; without it a batch takes all that is there, so that a restarted
+                stream never steps back.
 
-The planner walks the tree in the order of paths and keeps the ends of ranges only: its memory grows with partitions and the
-largest folder. Tasks walk their own range. Filters on rel_path narrow the walk, those on size and mtime_ns spare the
-reading; register_corpus sets spark.sql.python.filterPushdown.enabled, without which Spark refuses a source that takes filters.
+The planner walks the tree in the order of paths, once; a stream's planner goes on where its last batch ended, and walks
+anew from there only if a folder that it is in has changed since it was listed. A task gets the names of its files,
+compressed, and lists no folder, so a large folder costs no more a file than a small one. Filters on rel_path narrow the walk,
+those on size and mtime_ns spare the reading; register_corpus sets spark.sql.python.filterPushdown.enabled, without which
+Spark refuses a source that takes filters.
 
 Links aren't followed; files and folders that can't be read, and names that aren't UTF-8, are left out. An empty tree
 has no rows. A stream sees files after its offset only: a file that appears before it is for a new stream.
@@ -25,6 +28,10 @@ from __future__ import annotations
 
 import os
 import re
+import stat
+import time
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -41,8 +48,12 @@ from .corpus import BINARY_EXTENSIONS, ENTRY, hashed
 PARTITION_BYTES = 128 << 20
 OPEN_BYTES = 64 << 10
 BATCH_BYTES = 1 << 30
-#: Folders that are listed ahead of the walk.
-AHEAD = 16
+#: Files of a batch of a stream with a cursor, at most.
+BATCH_FILES = 100_000
+#: Folders that are listed ahead of the walk, fewer if they hold so many names.
+AHEAD, AHEAD_NAMES = 16, 50_000
+#: A folder changed less than this before it was listed may change again without another time.
+RACY_NS = 2 * 10**9
 ROWS = 1024
 
 
@@ -84,6 +95,13 @@ class Span:
         return not self.past(folder) and (folder > self.after or self.after.startswith(folder))
 
 
+def folder_time(rules: Rules, folder: str) -> int | None:
+    try:
+        return os.stat(os.path.join(rules.root, folder)).st_mtime_ns
+    except OSError:
+        return None
+
+
 def scanned(rules: Rules, folder: str) -> list[tuple[str, os.DirEntry]]:
     """Entries of a folder by their paths, those of folders with a slash at the end, in byte order."""
     out = []
@@ -102,36 +120,47 @@ def scanned(rules: Rules, folder: str) -> list[tuple[str, os.DirEntry]]:
     return sorted(out, key=lambda x: x[0])
 
 
-def walk(rules: Rules, span: Span = Span(), backward: bool = False) -> Iterator[tuple[str, os.DirEntry]]:
-    """(rel_path, entry) of the corpus's files in the span, in byte order of the paths or backward."""
+def walk(rules: Rules, span: Span = Span(), backward: bool = False, held: dict[str, tuple[int | None, int]] | None = None) -> Iterator[tuple[str, os.DirEntry]]:
+    """(rel_path, entry) of the corpus's files in the span, in byte order of the paths or backward.
+
+    held gets the folders that are listed and not yet passed, with their times and the time of the listing.
+    """
     if rules.hides_all():
         return
+    held = {} if held is None else held
     with ThreadPoolExecutor(AHEAD) as pool:
 
         def listing(folder: str) -> Future:
+            held[folder] = folder_time(rules, folder), time.time_ns()
             return pool.submit(scanned, rules, folder)
 
-        def below(found: Future) -> Iterator[tuple[str, os.DirEntry]]:
-            entries = [(p, e) for p, e in found.result() if (span.meets(p) if p.endswith("/") else p > span.after and not span.past(p))]
+        def below(folder: str, found: Future) -> Iterator[tuple[str, os.DirEntry]]:
+            entries = found.result()
+            first = bisect_right(entries, span.after, key=lambda x: x[0])
+            # Only the entry before may be a folder that the span begins in.
+            first -= bool(first and entries[first - 1][0].endswith("/") and span.meets(entries[first - 1][0]))
+            entries = entries[first : None if span.upto is None else bisect_right(entries, span.upto, key=lambda x: x[0])]
             if backward:
                 entries.reverse()
             folders = iter([p for p, _ in entries if p.endswith("/")])
             listed: dict[str, Future] = {}
 
             def more() -> None:
-                if (p := next(folders, None)) is not None:
+                while len(listed) < AHEAD and sum(len(f.result()) for f in listed.values() if f.done()) < AHEAD_NAMES and (p := next(folders, None)) is not None:
                     listed[p] = listing(p)
 
-            for _ in range(AHEAD):
-                more()
+            more()
             for path, entry in entries:
                 if path.endswith("/"):
-                    yield from below(listed.pop(path))
+                    if path not in listed:
+                        more()
+                    yield from below(path, listed.pop(path))
                     more()
                 elif rules.text(path):
                     yield path, entry
+            held.pop(folder, None)
 
-        yield from below(listing(""))
+        yield from below("", listing(""))
 
 
 @dataclass
@@ -214,27 +243,47 @@ def above(prefix: str) -> str | None:
     return kept[:-1] + chr(0xE000 if following == 0xD800 else following)
 
 
-def cuts(rules: Rules, span: Span, pushed: Pushed, size: int, open_bytes: int) -> Iterator[Span]:
-    """The span in ranges of about size bytes, in order."""
-    after, last, held = span.after, None, 0
-    for path, entry in walk(rules, pushed.within(span)):
+def sized(rules: Rules, span: Span, pushed: Pushed, held: dict | None = None) -> Iterator[tuple[str, int]]:
+    """(rel_path, size) of the files in the span that the filters leave."""
+    for path, entry in walk(rules, pushed.within(span), held=held):
         try:
-            stat = entry.stat(follow_symlinks=False)
+            about = entry.stat(follow_symlinks=False)
         except OSError:
             continue
-        if not (pushed.path(path) and pushed.stat(stat.st_mtime_ns, stat.st_size)):
-            continue
-        last, held = path, held + stat.st_size + open_bytes
-        if held >= size:
-            yield Span(after, last)
-            after, last, held = last, None, 0
-    if last is not None:
-        yield Span(after, last)
+        if pushed.path(path) and pushed.stat(about.st_mtime_ns, about.st_size):
+            yield path, about.st_size
+
+
+def packed(files: Iterable[tuple[str, int]], size: int, open_bytes: int, most: float = float("inf")) -> Iterator[list[tuple[str, int]]]:
+    """The files in runs of about size bytes, a file counting open_bytes more, and of `most` files at most."""
+    out, held = [], 0
+    for path, length in files:
+        out.append((path, length))
+        held += length + open_bytes
+        if held >= size or len(out) >= most:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
+def cuts(rules: Rules, span: Span, pushed: Pushed, size: int, open_bytes: int) -> Iterator[Span]:
+    """The span in ranges of about size bytes, in order."""
+    after = span.after
+    for run in packed(sized(rules, span, pushed), size, open_bytes):
+        yield Span(after, run[-1][0])
+        after = run[-1][0]
 
 
 class Part(D.InputPartition):
-    def __init__(self, span: Span) -> None:
-        self.span = span
+    """Paths of files, compressed: those of a folder have much in common."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.names = zlib.compress("\0".join(paths).encode(), 1)
+
+    @property
+    def paths(self) -> list[str]:
+        return [p for p in zlib.decompress(self.names).decode().split("\0") if p]
 
 
 class Files:
@@ -252,21 +301,19 @@ class Files:
         self.open_bytes = int(options.get("openbytes", OPEN_BYTES))
         self.pushed = Pushed()
 
-    def parts(self, span: Span) -> list[Part]:
-        return [Part(x) for x in cuts(self.rules, span, self.pushed, self.size, self.open_bytes)]
+    def parts(self, files: Iterable[tuple[str, int]]) -> list[Part]:
+        return [Part([p for p, _ in run]) for run in packed(files, self.size, self.open_bytes)]
 
-    def rows(self, span: Span) -> Iterator[pa.RecordBatch]:
+    def rows(self, paths: list[str]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([ENTRY.field(n) for n in self.names])
         out: list[dict] = []
-        for path, entry in walk(self.rules, self.pushed.within(span)):
-            if not self.pushed.path(path):
-                continue
+        for path in paths:
             try:
-                stat = entry.stat(follow_symlinks=False)
+                about = os.lstat(os.path.join(self.rules.root, path))
             except OSError:
                 continue
-            row = {"rel_path": path, "mtime_ns": stat.st_mtime_ns, "size": stat.st_size}
-            if not self.pushed.stat(stat.st_mtime_ns, stat.st_size):
+            row = {"rel_path": path, "mtime_ns": about.st_mtime_ns, "size": about.st_size}
+            if not stat.S_ISREG(about.st_mode) or not self.pushed.stat(about.st_mtime_ns, about.st_size):
                 continue
             if "sha256" in self.names:
                 found = hashed(os.path.join(self.rules.root, path))
@@ -287,10 +334,10 @@ class CorpusReader(Files, D.DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Part]:
-        return self.parts(Span()) or [Part(Span("", ""))]  # no partition at all would be one with everything
+        return self.parts(sized(self.rules, Span(), self.pushed)) or [Part([])]  # no partition at all would be one with everything
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        return self.rows(partition.span)
+        return self.rows(partition.paths)
 
 
 class CorpusStreamReader(Files, D.DataSourceStreamReader):
@@ -300,6 +347,10 @@ class CorpusStreamReader(Files, D.DataSourceStreamReader):
         super().__init__(options, schema)
         self.cursor = options.get("cursor")
         self.batch = int(options.get("batchbytes", BATCH_BYTES))
+        self.ahead: Iterator[list[tuple[str, int]]] = iter(())  # batches of a walk that goes on
+        self.held: dict[str, tuple[int | None, int]] = {}  # folders that it is in
+        self.end: str | None = None  # where it is
+        self.planned: tuple[str, str, list[tuple[str, int]]] | None = None
 
     def initialOffset(self) -> dict:
         return {"rel_path": ""}
@@ -316,20 +367,35 @@ class CorpusStreamReader(Files, D.DataSourceStreamReader):
         a batch that is run again stores it again, so the cursor is never before, nor behind, what the log holds."""
         if self.cursor:
             at = self.at()
-            found = next(cuts(self.rules, Span(at), self.pushed, self.batch, self.open_bytes), None)
-            return {"rel_path": found.upto if found else at}
+            if self.planned and self.planned[0] == at:
+                return {"rel_path": self.planned[1]}
+            found = next(self.ahead, None) if self.end == at and self.same_folders() else None
+            if not found:
+                self.held = {}
+                self.ahead = packed(sized(self.rules, Span(at), self.pushed, self.held), self.batch, 0, BATCH_FILES)
+                found = next(self.ahead, None)
+            self.end = found[-1][0] if found else None
+            self.planned = (at, self.end, found) if found else None
+            return {"rel_path": self.end if found else at}
         last = next(walk(self.rules, backward=True), None)
         return {"rel_path": last[0] if last else ""}
 
+    def same_folders(self) -> bool:
+        """Whether the folders that the walk is in, or has listed ahead, are as they were when it listed them."""
+        return all(then is not None and at - then > RACY_NS and folder_time(self.rules, f) == then for f, (then, at) in self.held.items())
+
     def partitions(self, start: dict, end: dict) -> list[Part]:
         if self.cursor:
             with open(f"{self.cursor}.new", "w", encoding="utf-8") as file:
                 file.write(end["rel_path"])
             os.replace(f"{self.cursor}.new", self.cursor)
-        return self.parts(Span(start["rel_path"], end["rel_path"]))
+        span = start["rel_path"], end["rel_path"]
+        if self.planned and self.planned[:2] == span:
+            return self.parts(self.planned[2])
+        return self.parts(sized(self.rules, Span(*span), self.pushed))
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        return self.rows(partition.span)
+        return self.rows(partition.paths)
 
     def commit(self, end: dict) -> None:
         pass

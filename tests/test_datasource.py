@@ -2,11 +2,12 @@
 
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.sources import corpus
+from lodestack.sources import corpus, datasource
 from lodestack.sources.datasource import Pushed, Rules, Span, cuts, register_corpus, walk
 
 
@@ -149,3 +150,33 @@ def test_stream_without_cursor(spark, root, tmp_path):
         query = stream.writeStream.foreachBatch(lambda b, n: counts.append(b.agg(F.count("*")).first()[0])).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         query.awaitTermination()
     assert counts == [87]
+
+
+def test_tasks_list_no_folder_and_a_stream_walks_once(tmp_path, monkeypatch):
+    """A task opens the files it was given; a stream's batches come of one walk, by files' bytes, unless a folder has changed."""
+    root, cursor = tmp_path / "r", tmp_path / "cursor"
+    (root / "a").mkdir(parents=True)
+    for k in range(200):
+        (root / "a" / f"{k:03d}.md").write_text("x" * 10)
+    old = time.time() - 100
+    for folder in (root / "a", root):
+        os.utime(folder, (old, old))
+    scans = []
+    kept = datasource.scanned
+    monkeypatch.setattr(datasource, "scanned", lambda rules, folder: scans.append(folder) or kept(rules, folder))
+    options = {"root": str(root), "partitionbytes": "50", "openbytes": "0"}
+    batch = datasource.CorpusReader(options, corpus.SCHEMAS["manifest"])
+    parts = batch.partitions()
+    read = [x["rel_path"] for p in parts for b in batch.read(p) for x in b.to_pylist()]
+    assert len(parts) == 40 and len(scans) == 2 and len(read) == 200
+    scans.clear()
+    stream = datasource.CorpusStreamReader(options | {"cursor": str(cursor), "batchbytes": "100", "openbytes": "1000"}, corpus.SCHEMAS["manifest"])
+    at, seen = stream.initialOffset(), []
+    while (end := stream.latestOffset()) != at:
+        assert stream.latestOffset() == end  # asked twice before it is planned
+        seen.append([x["rel_path"] for p in stream.partitions(at, end) for b in stream.read(p) for x in b.to_pylist()])
+        at = end
+        if len(seen) == 10:
+            assert len(scans) == 2
+            (root / "a" / "150a.md").write_text("y" * 10)  # behind the offset, in a folder that is listed
+    assert [p for s in seen for p in s] == sorted([*read, "a/150a.md"]) and max(map(len, seen)) == 10
