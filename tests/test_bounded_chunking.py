@@ -2,14 +2,16 @@
 
 import functools
 import hashlib
+import json
 import os
 import random
 import tracemalloc
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.functions.text import WHITE_CHARS
-from lodestack.operators import chunking
+from lodestack.operators import chunking, merge
 from lodestack.sources import corpus
 
 
@@ -119,3 +121,37 @@ def test_files(spark, tmp_path):
         got = sorted((r.rel_path, r.seq, r.start_offset, r.end_offset, r.text) for r in corpus.verified_passages(cut).collect())
         assert got == sorted((r.rel_path, *p) for r in want if r.state == "ok" for p in whole_passages(r.text, 100))
         assert cut.where("state is null and rel_path = 'large.md'").count() > 0
+
+
+def test_files_are_hashed_once_and_spread(spark, tmp_path, monkeypatch):
+    """The list of a run comes of one look at each file, by several tasks, however few bytes the paths have."""
+    root, log = tmp_path / "files", tmp_path / "log"
+    for folder in (root, log):
+        folder.mkdir()
+    for k in range(60):
+        (root / f"{k:02d}é.md").write_text(f"text {k}")
+    at = str(log)
+
+    def seen(batches):
+        import uuid
+
+        for batch in batches:
+            for path in batch.column("rel_path").to_pylist():
+                with open(f"{at}/{os.getpid()}-{uuid.uuid4().hex}", "w") as out:
+                    out.write(path)
+            yield batch
+
+    kept = corpus.entries
+    monkeypatch.setattr(corpus, "entries", lambda paths, root: kept(paths, root).mapInArrow(seen, corpus.SCHEMAS["manifest"]))
+    frozen = corpus.freeze(spark, str(root), str(tmp_path / "m"), "r")
+    assert sorted(p.read_text() for p in log.iterdir()) == sorted(p.name for p in root.iterdir())
+    with open(frozen.path, encoding="utf-8") as lines:
+        found = [json.loads(line) for line in lines]
+    want = [(p.name, hashlib.sha256(p.read_bytes()).hexdigest()) for p in sorted(root.iterdir())]
+    assert [(e["rel_path"], e["sha256"]) for e in found] == want and list(found[0]) == ["rel_path", "mtime_ns", "size", "sha256"]
+    cut = corpus.cut_files(corpus.spread(frozen.entries), str(root), functools.partial(chunking.passages_of, max_chars=100))
+    assert cut.select(F.spark_partition_id()).distinct().count() > 4
+    wide = cut.where("state is null").select(F.col("rel_path").alias("path"), "seq", "text")
+    wide = wide.unionByName(wide.withColumn("seq", F.lit(7).cast("long")))
+    numbers = [{(r.path, r.seq): r.k for r in f.collect()} for f in (merge.numbered(wide, ["path", "seq"], "k", 40), merge.numbered_within(wide, "path", "seq", "k", 40))]
+    assert numbers[0] == numbers[1] and sorted(numbers[1].values()) == list(range(41, 161))
